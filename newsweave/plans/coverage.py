@@ -367,10 +367,10 @@ def watchlist_search(spark, sf):
 
 
 @registered("due_sources", S.with_views("sources", f"""
-    SELECT source_id, {_sql_ts('last_fetched_at')} AS last_fetched_at FROM sources WHERE enabled AND (last_fetched_at IS NULL OR last_fetched_at <= TIMESTAMP '2024-01-30 22:00:00' - INTERVAL 3 HOUR) AND source_id <> 'src1'"""))
+    SELECT source_id, {_sql_ts('last_fetched_at')} AS last_fetched_at FROM sources WHERE enabled AND (last_fetched_at IS NULL OR last_fetched_at <= TIMESTAMP '2024-01-31 02:00:00' - INTERVAL 3 HOUR) AND source_id <> 'src1'"""))
 def due_sources(spark, sf):
     s = inputs.sources(spark, sf)
-    now = F.lit("2024-01-30 22:00:00").cast("timestamp")
+    now = F.lit("2024-01-31 02:00:00").cast("timestamp")
     return filters.due_sources(s, now, seed=s.where("source_id = 'src1'")).select("source_id", _ts("last_fetched_at").alias("last_fetched_at"))
 
 
