@@ -11,9 +11,19 @@ from newsweave.functions.binding import let
 # Named zones allowed in mail-style dates.
 ZONE_OFFSETS = (("GMT|UTC?|Z", "+0000"), ("EST|CDT", "-0500"), ("EDT", "-0400"), ("CST|MDT", "-0600"),
                 ("MST|PDT", "-0700"), ("PST", "-0800"))
+# Accepted formats, each behind the shape of text it can parse.
 FORMATS = (
-    "d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm Z", "d MMM yyyy HH:mm:ss", "d MMM yyyy HH:mm", "d MMM yyyy",
-    "MMM d, yyyy HH:mm:ss", "MMM d, yyyy", "MMMM d, yyyy", "d MMMM yyyy", "yyyy/M/d", "M/d/yyyy",
+    (r"^\d+ \w{3} \d{4} \d{2}:\d{2}:\d{2} [+\-]\d{4}$", "d MMM yyyy HH:mm:ss Z"),
+    (r"^\d+ \w{3} \d{4} \d{2}:\d{2} [+\-]\d{4}$", "d MMM yyyy HH:mm Z"),
+    (r"^\d+ \w{3} \d{4} \d{2}:\d{2}:\d{2}$", "d MMM yyyy HH:mm:ss"),
+    (r"^\d+ \w{3} \d{4} \d{2}:\d{2}$", "d MMM yyyy HH:mm"),
+    (r"^\d+ \w{3} \d{4}$", "d MMM yyyy"),
+    (r"^\w{3} \d+, \d{4} \d{2}:\d{2}:\d{2}$", "MMM d, yyyy HH:mm:ss"),
+    (r"^\w{3} \d+, \d{4}$", "MMM d, yyyy"),
+    (r"^\w{4,} \d+, \d{4}$", "MMMM d, yyyy"),
+    (r"^\d+ \w{4,} \d{4}$", "d MMMM yyyy"),
+    (r"^\d{4}/\d+/\d+$", "yyyy/M/d"),
+    (r"^\d+/\d+/\d{4}$", "M/d/yyyy"),
 )
 DAY = r"^\d{4}-\d{2}(-\d{2})?$"
 ISO = r"^\d{4}-\d{2}(-\d{2})?([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?([ ]?([Zz]|[+\-]\d{2}:?\d{2}))?)?$"
@@ -32,7 +42,7 @@ def _any_format(t: Column) -> Column:
     return F.coalesce(
         F.when(t.rlike(DAY), t.try_cast("timestamp")),
         F.when(t.rlike(ISO), iso.try_cast("timestamp")),
-        *[F.try_to_timestamp(t, F.lit(f)) for f in FORMATS],
+        *[F.when(t.rlike(shape), F.try_to_timestamp(t, F.lit(f))) for shape, f in FORMATS],
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from collections.abc import Sequence
@@ -86,7 +87,7 @@ def tokens(text: Column) -> Column:
 
 
 def token_set(text: Column) -> Column:
-    return F.array_sort(F.array_distinct(tokens(text)))
+    return F.array_distinct(tokens(text))
 
 
 def detect_language(text: Column, fallback: Column) -> Column:
@@ -121,10 +122,21 @@ def lead_sentence(text: Column) -> Column:
 
 
 def java_pattern(pattern: str) -> str:
-    r"""Give `\b` and `\w` their ASCII meaning in Java regexes, ignoring case as Unicode does."""
+    r"""Give `\b` and `\w` their ASCII meaning in Java regexes, ignoring case as Unicode does.
+
+    Around a list of plain words one look-around per side is enough; any other `\b` gets the full definition."""
     word = "A-Za-z0-9_"
+    plain = re.compile(f"[{word}]")
+
+    def word_list(found: re.Match) -> str:
+        options = found[1].split("|")
+        if all(plain.match(o) and (plain.match(o.rstrip("?+")[-1]) or o.endswith(r"\w+")) for o in options):
+            return f"(?<![{word}])({found[1]})(?![{word}])"
+        return found[0]
+
     edge = f"(?:(?<![{word}])(?=[{word}])|(?<=[{word}])(?![{word}]))"
-    return "(?iu)" + pattern.replace(r"\b", edge).replace(r"\w", f"[{word}]")
+    out = re.sub(r"\\b\(([^()]*)\)\\b", word_list, pattern)
+    return "(?iu)" + out.replace(r"\b", edge).replace(r"\w", f"[{word}]")
 
 
 def classify(text: Column, rules: Sequence[tuple[str, str]], default: str) -> Column:

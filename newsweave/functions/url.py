@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -156,13 +159,11 @@ def _public_ip(ip: Column) -> Column:
     octets = F.split(ip, r"\.")
     number = sum((F.get(octets, F.lit(i)).cast("long") * 256 ** (3 - i) for i in range(1, 4)), F.get(octets, F.lit(0)).cast("long") * 256**3)
     octet = "(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-    special = F.lit(False)
-    for first, last in K.SPECIAL_IPV4:
-        special = special | number.between(_ipv4_number(first), _ipv4_number(last))
+    special = let(number, lambda n: reduce(or_, [n.between(_ipv4_number(a), _ipv4_number(b)) for a, b in K.SPECIAL_IPV4]))
     v4 = F.when(ip.rlike(rf"^{octet}(\.{octet}){{3}}$"), ~special).otherwise(False)
     groups = F.split(ip, ":")
     group = lambda i: F.conv(F.coalesce(F.nullif(F.get(groups, F.lit(i)), F.lit("")), F.lit("0")), 16, 10).cast("long")
-    a, b = group(0), group(1)
-    reserved = (a == 0x2002) | ((a == 0x2001) & ((b < 0x200) | (b == 0xDB8))) | ((a == 0x3FFF) & (b < 0x1000))
+    reserved = let(F.struct(group(0).alias("a"), group(1).alias("b")), lambda g: (g["a"] == 0x2002)
+                   | ((g["a"] == 0x2001) & ((g["b"] < 0x200) | (g["b"] == 0xDB8))) | ((g["a"] == 0x3FFF) & (g["b"] < 0x1000)))
     v6 = F.when(ip.rlike("^[23][0-9a-fA-F]{3}:[0-9a-fA-F:]*$"), ~reserved).otherwise(False)
     return F.when(F.contains(ip, F.lit(":")), v6).otherwise(v4)

@@ -74,11 +74,10 @@ def publisher_resolve(links: DataFrame, sources: DataFrame, link: str = "url",
                       alias_domains: Iterable[tuple[str, str]] = K.ALIAS_DOMAINS) -> DataFrame:
     """Monitored publisher of each address: the source whose host is the address's host or a parent domain of
     it; the first by source name.  Every parent domain of the host is an equi-join key."""
-    spark = links.sparkSession
-    hosts = sources.where("enabled").select(
-        F.col("source_id"), F.col("name").alias("source_name"), url.publisher_host(F.col("url")).alias("domain"))
-    extra = spark.createDataFrame(list(alias_domains), "domain string, other string")
-    domains = hosts.unionByName(hosts.join(extra, "domain").select("source_id", "source_name", F.col("other").alias("domain")))
+    own = url.publisher_host(F.col("url"))
+    others = [F.when(F.col("domain") == a, F.lit(b)) for a, b in alias_domains]
+    domains = sources.where("enabled").select("source_id", F.col("name").alias("source_name"), own.alias("domain")).withColumn(
+        "domain", F.explode(F.array_compact(F.array("domain", *others))))
     first = domains.groupBy("domain").agg(F.min(F.struct("source_name", "source_id")).alias("source"))
     suffixes = lambda h: let(F.split(h, r"\."), lambda p: F.transform(
         F.sequence(F.lit(1), F.size(p)), lambda i: F.array_join(F.slice(p, i, F.size(p)), ".")))

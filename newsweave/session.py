@@ -55,10 +55,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/newsweave/{name}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through reliable storage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def checkpointed(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Cut the lineage through a table in the shared folder: computed once, safe when executors are lost."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:

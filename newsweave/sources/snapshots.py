@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from newsweave import constants as K
 from newsweave.operators.matching import entity_match
 from newsweave.operators.ranking import newest, top_k, within_quota
+from newsweave.session import checkpointed
 
 
 def build_snapshot(items: DataFrame, companies: DataFrame, cap: int | None = K.SNAPSHOT_ITEMS, text_chars: int | None = K.SNAPSHOT_TEXT_CHARS,
                    stream: str = "stream_id") -> tuple[DataFrame, DataFrame]:
     """(entries, source status) of each snapshot stream.  Entries are the newest `cap` matched (item, company)
     pairs, undated last; a stream beyond the cap is flagged as truncated."""
-    pairs = entity_match(items, companies).join(items, "item_id")
+    slim = items.select(stream, "item_id", "source_id", "published_at")
+    pairs = checkpointed(entity_match(items, companies).join(slim, "item_id"), "snapshot-pairs")
     order = [newest(F.col("published_at")), F.col("item_id"), F.col("company_id")]
     if cap is None:
         kept = pairs.withColumn("admitted", F.lit(True))
@@ -22,7 +24,8 @@ def build_snapshot(items: DataFrame, companies: DataFrame, cap: int | None = K.S
         kept = within_quota(pairs, [stream], order, cap)
     truncated = kept.groupBy(stream).agg((~F.bool_and("admitted")).alias("truncated"))
     body = F.substring("text", 1, text_chars) if text_chars else F.col("text")
-    entries = kept.where("admitted").select(stream, "item_id", "company_id", "source_id", "title", "url", body.alias("text"), "published_at", "language")
+    contents = items.select("item_id", "title", "url", "text", "language")
+    entries = kept.where("admitted").join(contents, "item_id").select(stream, "item_id", "company_id", "source_id", "title", "url", body.alias("text"), "published_at", "language")
     scanned = items.groupBy(stream, "source_id").agg(F.count(F.lit(1)).alias("scanned"))
     matched = pairs.groupBy(stream, "source_id").agg(F.count(F.lit(1)).alias("matched"))
     status = scanned.join(matched, [stream, "source_id"], "left").join(truncated, stream, "left").select(
