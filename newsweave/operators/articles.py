@@ -13,6 +13,7 @@ from newsweave import constants as K
 from newsweave.functions import text, url, vectors
 from newsweave.operators.matching import entity_match
 from newsweave.operators.ranking import first_per_key
+from newsweave.sources.tables import ANALYSIS
 
 
 def build_articles(items: DataFrame, companies: DataFrame, sources: DataFrame | None = None, scope: str = "feed-excerpt",
@@ -68,10 +69,9 @@ def enrich(articles: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame], m
                 out["warning"] = str(error)[:1000] or "enrichment failed"
             yield out
 
-    baseline = articles.schema["analysis"].dataType
     scored = inputs.mapInPandas(run, ENRICHED)
     rows = articles.join(scored, "article_id")
-    parsed = rows.withColumn("_m", F.from_json("model_analysis", baseline))
+    parsed = rows.withColumn("_m", F.from_json("model_analysis", ANALYSIS))
     m = lambda name: F.col(f"_m.{name}")
     text_ok = lambda c, n: c.isNotNull() & (F.length(c) <= n)
     original = F.concat("title", F.lit("\n"), "text")
@@ -85,11 +85,11 @@ def enrich(articles: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame], m
     good = F.coalesce(checks & supported, F.lit(False))
     vector_ok = vectors.vector_valid(F.col("embedding"))
     merged = F.struct(*[
-        (F.lit("model") if f == "mode" else F.lit(model_name) if f == "model" else m(f)).alias(f) for f in baseline.names])
+        (F.lit("model") if f == "mode" else F.lit(model_name) if f == "model" else m(f)).alias(f) for f in articles.schema["analysis"].dataType.names])
     return (
         parsed.withColumn("_norm", normal).withColumn("_good", good)
         .withColumn("warning", F.coalesce("warning", F.when(~F.col("_good"), "analysis validation failed"), F.when(~vector_ok, "embedding validation failed")))
-        .withColumn("analysis", F.when(F.col("_good"), merged.cast(baseline)).otherwise(F.col("analysis")))
+        .withColumn("analysis", F.when(F.col("_good"), merged).otherwise(F.col("analysis").cast(ANALYSIS)))
         .withColumn("embedding", F.when(vector_ok, F.col("embedding")))
         .withColumn("embedding_model", F.when(F.col("embedding").isNotNull(), model_name))
         .drop("_m", "_norm", "_good", "model_analysis")
