@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# No window holds more rows of one group than this, unless the last level of bins is reached.
+GROUP_ROWS = 200_000
+
+
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:
     """First k rows per key.  Spark prunes each map task to k rows per key before the shuffle."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
@@ -27,23 +31,49 @@ def newest(ts: Column) -> Column:
     return F.coalesce(-F.unix_micros(ts), F.lit((1 << 63) - 1))
 
 
-def full_rank(df: DataFrame, keys: Sequence[str], coarse: Column, order: Sequence[Column], name: str = "rank") -> DataFrame:
+def full_rank(df: DataFrame, keys: Sequence[str], levels: Sequence[Column], order: Sequence[Column], name: str = "rank") -> DataFrame:
     """Exact 1-based rank of every row per key, for keys of any size.
 
-    `coarse` is a bin that grows with `order` (rows of a lower bin always come first).  Rows are numbered inside
-    their bin and shifted by the number of rows in lower bins, so a hot key is spread over its bins."""
-    binned = df.withColumn("_bin", coarse)
-    before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        binned.groupBy(*keys, "_bin").count()
-        .select(*keys, "_bin", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
-    )
-    inner = F.row_number().over(Window.partitionBy(*keys, "_bin").orderBy(*order))
-    return (
-        binned.withColumn("_inner", inner).join(offsets, [*keys, "_bin"])
-        .withColumn(name, (F.col("_offset") + F.col("_inner")).cast("int"))
-        .drop("_bin", "_inner", "_offset")
-    )
+    Each level is a bin that grows with `order`: rows of a lower bin come first.  Rows are numbered inside their bin
+    and shifted by the size of the lower bins; a bin with more than GROUP_ROWS rows is divided by the next level."""
+    bin_name = f"_bin{len(keys)}"
+    binned = df.withColumn(bin_name, levels[0])
+    group = [*keys, bin_name]
+    before = Window.partitionBy(*keys).orderBy(bin_name).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = binned.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
+    offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+    placed = binned.join(offsets, group)
+
+    def finish(rows: DataFrame) -> DataFrame:
+        return rows.withColumn(name, (F.col("_offset") + F.col("_inner")).cast("int")).select(*df.columns, name)
+
+    number = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    if len(levels) == 1 or sizes.where(F.col("_size") > GROUP_ROWS).isEmpty():
+        return finish(placed.withColumn("_inner", number))
+    crowded = placed.where(F.col("_size") > GROUP_ROWS).withColumnRenamed("_offset", f"_base{len(keys)}").drop("_size")
+    inner = full_rank(crowded, group, levels[1:], order, "_inner").withColumnRenamed(f"_base{len(keys)}", "_offset")
+    return finish(placed.where(F.col("_size") <= GROUP_ROWS).withColumn("_inner", number)).unionByName(finish(inner))
+
+
+def running_min(df: DataFrame, keys: Sequence[str], value: str, levels: Sequence[Column], order: Sequence[Column], name: str) -> DataFrame:
+    """Minimum of `value` over the rows of the same key that come earlier in `order`, for keys of any size.
+
+    The minimum of all earlier bins is added to the running minimum inside the bin; levels divide crowded keys as in
+    `full_rank`."""
+    crowded_keys = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    if not levels or crowded_keys.where(F.col("_size") > GROUP_ROWS).isEmpty():
+        return df.withColumn(name, F.min(value).over(window))
+    sized = df.join(crowded_keys, list(keys))
+    plain = sized.where(F.col("_size") <= GROUP_ROWS).drop("_size").withColumn(name, F.min(value).over(window))
+    bin_name, bin_before = f"_bin{len(keys)}", f"_before{len(keys)}"
+    group = [*keys, bin_name]
+    binned = sized.where(F.col("_size") > GROUP_ROWS).drop("_size").withColumn(bin_name, levels[0])
+    earlier = Window.partitionBy(*keys).orderBy(bin_name).rowsBetween(Window.unboundedPreceding, -1)
+    bins = binned.groupBy(*group).agg(F.min(value).alias("_m")).select(*group, F.min("_m").over(earlier).alias(bin_before))
+    inner = running_min(binned, group, value, levels[1:], order, name).join(bins, group)
+    split = inner.withColumn(name, F.least(name, bin_before)).select(*df.columns, name)
+    return plain.unionByName(split)
 
 
 def within_quota(df: DataFrame, keys: Sequence[str], order: Sequence[Column], limit: int, name: str = "admitted") -> DataFrame:

@@ -163,16 +163,13 @@ def schedule_status(runs: DataFrame, now: Column, paused: Column | None = None)
 
 
 def run_gaps(runs: DataFrame, hours: int = K.DELAYED_HOURS) -> DataFrame:
-    """Pauses longer than `hours` between consecutive runs of a source, found per source and day; the first run
-    of a day is compared with the last run of the previous active day."""
-    day = F.to_date("started_at")
-    w = Window.partitionBy("source_id", "day").orderBy("started_at", "run_id")
-    daily = runs.withColumn("day", day)
-    edge = Window.partitionBy("source_id").orderBy("day")
-    days = daily.groupBy("source_id", "day").agg(F.max("started_at").alias("last")).withColumn("previous_last", F.lag("last").over(edge)).drop("last")
-    paired = daily.withColumn("inner_previous", F.lag("started_at").over(w)).join(days, ["source_id", "day"])
-    out = paired.withColumn("previous_run_at", F.coalesce("inner_previous", "previous_last"))
-    return out.where(F.col("started_at") - F.expr(f"INTERVAL {hours} HOUR") > F.col("previous_run_at")).select("source_id", "run_id", "previous_run_at", "started_at")
+    """Pauses longer than `hours` (at least one) between consecutive runs of a source.  Such a pause lies between the last
+    run of one active hour and the first run of the next one, so only one row per source and hour is compared."""
+    active = runs.groupBy("source_id", F.date_trunc("hour", "started_at").alias("hour")).agg(
+        F.min(F.struct("started_at", "run_id")).alias("first"), F.max("started_at").alias("last"))
+    previous = F.lag("last").over(Window.partitionBy("source_id").orderBy("hour"))
+    gaps = active.withColumn("previous_run_at", previous).select("source_id", "first.run_id", "previous_run_at", "first.started_at")
+    return gaps.where(F.col("started_at") - F.expr(f"INTERVAL {hours} HOUR") > F.col("previous_run_at"))
 
 
 def digest_sections(articles: DataFrame, companies: DataFrame) -> DataFrame:

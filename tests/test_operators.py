@@ -55,13 +55,27 @@ def test_publisher_alias_domain(spark):
 
 # --- ranking helpers ----------------------------------------------------------------------------------------
 
-def test_full_rank_equals_window(spark):
+@pytest.mark.parametrize("limit", [200_000, 20])
+def test_full_rank_equals_window(spark, monkeypatch, limit):
+    monkeypatch.setattr(ranking, "GROUP_ROWS", limit)
     rng = random.Random(1)
-    rows = [("hot" if rng.random() < .7 else "cold", i, round(rng.random() * 5, 2)) for i in range(600)]
+    rows = [("hot" if rng.random() < .7 else "cold", i, 1.5 if rng.random() < .3 else round(rng.random() * 5, 2)) for i in range(600)]
     df = spark.createDataFrame(rows, "query_id string, doc_id long, score double")
     plain = df.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")))
-    assert retrieval.ranked(df, 1).join(plain, ["query_id", "doc_id"]).where("rank != r").count() == 0
-    assert retrieval.ranked(df, 1).count() == 600
+    got = retrieval.ranked(df, 0).join(plain, ["query_id", "doc_id"])
+    assert got.where("rank != r").count() == 0 and got.count() == 600
+
+
+@pytest.mark.parametrize("limit", [200_000, 20, 2])
+def test_running_min_equals_window(spark, monkeypatch, limit):
+    monkeypatch.setattr(ranking, "GROUP_ROWS", limit)
+    rng = random.Random(2)
+    rows = [("hot" if rng.random() < .7 else f"k{i % 9}", i, rng.randrange(50), rng.randrange(1000)) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, id long, at long, v long")
+    order = Window.partitionBy("k").orderBy("at", "id")
+    plain = df.select("id", F.min("v").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("want"))
+    got = ranking.running_min(df, ["k"], "v", [F.floor(F.col("at") / 10), F.col("at"), F.floor(F.col("id") / 50)], [F.col("at"), F.col("id")], "got")
+    assert got.join(plain, "id").where("not (got <=> want)").count() == 0 and got.count() == 400
 
 
 def test_within_quota_keeps_all_rows(spark):
@@ -130,6 +144,7 @@ def _random_rows(seed, n):
 @pytest.mark.parametrize("seed,hot", [(1, 5_000), (2, 2)])
 def test_clusters_equal_sequential_definition(spark, monkeypatch, seed, hot):
     monkeypatch.setattr(clustering, "HOT_KEY_ROWS", hot)
+    monkeypatch.setattr(ranking, "GROUP_ROWS", hot)
     rows = _random_rows(seed, 90)
     got = {r.article_id: r.cluster_id for r in clustering.story_clusters(_frame(spark, rows)).collect()}
     want = _brute_clusters(rows)
