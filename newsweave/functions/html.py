@@ -53,12 +53,21 @@ def _attribute(tag: Column, name: str, pattern: str = _META_ATTRIBUTE) -> Column
     return F.regexp_replace(F.regexp_replace(value, r"""^[\w:-]+\s*=\s*["']""", ""), """["']$""", "")
 
 
-def meta_content(html: Column, key: str) -> Column:
-    """Decoded content of the first meta tag whose property or name is `key`; empty when absent."""
+def meta_tags(html: Column) -> Column:
+    """Meta tags of a page in order, as (property, name, content); missing attributes are null."""
     tags = F.regexp_extract_all(html, F.lit(r"(?i)<meta\b[^>]*>"), F.lit(0))
-    mine = F.filter(tags, lambda t: F.contains(t, F.lit(key)) & (
-        F.coalesce(_attribute(t, "property") == key, F.lit(False)) | F.coalesce(_attribute(t, "name") == key, F.lit(False))))
-    return F.coalesce(decode_entities(_attribute(F.get(mine, F.lit(0)), "content")), F.lit(""))
+    return F.transform(tags, lambda t: F.struct(*[_attribute(t, n).alias(n) for n in ("property", "name", "content")]))
+
+
+def meta_value(tags: Column, key: str) -> Column:
+    """Decoded content of the first tag whose property or name is `key`; empty when absent."""
+    is_key = lambda t, n: F.coalesce(t[n] == key, F.lit(False))
+    mine = F.filter(tags, lambda t: is_key(t, "property") | is_key(t, "name"))
+    return F.coalesce(decode_entities(F.get(mine, F.lit(0))["content"]), F.lit(""))
+
+
+def meta_content(html: Column, key: str) -> Column:
+    return meta_value(meta_tags(html), key)
 
 
 def _inner(html: Column, tag: str) -> Column:
@@ -68,19 +77,22 @@ def _inner(html: Column, tag: str) -> Column:
 
 
 def _filled(value: Column) -> Column:
-    return F.nullif(value, F.lit(""))
+    """Null instead of an empty text."""
+    return let(value, lambda v: F.when(v != "", v))
 
 
-def page_title(html: Column) -> Column:
-    raw = F.coalesce(_filled(meta_content(html, "og:title")), _filled(_inner(html, "h1")), _filled(_inner(html, "title")),
+def page_title(html: Column, meta: Column | None = None) -> Column:
+    meta = meta_tags(html) if meta is None else meta
+    raw = F.coalesce(_filled(meta_value(meta, "og:title")), _filled(_inner(html, "h1")), _filled(_inner(html, "title")),
                      F.lit(K.UNTITLED))
     return strip_html(raw)
 
 
-def page_body(html: Column) -> Column:
+def page_body(html: Column, meta: Column | None = None) -> Column:
+    meta = meta_tags(html) if meta is None else meta
     paragraphs = F.array_join(F.regexp_extract_all(html, F.lit(r"(?is)<p\b[^>]*>.*?</p>"), F.lit(0)), " ")
     raw = F.coalesce(_inner(html, "article"), _inner(html, "main"), paragraphs)
-    return strip_html(F.coalesce(_filled(raw), meta_content(html, "description")))
+    return strip_html(F.coalesce(_filled(raw), meta_value(meta, "description")))
 
 
 def structured_date(html: Column) -> Column:
@@ -105,8 +117,10 @@ def structured_date(html: Column) -> Column:
     return F.get(found, F.lit(0))
 
 
-def page_date(html: Column, now: Column) -> Column:
-    raw = F.coalesce(*[_filled(meta_content(html, k)) for k in K.META_DATE_KEYS], structured_date(html))
+def page_date(html: Column, now: Column, meta: Column | None = None) -> Column:
+    tags = meta_tags(html) if meta is None else meta
+    written = let(tags, lambda m: F.coalesce(*[_filled(meta_value(m, k)) for k in K.META_DATE_KEYS]))
+    raw = F.coalesce(written, structured_date(html))
     return dates.parse_date(raw, now)
 
 

@@ -166,22 +166,23 @@ def tone_label(
 
 def baseline_analysis(title: Column, text: Column, event_rules=K.EVENT_RULES, tone_rules=None) -> Column:
     """The rule-based analysis struct given to every new article."""
-    sentence = lead_sentence(text)
     tone = tone_label(title, text, *tone_rules) if tone_rules else tone_label(title, text)
-    quote = F.substring(F.coalesce(F.nullif(sentence, F.lit("")), title), 1, K.SUMMARY_CHARS)
+    passages = let(lead_sentence(text), lambda s: F.struct(
+        F.when(s != "", F.substring(s, 1, K.SUMMARY_CHARS)).otherwise(title).alias("summary"),
+        F.substring(F.when(s != "", s).otherwise(title), 1, K.SUMMARY_CHARS).alias("quote")))
     impact = "array<struct<stakeholder:string,direction:string,explanation:string>>"
-    return F.struct(
+    return let(passages, lambda p: F.struct(
         event_label(title, text, event_rules).alias("event_type"),
         tone.alias("sentiment"),
-        F.coalesce(F.nullif(F.substring(sentence, 1, K.SUMMARY_CHARS), F.lit("")), title).alias("summary"),
-        F.array(F.struct(F.lit(K.BASELINE_CLAIM).alias("claim"), quote.alias("quote"))).alias("facts"),
+        p["summary"].alias("summary"),
+        F.array(F.struct(F.lit(K.BASELINE_CLAIM).alias("claim"), p["quote"].alias("quote"))).alias("facts"),
         F.array().cast(impact).alias("impacts"),
         F.lit(K.BASELINE_UNCERTAINTY).alias("uncertainty"),
         F.lit("baseline").alias("mode"),
         F.lit(None).cast("string").alias("model"),
         F.lit(None).cast("string").alias("translated_title"),
         F.lit(None).cast("string").alias("translated_text"),
-    )
+    ))
 
 
 def quote_supported(quote: Column, original: Column) -> Column:

@@ -27,15 +27,20 @@ def host(url: Column) -> Column:
     return F.lower(_part(url, 3))
 
 
-def port(url: Column) -> Column:
-    """Port as text; empty when it is the default of the scheme."""
-    p = F.regexp_replace(_part(url, 4), "^0+(?=[0-9])", "")
-    default = ((scheme(url) == "https") & (p == "443")) | ((scheme(url) == "http") & (p == "80"))
-    return F.when(default, "").otherwise(p)
+def parts(url: Column) -> Column:
+    """Struct of scheme, credentials, host, port (empty when default), path and query; all empty when the text is no
+    absolute URL."""
+    raw = let(url, lambda u: F.struct(
+        scheme(u).alias("scheme"), _part(u, 2).alias("credentials"), host(u).alias("host"),
+        F.regexp_replace(_part(u, 4), "^0+(?=[0-9])", "").alias("port"), _part(u, 5).alias("path"), _part(u, 6).alias("query")))
+    default = lambda r: ((r["scheme"] == "https") & (r["port"] == "443")) | ((r["scheme"] == "http") & (r["port"] == "80"))
+    return let(raw, lambda r: F.struct(
+        r["scheme"], r["credentials"], r["host"], F.when(default(r), "").otherwise(r["port"]).alias("port"),
+        F.when(r["path"] == "", "/").otherwise(_remove_dots(r["path"])).alias("path"), r["query"]))
 
 
 def path_and_query(url: Column) -> Column:
-    return F.concat(_path(url), _part(url, 6))
+    return let(parts(url), lambda p: F.concat(p["path"], p["query"]))
 
 
 def publisher_host(url: Column) -> Column:
@@ -61,10 +66,6 @@ def _without_dots(path: Column) -> Column:
     return F.when(path.rlike(r"/(\.{1,2}|%2[eE]%2[eE])(/|$)"), F.regexp_replace(joined, "^(?!/)", "/")).otherwise(path)
 
 
-def _path(url: Column) -> Column:
-    return let(_part(url, 5), lambda p: F.when(p == "", "/").otherwise(_remove_dots(p)))
-
-
 def _form_encode(value: Column) -> Column:
     """Decode and re-encode a form value; malformed escapes stay as they are."""
     return F.url_encode(F.coalesce(F.try_url_decode(value), value))
@@ -90,54 +91,59 @@ def _clean_query(query: Column) -> Column:
 def canonical_url(url: Column) -> Column:
     """One spelling per address: no fragment, no tracking parameters, parameters sorted by name, no trailing
     slash (unless the path is `/`), lower-case host, no default port.  Null when the text is no absolute URL."""
-    return let(F.trim(url), _canonical)
+    return let(parts(F.trim(url)), _canonical)
+
+
+def _port_suffix(p: Column) -> Column:
+    return F.when(p["port"] != "", F.concat(F.lit(":"), p["port"])).otherwise("")
 
 
-def _canonical(u: Column) -> Column:
-    credentials = F.when(_part(u, 2) != "", F.concat(_part(u, 2), F.lit("@"))).otherwise("")
-    colon_port = F.when(port(u) != "", F.concat(F.lit(":"), port(u))).otherwise("")
-    path = let(_path(u), lambda p: F.when(p.rlike("^/+$"), "/").otherwise(F.regexp_replace(p, "/+$", "")))
-    text = F.concat(scheme(u), F.lit("://"), credentials, host(u), colon_port, path, _clean_query(_part(u, 6)))
-    return F.when(u.rlike(PARTS) & (host(u) != ""), text)
+def _canonical(p: Column) -> Column:
+    credentials = F.when(p["credentials"] != "", F.concat(p["credentials"], F.lit("@"))).otherwise("")
+    path = F.when(p["path"].rlike("^/+$"), "/").otherwise(F.regexp_replace(p["path"], "/+$", ""))
+    text = F.concat(p["scheme"], F.lit("://"), credentials, p["host"], _port_suffix(p), path, _clean_query(p["query"]))
+    return F.when((p["scheme"] != "") & (p["host"] != ""), text)
 
 
 def resolve_url(href: Column, base: Column) -> Column:
     """Absolute form of a link found on the page `base`."""
-    return let(F.struct(F.trim(href).alias("href"), base.alias("base")), lambda p: _resolve(p["href"], p["base"]))
+    shape = r"^([^?#]*)(.*)$"
+    base_parts = let(parts(base), lambda p: F.struct(
+        p["scheme"], F.concat(p["scheme"], F.lit("://"), p["host"], _port_suffix(p)).alias("origin"), p["path"], p["query"]))
+    link = F.struct(F.trim(href).alias("href"), F.regexp_extract(F.trim(href), shape, 1).alias("path"), F.regexp_extract(F.trim(href), shape, 2).alias("tail"))
+    return let(F.struct(link.alias("link"), base_parts.alias("base")), lambda x: _resolve(x["link"], x["base"]))
 
 
-def _resolve(h: Column, base: Column) -> Column:
-    origin = F.concat(scheme(base), F.lit("://"), host(base), F.when(port(base) != "", F.concat(F.lit(":"), port(base))).otherwise(""))
-    h_path = F.regexp_extract(h, r"^([^?#]*)(.*)$", 1)
-    h_tail = F.regexp_extract(h, r"^([^?#]*)(.*)$", 2)
-    directory = F.regexp_replace(_path(base), "[^/]*$", "")
+def _resolve(link: Column, base: Column) -> Column:
+    h = link["href"]
+    directory = F.regexp_replace(base["path"], "[^/]*$", "")
+    full = F.when(h.startswith("/"), link["path"]).otherwise(F.concat(directory, link["path"]))
     return (
         F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), h)
-        .when(h.startswith("//"), F.concat(scheme(base), F.lit(":"), h))
-        .when(h.startswith("/"), F.concat(origin, _remove_dots(h_path), h_tail))
-        .when(h.startswith("?"), F.concat(origin, _path(base), h))
-        .when(h.startswith("#") | (h == ""), F.concat(origin, path_and_query(base), h))
-        .otherwise(F.concat(origin, _remove_dots(F.concat(directory, h_path)), h_tail))
+        .when(h.startswith("//"), F.concat(base["scheme"], F.lit(":"), h))
+        .when(h.startswith("?"), F.concat(base["origin"], base["path"], h))
+        .when(h.startswith("#") | (h == ""), F.concat(base["origin"], base["path"], base["query"], h))
+        .otherwise(F.concat(base["origin"], _remove_dots(full), link["tail"]))
     )
 
 
 def url_rejection(url: Column) -> Column:
     """Null for an admissible public HTTPS address, otherwise the first reason against it."""
-    return let(F.struct(url.alias("url"), F.regexp_replace(host(url), r"\.$", "").alias("host")), lambda p: _rejection(p["url"], p["host"]))
-
-
-def _rejection(url: Column, h: Column) -> Column:
-    return (
-        F.when(url.isNull() | ~url.rlike(PARTS) | (h == ""), "not_absolute")
-        .when(scheme(url) != "https", "not_https")
-        .when(_part(url, 2) != "", "credentials")
-        .when(port(url) != "", "port")
-        .when(F.contains(h, F.lit(":")) | h.rlike(r"^[0-9.]+$"), "ip_literal")
-        .when(~F.contains(h, F.lit(".")), "no_dot")
-        .when(h.rlike(K.LOCAL_SUFFIX), "local_suffix")
-        .when(h.rlike(K.REBINDING_HOST), "rebinding_suffix")
-        .when(F.length(url) > K.MAX_URL_CHARS, "too_long")
-    )
+    checked = let(parts(url), lambda p: _rejection(p, F.regexp_replace(p["host"], r"\.$", "")))
+    return F.when(url.isNull(), "not_absolute").otherwise(F.coalesce(checked, F.when(F.length(url) > K.MAX_URL_CHARS, "too_long")))
+
+
+def _rejection(p: Column, host_name: Column) -> Column:
+    return let(F.struct(p.alias("p"), host_name.alias("h")), lambda x: (
+        F.when((x["p"]["scheme"] == "") | (x["h"] == ""), "not_absolute")
+        .when(x["p"]["scheme"] != "https", "not_https")
+        .when(x["p"]["credentials"] != "", "credentials")
+        .when(x["p"]["port"] != "", "port")
+        .when(F.contains(x["h"], F.lit(":")) | x["h"].rlike(r"^[0-9.]+$"), "ip_literal")
+        .when(~F.contains(x["h"], F.lit(".")), "no_dot")
+        .when(x["h"].rlike(K.LOCAL_SUFFIX), "local_suffix")
+        .when(x["h"].rlike(K.REBINDING_HOST), "rebinding_suffix")
+    ))
 
 
 def is_public_url(url: Column) -> Column:

@@ -14,17 +14,17 @@ def extract_pages(pages: DataFrame, now: Column, language: Column | None = None,
     """Title, body, date and language of each page (url, html) with a reject reason; null means accepted.
     Whole texts are kept unless a limit is given."""
     language = F.lit("en") if language is None else language
-    rows = pages.withColumn("title", html.page_title(F.col("html"))).withColumn("text", html.page_body(F.col("html")))
+    source, meta = F.col("html"), F.col("_meta")
+    rows = pages.withColumn("_meta", html.meta_tags(source)).withColumns({
+        "title": html.page_title(source, meta), "text": html.page_body(source, meta), "published_at": html.page_date(source, now, meta)})
     if title_chars:
         rows = rows.withColumn("title", F.substring("title", 1, title_chars))
     if text_chars:
         rows = rows.withColumn("text", F.substring("text", 1, text_chars))
     return (
-        rows.withColumn("published_at", html.page_date(F.col("html"), now))
-        .withColumn("url", url.canonical_url(F.col("url")))
-        .withColumn("language", text.detect_language(F.col("text"), language))
+        rows.withColumns({"url": url.canonical_url(F.col("url")), "language": text.detect_language(F.col("text"), language)})
         .withColumn("rejection", F.when(F.col("url").isNull(), "bad_url").otherwise(html.page_rejection(F.col("title"), F.col("text"))))
-        .drop("html")
+        .drop("html", "_meta")
     )
 
 
