@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from newsweave import constants as K
 from newsweave.functions import text, url
+from newsweave.functions.binding import let
 from newsweave.operators import articles as build
 from newsweave.operators import clustering
 from newsweave.session import scratch_path
@@ -152,7 +153,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     def make() -> DataFrame:
         rows = build.build_articles(items(spark, sf_dir), watchlist(spark, sf_dir), event_rules=EVENT_RULES, tone_rules=TONE_RULES)
         mode = F.when(F.col("item_id") % 4 == 0, "model").otherwise("baseline")
-        return rows.withColumn("analysis", F.col("analysis").withField("mode", mode)).withColumn(
+        return rows.withColumn("analysis", let(F.col("analysis"), lambda a: a.withField("mode", mode))).withColumn(
             "publisher", F.regexp_replace(url.host(F.col("url")), "^www[.]", ""))
 
     return stored(spark, sf_dir, "articles", make)
