@@ -8,12 +8,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+_PRUNE_THRESHOLD = "spark.sql.optimizer.windowGroupLimitThreshold"
+
 # No window holds more rows of one group than this, unless the last level of bins is reached.
 GROUP_ROWS = 200_000
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:
-    """First k rows per key.  Spark prunes each map task to k rows per key before the shuffle."""
+    """First k rows per key.  Spark prunes each map task to k rows per key before the shuffle, for k up to a session
+    threshold, which is raised where needed."""
+    conf = df.sparkSession.conf
+    if int(conf.get(_PRUNE_THRESHOLD, "1000")) < k:
+        conf.set(_PRUNE_THRESHOLD, str(k))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn(name, rank).where(F.col(name) <= k)
 

@@ -60,7 +60,7 @@ def story_clusters(spark, sf):
 @registered("story_groups", S.with_views("stories", "SELECT company_id, cluster_id, article_id, group_size, row_number() OVER (PARTITION BY company_id ORDER BY event_time DESC, article_id) AS position FROM stories"))
 def story_groups(spark, sf):
     groups = clustering.story_groups(inputs.clustered(spark, sf)).withColumn("t", ranking.newest(clustering.event_time()))
-    placed = ranking.full_rank(groups, ["company_id"], [F.floor(F.col("t") / 86_400_000_000), F.col("t"), F.substring("article_id", 1, 3)], [F.col("t"), F.col("article_id")], "position")
+    placed = ranking.full_rank(groups, ["company_id"], [F.floor(F.col("t") / 86_400_000_000), F.floor(F.col("t") / 1_000_000), F.col("t"), F.substring("article_id", 1, 3)], [F.col("t"), F.col("article_id")], "position")
     return placed.select("company_id", "cluster_id", "article_id", "group_size", F.col("position").cast("long").alias("position"))
 
 
