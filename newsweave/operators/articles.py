@@ -17,11 +17,11 @@ from newsweave.sources.tables import ANALYSIS
 
 
 def build_articles(items: DataFrame, companies: DataFrame, sources: DataFrame | None = None, scope: str = "feed-excerpt",
-                   event_rules=K.EVENT_RULES, tone_rules=None) -> DataFrame:
+                   event_rules=K.EVENT_RULES, tone_rules=None, pairs: DataFrame | None = None) -> DataFrame:
     """One article per (company, canonical address); the earliest collected item wins.  Ids are derived from the
-    key, so a retried run writes the same rows."""
+    key, so a retried run writes the same rows.  `pairs` takes stored (item, company) matches."""
     live = companies.where(~F.col("demo")) if "demo" in companies.columns else companies
-    pairs = entity_match(items, live)
+    pairs = entity_match(items, live) if pairs is None else pairs
     located = items.withColumn("url", url.canonical_url(F.col("url"))).where("url is not null")
     slim = pairs.join(located.select("item_id", "url", "fetched_at"), "item_id")
     chosen = first_per_key(slim, ["company_id", "url"], [F.col("fetched_at"), F.col("item_id")]).select("company_id", "item_id")

@@ -105,7 +105,7 @@ def dedupe_url_anti(spark, sf):
     from newsweave.functions import url
 
     located = inputs.items(spark, sf).select("item_id", "source_id", url.canonical_url(F.col("url")).alias("url"))
-    pairs = matching.entity_match(inputs.items(spark, sf), inputs.watchlist(spark, sf)).join(located, "item_id")
+    pairs = inputs.matches(spark, sf).join(located, "item_id")
     known = pairs.where("item_id % 3 = 0").select("company_id", "url")
     checked = merge.split_known(known, pairs, ["company_id", "url"])
     return checked.groupBy("source_id").agg(F.count_if("is_new").alias("fresh"), F.count_if(~F.col("is_new")).alias("duplicates"))
@@ -164,7 +164,7 @@ def zone_tone_pivot(spark, sf):
     FROM s LEFT JOIN a ON a.source_id = s.source_id"""))
 def run_metrics(spark, sf):
     items = inputs.items(spark, sf)
-    pairs = matching.entity_match(items, inputs.watchlist(spark, sf)).join(items.select("item_id", "source_id"), "item_id").withColumn(
+    pairs = inputs.matches(spark, sf).join(items.select("item_id", "source_id"), "item_id").withColumn(
         "is_new", F.col("item_id") % 3 != 0)
     return reports.run_metrics(items.select("item_id", "source_id"), pairs)
 
@@ -226,7 +226,7 @@ def import_outcomes(spark, sf):
 
     items = inputs.items(spark, sf)
     jobs = _jobs(spark, sf).withColumn("slot", F.substring("company_id", 2, 10).cast("int") % 20)
-    matched = matching.entity_match(items, inputs.watchlist(spark, sf)).withColumn("matched", F.lit(True))
+    matched = inputs.matches(spark, sf).withColumn("matched", F.lit(True))
     slim = items.select("item_id", "published_at", url.canonical_url(F.col("url")).alias("url"), (F.col("item_id") % 20).cast("int").alias("slot"))
     candidates = slim.join(jobs, "slot").join(matched, ["item_id", "company_id"], "left")
     first = candidates.groupBy("job_id", "url").agg(F.min("item_id").alias("first_id"))

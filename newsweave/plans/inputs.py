@@ -15,6 +15,7 @@ from newsweave.functions import text, url
 from newsweave.functions.binding import let
 from newsweave.operators import articles as build
 from newsweave.operators import clustering
+from newsweave.operators.matching import entity_match
 from newsweave.session import scratch_path
 
 # Rules over the invented words of the test corpus, in the form of the fixed event and tone rules.
@@ -147,11 +148,17 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored (item, company) matches, which several jobs read."""
+    return stored(spark, sf_dir, "matches", lambda: entity_match(items(spark, sf_dir), watchlist(spark, sf_dir)))
+
+
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored articles without their cluster; every fourth counts as enriched by a model."""
 
     def make() -> DataFrame:
-        rows = build.build_articles(items(spark, sf_dir), watchlist(spark, sf_dir), event_rules=EVENT_RULES, tone_rules=TONE_RULES)
+        rows = build.build_articles(items(spark, sf_dir), watchlist(spark, sf_dir), event_rules=EVENT_RULES, tone_rules=TONE_RULES,
+                                    pairs=matches(spark, sf_dir))
         mode = F.when(F.col("item_id") % 4 == 0, "model").otherwise("baseline")
         return rows.withColumn("analysis", let(F.col("analysis"), lambda a: a.withField("mode", mode))).withColumn(
             "publisher", F.regexp_replace(url.host(F.col("url")), "^www[.]", ""))
