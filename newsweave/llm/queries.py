@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsweave.llm import decontaminate, grace_dedup
+from newsweave.llm import decontaminate, grace_dedup, pii
 from newsweave.llm.common import table
 from newsweave.session import use_utc
 
@@ -54,3 +54,11 @@ def op3(spark, sf_dir):
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", decontaminate.hit_count().alias("n_hit"), F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), decontaminate.is_contaminated().alias("contaminated"))
+
+
+@query("op1_pii")
+def op1(spark, sf_dir):
+    found = pii.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.col("personal_data").alias("s"))
+    base = F.filter("s", lambda x: ~x["disguised"])
+    counts = [F.size(F.filter(F.col("base")["kind"], pii.same_kind(kind))).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.withColumn("base", base).select("doc_id", *counts, F.sha2(pii.span_list(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.span_list(F.col("s")).alias("spans"))
