@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsweave.llm import decontaminate, grace_dedup, pii
-from newsweave.llm.common import table
+from newsweave.llm import decontaminate, grace_dedup, language_id, pii
+from newsweave.llm.common import crc_column, table
 from newsweave.session import use_utc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,11 @@ def op1(spark, sf_dir):
     base = F.filter("s", lambda x: ~x["disguised"])
     counts = [F.size(F.filter(F.col("base")["kind"], pii.same_kind(kind))).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
     return found.withColumn("base", base).select("doc_id", *counts, F.sha2(pii.span_list(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.span_list(F.col("s")).alias("spans"))
+
+
+@query("op7_language_id")
+def op7(spark, sf_dir):
+    held_out = crc_column("doc_id") % 4 == 2
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out.alias("held_out"))
+    profiles = language_id.learn_profiles(docs.filter("not held_out"))
+    return language_id.identify(docs.select("doc_id", "text", "held_out"), profiles).select("doc_id", "held_out", "lang_pred", "score")
