@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsweave.llm import decontaminate, grace_dedup, language_id, pii
+from newsweave.llm import byte_bpe, decontaminate, grace_dedup, language_id, pii
 from newsweave.llm.common import crc_column, table
 from newsweave.session import use_utc
 
@@ -70,3 +71,9 @@ def op7(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out.alias("held_out"))
     profiles = language_id.learn_profiles(docs.filter("not held_out"))
     return language_id.identify(docs.select("doc_id", "text", "held_out"), profiles).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op8_byte_bpe")
+def op8(spark, sf_dir):
+    ranks = byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return byte_bpe.encode_and_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
