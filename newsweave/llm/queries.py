@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsweave.llm import byte_bpe, decontaminate, grace_dedup, language_id, pii
+from newsweave.llm import byte_bpe, decontaminate, grace_dedup, language_id, pii, token_files
 from newsweave.llm.common import crc_column, table
 from newsweave.session import use_utc
 
@@ -77,3 +77,11 @@ def op7(spark, sf_dir):
 def op8(spark, sf_dir):
     ranks = byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return byte_bpe.encode_and_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
+
+
+@query("op2_token_files")
+def op2(spark, sf_dir):
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        definition = file.read()
+    manifest = token_files.write_token_files(table(spark, sf_dir, "documents"), definition, end_id=2)
+    return token_files.read_token_files(manifest).withColumnRenamed("id", "doc_id")
