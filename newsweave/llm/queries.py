@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsweave.llm import byte_bpe, decontaminate, grace_dedup, language_id, pii, token_files
+from newsweave.llm import byte_bpe, decontaminate, grace_dedup, language_id, pii, style_tree, token_files
 from newsweave.llm.common import crc_column, table
 from newsweave.session import use_utc
 
@@ -85,3 +85,9 @@ def op2(spark, sf_dir):
         definition = file.read()
     manifest = token_files.write_token_files(table(spark, sf_dir, "documents"), definition, end_id=2)
     return token_files.read_token_files(manifest).withColumnRenamed("id", "doc_id")
+
+
+@query("op9_style_tree")
+def op9(spark, sf_dir):
+    found = style_tree.extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
