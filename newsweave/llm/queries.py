@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsweave.llm import byte_bpe, decontaminate, grace_dedup, language_id, pii, style_tree, token_files
+from newsweave.llm import byte_bpe, decontaminate, grace_dedup, hamming_dedup, language_id, pii, style_tree, token_files
 from newsweave.llm.common import crc_column, table
 from newsweave.session import use_utc
 
@@ -91,3 +91,8 @@ def op2(spark, sf_dir):
 def op9(spark, sf_dir):
     found = style_tree.extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op6_hamming_dedup")
+def op6(spark, sf_dir):
+    return hamming_dedup.near_duplicate_components(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("row")
