@@ -162,14 +162,23 @@ def is_contaminated(share: int = 20) -> Column:
     return (hit_count() > 0) & (hit_count() * share >= F.col("n_words"))
 
 
+def _shadowed(docs: DataFrame) -> dict[str, str]:
+    """New names for columns named like an output column, so that they come back as they were."""
+    return {f.name: f"_own_{f.name}" for f in FOUND if f.name in docs.columns}
+
+
 def remove_documents(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The documents that are not contaminated, unchanged."""
-    return find_contamination(docs, benchmark, **how).filter(~is_contaminated()).select(docs.columns)
+    names = _shadowed(docs)
+    found = find_contamination(docs.withColumnsRenamed(names), benchmark, **how).filter(~is_contaminated()).drop(*(f.name for f in FOUND))
+    return found.withColumnsRenamed({v: k for k, v in names.items()}).select(docs.columns)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **how) -> DataFrame:
     """All documents, with the benchmark passages cut out of their texts."""
-    found = find_contamination(docs, benchmark, text_col=text_col, **how)
+    names = _shadowed(docs)
+    found = find_contamination(docs.withColumnsRenamed(names), benchmark, text_col=text_col, **how)
     gaps = F.zip_with(F.concat(F.array(F.lit(0).cast("long")), F.col("hit_chars.end")), F.concat(F.col("hit_chars.start"), F.array(F.length(text_col).cast("long"))),
                       lambda a, b: F.substring(F.col(text_col), (a + 1).cast("int"), (b - a).cast("int")))
-    return found.withColumn(text_col, F.when(F.size("hit_chars") > 0, F.array_join(gaps, "")).otherwise(F.col(text_col))).select(docs.columns)
+    clean = found.withColumn(text_col, F.when(F.size("hit_chars") > 0, F.array_join(gaps, "")).otherwise(F.col(text_col))).drop(*(f.name for f in FOUND))
+    return clean.withColumnsRenamed({v: k for k, v in names.items()}).select(docs.columns)
