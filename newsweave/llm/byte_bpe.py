@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -67,14 +68,21 @@ def _unpack(payload: bytes) -> tuple[np.ndarray, bytes]:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
-    """Consecutive rows of a partition in chunks of bounded size, each with an id."""
+    """Consecutive rows of a partition in chunks of bounded size, each with an id.  The cuts depend on the texts alone, not on other
+    columns or on the batches."""
     held, size, number = [], 0, TaskContext.get().partitionId() << 32
-    for batch in slices(batches, CHUNK // 8):
-        held.append(batch)
-        size += batch.nbytes
-        if size >= CHUNK:
-            yield number, held
-            held, size, number = [], 0, number + 1
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            stop = min(int(np.searchsorted(ends, before + CHUNK - size)) + 1, batch.num_rows)
+            held.append(batch.slice(at, stop - at))
+            size += int(ends[stop - 1]) - before
+            at = stop
+            if size >= CHUNK:
+                yield number, held
+                held, size, number = [], 0, number + 1
     if held:
         yield number, held
 
@@ -141,7 +149,7 @@ def _packed_documents(batches):
     """Chunks -> their rows, as compressed Arrow streams."""
     options = pa.ipc.IpcWriteOptions(compression="zstd")
     for chunk, held in _chunks(batches):
-        for at, batch in enumerate(held):
+        for at, batch in enumerate(slices(held, CHUNK // 8)):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, batch.schema, options=options) as writer:
                 writer.write_batch(batch)
