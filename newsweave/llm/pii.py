@@ -19,6 +19,7 @@ from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,7 +38,6 @@ _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_DIGIT = re.compile(r"[0-9]")
 
 # Characters that look like ASCII letters, digits and signs.
 LOOK_ALIKES = dict(zip("аеорсухіјѕԁһӏАВЕКМНОРСТХІЈЅαορνιΑΒΕΖΗΙΚΜΝΟΡΤΥΧ․。．﹒＠﹫‐‑‒–—−", "aeopcyxijsdhlABEKMHOPCTXIJSaopviABEZHIKMNOPTYX....@@------"))
@@ -150,7 +150,7 @@ def plain_signs(text: Rewritten) -> Rewritten:
     return found.rewrite((m.start(), m.end(), ".") for m in numeric.finditer(found.text)) if numeric.search(found.text) else found
 
 
-TRANSDUCERS: tuple[Callable[[Rewritten], Rewritten], ...] = (plain_characters, plain_digits, plain_signs)
+TRANSDUCERS: dict[str, Callable[[Rewritten], Rewritten]] = {"odd": plain_characters, "spelled": plain_digits, "sign": plain_signs}
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -184,13 +184,14 @@ def find(kind: str, text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _PHONE.finditer(text) if 8 <= sum(c.isdigit() for c in m[0]) <= 15]
 
 
-def find_all(text: str) -> list[tuple[str, int, int, bool]]:
-    """All findings (kind, start, end, disguised), by kind and start, in code points of the source."""
-    digits = _DIGIT.search(text) is not None
-    plain = {kind: find(kind, text) if kind == "email" or digits else [] for kind in KINDS}
+def find_all(text: str, may: dict[str, bool] | None = None) -> list[tuple[str, int, int, bool]]:
+    """All findings (kind, start, end, disguised), by kind and start, in code points of the source.  `may` tells what the text may hold (see `hints`)."""
+    may = may or dict.fromkeys(HINTS, True)
+    plain = {kind: find(kind, text) if kind == "email" or may["digit"] else [] for kind in KINDS}
     clear = Rewritten(text)
-    for step in TRANSDUCERS:
-        clear = step(clear)
+    for name, step in TRANSDUCERS.items():
+        if may[name] or may["odd"]:
+            clear = step(clear)
     out = [(kind, a, b, False) for kind in KINDS for a, b in plain[kind]]
     if clear.text != text:
         for kind in KINDS:
@@ -206,6 +207,18 @@ def find_all(text: str) -> list[tuple[str, int, int, bool]]:
     return out
 
 
+# Necessary conditions of the transducers and of the kinds with digits, in the syntax of the column-wise regular expressions of Arrow.
+_ANY_NAME = "(?:" + "|".join(DIGIT_NAMES) + ")"
+HINTS = {"odd": "[" + "".join(sorted(_SINGLE)).replace("-", r"\-") + "]", "spelled": f"(?i){_ANY_NAME}[ ,-]{{1,2}}(?:{_ANY_NAME}|[0-9])|[0-9][ -]{_ANY_NAME}",
+         "sign": r"(?i)[\[({<]\s{0,3}(?:at|@|dot|\.)\s{0,3}[\])}>]| dot ", "digit": "[0-9]"}
+
+
+def hints(texts: pa.Array) -> list[dict[str, bool]]:
+    """What each text may hold: one scan of the whole column per condition."""
+    found = {name: pc.match_substring_regex(texts, pattern).to_pylist() for name, pattern in HINTS.items()}
+    return [dict(zip(found, row)) for row in zip(*found.values())]
+
+
 def find_personal_data(docs: DataFrame, text_col: str = "text", out_col: str = "personal_data") -> DataFrame:
     """The documents with an array of findings: kind, start and end (code points of the source, end exclusive) and whether disguised."""
     kept = [c for c in docs.columns if c != out_col]
@@ -214,7 +227,8 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", out_col: str = "
 
     def scan(batches):
         for batch in slices(batches, SLICE):
-            found = [[dict(zip(("kind", "start", "end", "disguised"), s)) for s in find_all(text or "")] for text in batch.column(text_col).cast(pa.string()).to_pylist()]
+            texts = batch.column(text_col).cast(pa.string()).fill_null("")
+            found = [[dict(zip(("kind", "start", "end", "disguised"), s)) for s in find_all(text, may)] for text, may in zip(texts.to_pylist(), hints(texts))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(found, arrow.field(out_col).type)], schema=arrow)
 
     return docs.mapInArrow(scan, schema)
