@@ -67,7 +67,7 @@ def _unpack(payload: bytes) -> tuple[np.ndarray, bytes]:
     return np.frombuffer(raw, "<u4", n, 4), raw[4 + 4 * n :]
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+def text_chunks(batches: Iterator[pa.RecordBatch], size_of: int = CHUNK) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
     """Consecutive rows of a partition in chunks of bounded size, each with an id.  The cuts depend on the texts alone, not on other
     columns or on the batches."""
     held, size, number = [], 0, TaskContext.get().partitionId() << 32
@@ -76,11 +76,11 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.Re
         at = 0
         while at < batch.num_rows:
             before = int(ends[at - 1]) if at else 0
-            stop = min(int(np.searchsorted(ends, before + CHUNK - size)) + 1, batch.num_rows)
+            stop = min(int(np.searchsorted(ends, before + size_of - size)) + 1, batch.num_rows)
             held.append(batch.slice(at, stop - at))
             size += int(ends[stop - 1]) - before
             at = stop
-            if size >= CHUNK:
+            if size >= size_of:
                 yield number, held
                 held, size, number = [], 0, number + 1
     if held:
@@ -106,7 +106,7 @@ def _ask(pattern: str, buckets: int):
 
     def run(batches):
         find = _scanner(pattern)
-        for chunk, held in _chunks(batches):
+        for chunk, held in text_chunks(batches):
             words: set[str] = set()
             for batch in held:
                 for text in batch.column("text").to_pylist():
@@ -145,15 +145,24 @@ def _answer(ranks):
     return run
 
 
-def _packed_documents(batches):
+def packed_documents(size_of: int = CHUNK):
     """Chunks -> their rows, as compressed Arrow streams."""
-    options = pa.ipc.IpcWriteOptions(compression="zstd")
-    for chunk, held in _chunks(batches):
-        for at, batch in enumerate(slices(held, CHUNK // 8)):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, batch.schema, options=options) as writer:
-                writer.write_batch(batch)
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([at], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "part", "payload"])
+
+    def run(batches):
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for chunk, held in text_chunks(batches, size_of):
+            for at, batch in enumerate(slices(held, CHUNK // 8)):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema, options=options) as writer:
+                    writer.write_batch(batch)
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([at], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "part", "payload"])
+
+    return run
+
+
+def unpacked_documents(documents: pa.Table) -> list[pa.RecordBatch]:
+    """The rows of one chunk, in order."""
+    return [pa.ipc.open_stream(p).read_next_batch() for _, p in sorted(zip(documents.column("part").to_pylist(), documents.column("payload").to_pylist()))]
 
 
 def take_runs(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -168,7 +177,7 @@ def _reassemble(pattern: str, buckets: int, kept: list[str], out_col: str, arrow
 
     def run(documents: pa.Table, answers: pa.Table) -> pa.Table:
         find = _scanner(pattern)
-        batches = [pa.ipc.open_stream(p).read_next_batch() for _, p in sorted(zip(documents.column("part").to_pylist(), documents.column("payload").to_pylist()))]
+        batches = unpacked_documents(documents)
         index: dict[str, int] = {}
         codes = []
         for batch in batches:
@@ -212,7 +221,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
     schema = T.StructType([*(docs.schema[c] for c in names), T.StructField(out_col, T.ArrayType(T.IntegerType()))])
     asked = docs.select("text").mapInArrow(_ask(pattern, buckets), "bucket int, chunk long, payload binary")
     answers = asked.repartition(F.col("bucket")).mapInArrow(_answer(spark.sparkContext.broadcast(ranks)), asked.schema)
-    packed = docs.mapInArrow(_packed_documents, "chunk long, part int, payload binary")
+    packed = docs.mapInArrow(packed_documents(), "chunk long, part int, payload binary")
     encoded = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_reassemble(pattern, buckets, names, out_col, to_arrow_schema(schema)), schema)
     return encoded.select(*(F.col(n).alias(c) for n, c in zip(names, kept)), out_col)
 

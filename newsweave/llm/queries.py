@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsweave.llm import byte_bpe, decontaminate, grace_dedup, hamming_dedup, language_id, pii, style_tree, token_files
+from newsweave.llm import byte_bpe, decontaminate, grace_dedup, hamming_dedup, language_id, pii, recurrent_lm, style_tree, token_files
 from newsweave.llm.common import crc_column, table
 from newsweave.session import use_utc
 
@@ -96,3 +96,8 @@ def op9(spark, sf_dir):
 @query("op6_hamming_dedup")
 def op6(spark, sf_dir):
     return hamming_dedup.near_duplicate_components(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("row")
+
+
+@query("op4_recurrent_lm")
+def op4(spark, sf_dir):
+    return recurrent_lm.score_documents(table(spark, sf_dir, "documents"))
