@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsweave.llm import byte_bpe, decontaminate, grace_dedup, hamming_dedup, language_id, pii, recurrent_lm, style_tree, token_files
+from newsweave.llm import byte_bpe, decontaminate, grace_dedup, hamming_dedup, language_id, license_scan, pii, recurrent_lm, style_tree, token_files
 from newsweave.llm.common import crc_column, table
 from newsweave.session import use_utc
 
@@ -101,3 +101,12 @@ def op6(spark, sf_dir):
 @query("op4_recurrent_lm")
 def op4(spark, sf_dir):
     return recurrent_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op5_license_scan")
+def op5(spark, sf_dir):
+    """The documents as a tree of files, source / language / hundreds of ids; a short one stands for the licence file of its directory."""
+    docs = table(spark, sf_dir, "documents")
+    folder = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.floor(F.col("doc_id") / 100).cast("string"))
+    files = docs.select("doc_id", "text", F.concat_ws("/", folder, F.col("doc_id").cast("string")).alias("path"), (F.length(F.coalesce("text", F.lit(""))) <= 400).alias("is_license_file"))
+    return license_scan.scan_licenses(files).select("doc_id", "path", "license", "license_score", "license_from", "license_dir")
