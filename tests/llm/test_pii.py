@@ -2,6 +2,7 @@
 
 import re
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -49,6 +50,12 @@ def test_disguises_map_back_to_source_characters():
     assert values("look at the dot on one two") == []
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["a", "B.", "@", " (at) ", "[dot]", " dot ", "com", "one ", "two-", "Three ", "9 ", "5", "４", "о", " ", "+1 ", "x@y.z", "\n"]), max_size=20).map("".join))
+def test_hints_never_hide_a_finding(text):
+    assert pii.find_all(text, pii.hints(pa.array([text]))[0]) == pii.find_all(text)
+
+
 def test_long_texts_stay_linear():
     for text in ("a" * 300_000 + "@", "1" * 300_000, "1." * 150_000, "+1 " * 100_000, "one " * 60_000, "a (at) " * 40_000, "dot " * 60_000):
         pii.find_all(text)
