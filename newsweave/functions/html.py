@@ -129,7 +129,7 @@ def page_rejection(title: Column, body: Column) -> Column:
 
 
 def advertised_links(html: Column, base: Column, mime: str = K.FEED_MIME, href: str = K.FEED_HREF,
-                     excluded: str = K.FEED_EXCLUDED, limit: int | None = K.DISCOVERED_FEEDS) -> Column:
+                     excluded: str = K.FEED_EXCLUDED, limit: int | None = None) -> Column:
     """Public addresses advertised by link and anchor tags, distinct, in page order, without the page itself."""
     clean = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1>", ""), r"(?s)<!--.*?-->", "")
     tags = F.regexp_extract_all(clean, F.lit(r"(?i)<(?:link|a)\b[^>]*>"), F.lit(0))

@@ -164,12 +164,13 @@ def tone_label(
                .when(f["pos"], "positive").when(f["neg"], "negative").otherwise("unclear"))
 
 
-def baseline_analysis(title: Column, text: Column, event_rules=K.EVENT_RULES, tone_rules=None) -> Column:
-    """The rule-based analysis struct given to every new article."""
+def baseline_analysis(title: Column, text: Column, event_rules=K.EVENT_RULES, tone_rules=None, passage_chars: int | None = None) -> Column:
+    """The rule-based analysis struct given to every new article.  Summary and quote are the whole lead sentence, cut to `passage_chars` if given."""
+    cut = lambda c: F.substring(c, 1, passage_chars) if passage_chars else c
     tone = tone_label(title, text, *tone_rules) if tone_rules else tone_label(title, text)
     passages = let(lead_sentence(text), lambda s: F.struct(
-        F.when(s != "", F.substring(s, 1, K.SUMMARY_CHARS)).otherwise(title).alias("summary"),
-        F.substring(F.when(s != "", s).otherwise(title), 1, K.SUMMARY_CHARS).alias("quote")))
+        F.when(s != "", cut(s)).otherwise(title).alias("summary"),
+        cut(F.when(s != "", s).otherwise(title)).alias("quote")))
     impact = "array<struct<stakeholder:string,direction:string,explanation:string>>"
     return let(passages, lambda p: F.struct(
         event_label(title, text, event_rules).alias("event_type"),

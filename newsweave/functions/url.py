@@ -127,10 +127,10 @@ def _resolve(link: Column, base: Column) -> Column:
     )
 
 
-def url_rejection(url: Column) -> Column:
-    """Null for an admissible public HTTPS address, otherwise the first reason against it."""
+def url_rejection(url: Column, max_chars: int | None = None) -> Column:
+    """Null for an admissible public HTTPS address, otherwise the first reason against it.  With `max_chars`, longer ones are `too_long`."""
     checked = let(parts(url), lambda p: _rejection(p, F.regexp_replace(p["host"], r"\.$", "")))
-    return F.when(url.isNull(), "not_absolute").otherwise(F.coalesce(checked, F.when(F.length(url) > K.MAX_URL_CHARS, "too_long")))
+    return F.when(url.isNull(), "not_absolute").otherwise(checked if max_chars is None else F.coalesce(checked, F.when(F.length(url) > max_chars, "too_long")))
 
 
 def _rejection(p: Column, host_name: Column) -> Column:

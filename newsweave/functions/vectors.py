@@ -24,6 +24,7 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.when((F.size(a) == F.size(b)) & (F.size(a) > 0), value), F.lit(0.0))
 
 
-def vector_valid(v: Column, max_dim: int = K.VECTOR_MAX_DIM) -> Column:
+def vector_valid(v: Column, max_dim: int | None = None) -> Column:
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.coalesce(F.size(v).between(1, max_dim) & finite, F.lit(False))
+    sized = F.size(v) >= 1 if max_dim is None else F.size(v).between(1, max_dim)
+    return F.coalesce(sized & finite, F.lit(False))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from newsweave import constants as K
 from newsweave.functions import text, url, vectors
@@ -15,6 +14,7 @@ from newsweave.operators.matching import entity_match
 from newsweave.operators.ranking import first_per_key
 from newsweave.sources.tables import ANALYSIS
 
+_SEPARATOR = "\x01"
 
 def build_articles(items: DataFrame, companies: DataFrame, sources: DataFrame | None = None, scope: str = "feed-excerpt",
                    event_rules=K.EVENT_RULES, tone_rules=None, pairs: DataFrame | None = None) -> DataFrame:
@@ -41,56 +41,66 @@ def build_articles(items: DataFrame, companies: DataFrame, sources: DataFrame |
     )
 
 
-ENRICHED = T.StructType([
-    T.StructField("article_id", T.StringType()),
-    T.StructField("model_analysis", T.StringType()),
-    T.StructField("embedding", T.ArrayType(T.FloatType())),
-    T.StructField("warning", T.StringType()),
-])
+RESULT = "model_analysis string, embedding array<float>, analysis_error string, embedding_error string"
 
 
-def enrich(articles: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame], model_name: str) -> DataFrame:
-    """Run a batch function over (article_id, title, text, embed_text) and keep only validated results.
+def _per_row(function: Callable[[pd.DataFrame], list], batch: pd.DataFrame) -> tuple[list, list]:
+    """Results and errors row by row: a batch that fails is halved until the failing rows stand alone."""
+    if not len(batch):
+        return [], []
+    try:
+        return list(function(batch)), [None] * len(batch)
+    except Exception as error:
+        if len(batch) == 1:
+            return [None], [str(error) or type(error).__name__]
+        middle = len(batch) // 2
+        halves = [_per_row(function, part) for part in (batch.iloc[:middle], batch.iloc[middle:])]
+        return halves[0][0] + halves[1][0], halves[0][1] + halves[1][1]
 
-    The function returns `analysis` (JSON text or None) and `embedding` (list or None) per row; an exception is
-    turned into a warning for the rows of that batch.  An analysis must satisfy the length and value checks and
-    quote the original; otherwise the baseline stays."""
-    inputs = articles.select(
-        "article_id", "title", F.substring("text", 1, K.MODEL_TEXT_CHARS).alias("text"),
-        F.substring(F.concat("title", F.lit("\n"), "text"), 1, K.EMBED_TEXT_CHARS).alias("embed_text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = pd.DataFrame({"article_id": batch["article_id"], "model_analysis": None, "embedding": None, "warning": None})
-            try:
-                result = model(batch)
-                out["model_analysis"], out["embedding"] = result["analysis"].to_numpy(), result["embedding"].to_numpy()
-            except Exception as error:  # a failed batch keeps its baseline
-                out["warning"] = str(error)[:1000] or "enrichment failed"
-            yield out
+def enrich(articles: DataFrame, analyse: Callable[[pd.DataFrame], list], embed: Callable[[pd.DataFrame], list], model_name: str,
+           text_chars: int | None = None, embed_chars: int | None = None, limits: dict[str, int] | None = None) -> DataFrame:
+    """Run two batch functions over (article_id, title, text, embed_text) and keep only validated results.
 
-    scored = inputs.mapInPandas(run, ENRICHED)
-    rows = articles.join(scored, "article_id")
-    parsed = rows.withColumn("_m", F.from_json("model_analysis", ANALYSIS))
+    `analyse` returns JSON text or None per row, `embed` a list of numbers or None.  They fail apart from each other and row by row: a
+    failing row gets its warning and keeps its baseline.  An analysis must satisfy the value checks and quote
+    the original (both compared after NFKC); `limits` may bound the lengths of event_type, summary, uncertainty, claim and quote.  Whole
+    texts are passed on unless a limit is given."""
+    cut = lambda c, n: F.substring(c, 1, n) if n else c
+    limits = limits or {}
+
+    @F.pandas_udf(RESULT)
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        analysis, analysis_error = _per_row(analyse, batch)
+        embedding, embedding_error = _per_row(embed, batch)
+        return pd.DataFrame({"model_analysis": analysis, "embedding": embedding, "analysis_error": analysis_error, "embedding_error": embedding_error}, dtype=object)
+
+    given = F.struct("article_id", "title", cut(F.col("text"), text_chars).alias("text"), cut(F.concat("title", F.lit("\n"), "text"), embed_chars).alias("embed_text"))
+    parsed = articles.drop("embedding").withColumn("_r", run(given)).withColumn("_m", F.from_json("_r.model_analysis", ANALYSIS))
     m = lambda name: F.col(f"_m.{name}")
-    text_ok = lambda c, n: c.isNotNull() & (F.length(c) <= n)
-    original = F.concat("title", F.lit("\n"), "text")
-    normal = text.fold(text.nfkc(original))
+    within = lambda c, name: c.isNotNull() & (F.length(c) <= limits[name]) if name in limits else c.isNotNull()
+    # all texts of a row go through NFKC together: the original, then the quotes
+    joined = F.array_join(F.concat(F.array(F.concat("title", F.lit("\n"), "text")), F.coalesce(F.transform(m("facts"), lambda f: F.coalesce(f["quote"], F.lit(""))), F.array().cast("array<string>"))), _SEPARATOR)
+    normal = F.transform(F.split(text.normalize(joined), _SEPARATOR), F.trim)
+    quotes = F.slice("_norm", 2, F.size("_norm"))
     checks = (
-        text_ok(m("event_type"), 80) & m("sentiment").isin(*K.TONES) & text_ok(m("summary"), 1200) & text_ok(m("uncertainty"), 1000)
+        within(m("event_type"), "event_type") & m("sentiment").isin(*K.TONES) & within(m("summary"), "summary") & within(m("uncertainty"), "uncertainty")
         & F.size(m("facts")).between(1, 5) & (F.coalesce(F.size(m("impacts")), F.lit(0)) <= 4)
-        & F.forall(m("facts"), lambda f: (F.length(f["claim"]) <= 700) & F.length(f["quote"]).between(K.QUOTE_MIN_CHARS, 700))
+        & F.forall(m("facts"), lambda f: within(f["claim"], "claim") & within(text.trim_ws(f["quote"]), "quote"))
+        & F.forall(quotes, lambda q: F.length(q) >= K.QUOTE_MIN_CHARS)
     )
-    supported = F.forall(m("facts"), lambda f: F.contains(F.col("_norm"), text.fold(f["quote"])))
+    supported = F.forall(quotes, lambda q: F.contains(F.get("_norm", F.lit(0)), q))
     good = F.coalesce(checks & supported, F.lit(False))
-    vector_ok = vectors.vector_valid(F.col("embedding"))
+    vector_ok = vectors.vector_valid(F.col("_r.embedding"))
     merged = F.struct(*[
         (F.lit("model") if f == "mode" else F.lit(model_name) if f == "model" else m(f)).alias(f) for f in articles.schema["analysis"].dataType.names])
+    warnings = F.concat_ws("; ", F.coalesce("_r.analysis_error", F.when(~F.col("_good"), "analysis validation failed")),
+                           F.coalesce("_r.embedding_error", F.when(~F.col("_vector_ok"), "embedding validation failed")))
     return (
-        parsed.withColumn("_norm", normal).withColumn("_good", good)
-        .withColumn("warning", F.coalesce("warning", F.when(~F.col("_good"), "analysis validation failed"), F.when(~vector_ok, "embedding validation failed")))
+        parsed.withColumn("_norm", normal).withColumns({"_good": good, "_vector_ok": vector_ok})
+        .withColumn("warning", F.nullif(warnings, F.lit("")))
         .withColumn("analysis", F.when(F.col("_good"), merged).otherwise(F.col("analysis").cast(ANALYSIS)))
-        .withColumn("embedding", F.when(vector_ok, F.col("embedding")))
+        .withColumn("embedding", F.when(F.col("_vector_ok"), F.col("_r.embedding")))
         .withColumn("embedding_model", F.when(F.col("embedding").isNotNull(), model_name))
-        .drop("_m", "_norm", "_good", "model_analysis")
+        .drop("_r", "_m", "_norm", "_good", "_vector_ok")
     )

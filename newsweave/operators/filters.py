@@ -77,7 +77,7 @@ def due_sources(sources: DataFrame, now: Column, seed: DataFrame | None = None,
     return out.orderBy(F.col("last_fetched_at").asc_nulls_first(), "source_id")
 
 
-def enrich_backlog(articles: DataFrame, failures: DataFrame, model: str | None = None, limit: int | None = K.ENRICH_CANDIDATES,
+def enrich_backlog(articles: DataFrame, failures: DataFrame, model: str | None = None, limit: int | None = None,
                    max_failures: int = K.ENRICH_MAX_FAILURES) -> DataFrame:
     """Articles still to be enriched, newest fetched first, without those that failed too often.  With `model`,
     vectors of another model are pending too."""
@@ -89,6 +89,6 @@ def enrich_backlog(articles: DataFrame, failures: DataFrame, model: str | None =
     return out.limit(limit) if limit else out
 
 
-def latest_articles(articles: DataFrame, company_id: str, limit: int = K.LATEST_ARTICLES) -> DataFrame:
+def latest_articles(articles: DataFrame, company_id: str, limit: int) -> DataFrame:
     time = F.coalesce("published_at", "fetched_at")
     return articles.where(F.col("company_id") == company_id).orderBy(newest(time), "article_id").limit(limit)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from newsweave import constants as K
 from newsweave.functions import text, url
 from newsweave.functions.binding import let
-from newsweave.session import is_small
+from newsweave.session import broadcast_if_small
 
 _SYMBOL = rf"[^\p{{L}}\p{{M}}\p{{N}}{K.WS_CLASS}]"
 
@@ -53,21 +53,20 @@ def entity_match(items: DataFrame, companies: DataFrame, key: str = "item_id", b
 
     `scope` restricts the match to companies already attached to the item through that column."""
     body = body if body is not None else F.concat("title", F.lit("\n"), "text")
-    anchors = alias_anchors(companies)
     wanted = [c for c in (key, scope) if c]
-    normalized = items.select(*wanted, text.normalize(body).alias("norm"))
-    confirmed = F.col("pattern").isNull() | F.expr("norm rlike pattern")
     same_company = (F.col("company_id") == F.col(scope)) if scope and scope != "company_id" else F.lit(True)
     join_on = ["anchor", "company_id"] if scope == "company_id" else ["anchor"]
-    keyed = normalized.withColumn("anchor", F.explode(text_keys(F.col("norm"))))
-    if is_small(anchors):
-        # one pass: every key probes the broadcast alias table, only hits keep their text
-        hits = keyed.join(F.broadcast(anchors), join_on).where(same_company & confirmed)
-    else:
-        # keys travel without the text; the text is joined back to the candidates
-        candidates = keyed.drop("norm").join(anchors, join_on).where(same_company).select(key, "company_id", "pattern").distinct()
-        hits = candidates.join(normalized.drop("company_id"), key).where(confirmed)
-    return hits.select(key, "company_id").distinct()
+    # only keys are exploded; a text joins back once, to the candidates of its item that need the boundary check
+    keyed = items.select(*wanted, F.explode(text_keys(text.normalize(body))).alias("anchor"))
+    candidates = keyed.join(broadcast_if_small(alias_anchors(companies)), join_on).where(same_company)
+    found = candidates.groupBy(key).agg(F.collect_set(F.struct("company_id", "pattern")).alias("found"))  # one entry per alias at most
+    sure = F.transform(F.filter("found", lambda f: f["pattern"].isNull()), lambda f: f["company_id"])
+    open_ = F.filter("found", lambda f: f["pattern"].isNotNull() & ~F.array_contains(F.col("sure"), f["company_id"]))
+    split = found.withColumn("sure", sure).withColumn("open", open_)
+    texts = items.select(key, body.alias("_body"))
+    checked = split.where(F.size("open") > 0).select(key, "open").join(texts, key).withColumn("norm", text.normalize(F.col("_body"))).select(
+        key, F.explode(F.expr("filter(open, f -> norm rlike f.pattern)")).alias("f")).select(key, F.col("f.company_id").alias("company_id"))
+    return split.select(key, F.explode("sure").alias("company_id")).unionByName(checked).distinct()
 
 
 def publisher_resolve(links: DataFrame, sources: DataFrame, link: str = "url",

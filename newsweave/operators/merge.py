@@ -59,11 +59,13 @@ def seed_upgrade(existing: DataFrame, seed: DataFrame, unique: Sequence[str], st
     return existing.unionByName(missing.select(*existing.columns))
 
 
-def candidate_append(queued: DataFrame, incoming: DataFrame, cap: int = K.CANDIDATES_PER_JOB) -> DataFrame:
+def candidate_append(queued: DataFrame, incoming: DataFrame, cap: int | None = None) -> DataFrame:
     """New (job, url) candidates: one per canonical address (smallest source id), not queued yet.  A job whose
-    total would pass the cap is refused as a whole and flagged."""
+    total would pass the cap, if one is given, is refused as a whole and flagged."""
     fresh = incoming.groupBy("job_id", "url").agg(F.min("source_id").alias("source_id")).join(
         queued.select("job_id", "url"), ["job_id", "url"], "left_anti")
+    if cap is None:
+        return fresh.select("job_id", "url", "source_id", F.lit(True).alias("accepted"))
     totals = queued.select("job_id", F.lit(0).alias("new")).unionByName(fresh.select("job_id", F.lit(1).alias("new"))).groupBy("job_id").agg(
         F.count(F.lit(1)).alias("total"))
     return fresh.join(totals, "job_id").select("job_id", "url", "source_id", (F.col("total") <= cap).alias("accepted"))

@@ -8,22 +8,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-_PRUNE_THRESHOLD = "spark.sql.optimizer.windowGroupLimitThreshold"
-
 # No window holds more rows of one group than this, unless the last level of bins is reached.
 GROUP_ROWS = 200_000
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:
-    """First k rows per key.  Spark prunes each map task to k rows per key before the shuffle, for k up to a session
-    threshold, which is raised where needed."""
-    conf = df.sparkSession.conf
-    if int(conf.get(_PRUNE_THRESHOLD, "1000")) < k:
-        conf.set(_PRUNE_THRESHOLD, str(k))
+    """First k rows per key.  Spark prunes each map task to k rows per key before the shuffle, for k up to the session's
+    `spark.sql.optimizer.windowGroupLimitThreshold`."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn(name, rank).where(F.col(name) <= k)
 
 
+def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys equal each other; keeps the left key columns."""
+    names = {k: f"_right_{k}" for k in keys}
+    condition = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
+    return left.join(right.withColumnsRenamed(names), condition, how).drop(*names.values())
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One whole row per key, the first in `order` (ascending, not null).  A plain aggregate, so hot keys are
     reduced on the map side."""
@@ -48,7 +50,7 @@ def full_rank(df: DataFrame, keys: Sequence[str], levels: Sequence[Column], orde
     before = Window.partitionBy(*keys).orderBy(bin_name).rowsBetween(Window.unboundedPreceding, -1)
     sizes = binned.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
     offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_size").over(before), F.lit(0)))
-    placed = binned.join(offsets, group)
+    placed = join_on_keys(binned, offsets, group)
 
     def finish(rows: DataFrame) -> DataFrame:
         return rows.withColumn(name, (F.col("_offset") + F.col("_inner")).cast("int")).select(*df.columns, name)
@@ -70,14 +72,14 @@ def running_min(df: DataFrame, keys: Sequence[str], value: str, levels: Sequence
     window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     if not levels or crowded_keys.where(F.col("_size") > GROUP_ROWS).isEmpty():
         return df.withColumn(name, F.min(value).over(window))
-    sized = df.join(crowded_keys, list(keys))
+    sized = join_on_keys(df, crowded_keys, keys)
     plain = sized.where(F.col("_size") <= GROUP_ROWS).drop("_size").withColumn(name, F.min(value).over(window))
     bin_name, bin_before = f"_bin{len(keys)}", f"_before{len(keys)}"
     group = [*keys, bin_name]
     binned = sized.where(F.col("_size") > GROUP_ROWS).drop("_size").withColumn(bin_name, levels[0])
     earlier = Window.partitionBy(*keys).orderBy(bin_name).rowsBetween(Window.unboundedPreceding, -1)
     bins = binned.groupBy(*group).agg(F.min(value).alias("_m")).select(*group, F.min("_m").over(earlier).alias(bin_before))
-    inner = running_min(binned, group, value, levels[1:], order, name).join(bins, group)
+    inner = join_on_keys(running_min(binned, group, value, levels[1:], order, name), bins, group)
     split = inner.withColumn(name, F.least(name, bin_before)).select(*df.columns, name)
     return plain.unionByName(split)
 
@@ -90,4 +92,4 @@ def within_quota(df: DataFrame, keys: Sequence[str], order: Sequence[Column], li
         top_k(df.select(*keys, sort_key.alias("_key")), keys, [F.col("_key")], limit, "_rank")
         .groupBy(*keys).agg(F.max("_key").alias("_cut"))
     )
-    return df.join(cut, list(keys)).withColumn(name, sort_key <= F.col("_cut")).drop("_cut")
+    return join_on_keys(df, cut, keys).withColumn(name, sort_key <= F.col("_cut")).drop("_cut")

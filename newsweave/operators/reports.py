@@ -87,15 +87,16 @@ def source_counters(metrics: DataFrame) -> DataFrame:
     return metrics.select("source_id", F.create_map(F.lit("inserted"), "inserted", F.lit("duplicates"), "duplicates").alias("stats"))
 
 
-def run_status(outcomes: DataFrame, limit: int = K.RUN_ERROR_CHARS) -> DataFrame:
-    """Status per run from (run_id, error, warning, truncated): error > partial > success.  Distinct warnings are
-    joined in order and cut to `limit` characters; no more than `limit` of them can fit, which bounds the list."""
+def run_status(outcomes: DataFrame, limit: int | None = None) -> DataFrame:
+    """Status per run from (run_id, error, warning, truncated): error > partial > success.  The distinct warnings of a run are
+    joined in order; with `limit`, cut to that many characters (no more than that many warnings can fit)."""
     flags = outcomes.groupBy("run_id").agg(
         F.max(F.when(F.col("error").isNotNull(), 2).when(F.col("warning").isNotNull() | F.coalesce("truncated", F.lit(False)), 1).otherwise(0)).alias("severity"),
         F.min("error").alias("error"))
     distinct = outcomes.where(F.length("warning") > 0).select("run_id", "warning").distinct()
-    listed = top_k(distinct, ["run_id"], [F.col("warning")], limit).groupBy("run_id").agg(
-        F.substring(F.array_join(F.array_sort(F.collect_list("warning")), " "), 1, limit).alias("warnings"))
+    few = top_k(distinct, ["run_id"], [F.col("warning")], limit) if limit else distinct
+    joined = F.array_join(F.array_sort(F.collect_list("warning")), " ")
+    listed = few.groupBy("run_id").agg((F.substring(joined, 1, limit) if limit else joined).alias("warnings"))
     status = F.when(F.col("severity") == 2, "error").when(F.col("severity") == 1, "partial").otherwise("success")
     return flags.join(listed, "run_id", "left").select("run_id", status.alias("status"), F.coalesce("error", "warnings").alias("message"))
 

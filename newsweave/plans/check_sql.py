@@ -142,7 +142,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT sha256(company_id || '|' || curl) AS article_id, company_id, item_id, source_id, source_id AS source_name, title, curl AS url, text,
           language, region, published_at, fetched_at, sha256({norm("text")}) AS content_hash,
           {event("title || chr(10) || text")} AS event_type, {tone("title || chr(10) || text")} AS sentiment,
-          coalesce(nullif(substr({sentence("text")}, 1, 420), ''), title) AS summary,
+          coalesce(nullif({sentence("text")}, ''), title) AS summary,
           CASE WHEN item_id % 4 = 0 THEN 'model' ELSE 'baseline' END AS mode,
           regexp_replace({host("curl")}, '^www[.]', '') AS publisher, coalesce(published_at, fetched_at) AS event_time
         FROM f"""),

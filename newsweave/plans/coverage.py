@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newsweave import constants as K
+from newsweave.functions import text
 from newsweave.operators import admission, clustering, filters, matching, merge, quality, reports
 from newsweave.operators import ranking
 from newsweave.plans import check_sql as S
@@ -28,6 +29,17 @@ def _sql_ts(c):
 
 # --- joins ------------------------------------------------------------------------------------------------
 
+@registered("entity_match_words", S.with_views("items", r"""
+    , t AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(nfc_normalize(title)), '[\p{L}\p{M}\p{N}]+')) AS w FROM items)
+    SELECT item_id, w AS company_id FROM t WHERE length(w) >= 6"""))
+def entity_match_words(spark, sf):
+    """Every word of six letters or more is an entity, so the aliases grow with the corpus and are joined by shuffle at size."""
+    items = inputs.items(spark, sf).select("item_id", "title")
+    words = items.select(F.explode(F.array_distinct(text.word_runs(text.normalize(F.col("title"))))).alias("name")).where(F.length("name") >= 6).distinct()
+    companies = words.select(F.col("name").alias("company_id"), "name", F.array().cast("array<string>").alias("aliases"))
+    return matching.entity_match(items, companies, body=F.col("title"))
+
+
 @registered("entity_match", S.with_views("matches", "SELECT item_id, company_id FROM matches"))
 def entity_match(spark, sf):
     return matching.entity_match(inputs.items(spark, sf), inputs.watchlist(spark, sf))
@@ -172,7 +184,7 @@ def run_metrics(spark, sf):
 @registered("run_status", S.with_views("runs", """
     , o AS (SELECT source_id || '-' || strftime(started_at, '%Y-%m-%d') AS run_id, CASE WHEN run_id % 11 = 0 THEN error END AS error,
         CASE WHEN status = 'partial' THEN 'limit ' || (run_id % 4) END AS warning, run_id % 13 = 0 AS truncated FROM runs),
-    w AS (SELECT run_id, substr(string_agg(warning, ' ' ORDER BY warning), 1, 1200) AS warnings FROM (SELECT DISTINCT run_id, warning FROM o WHERE warning IS NOT NULL) GROUP BY 1)
+    w AS (SELECT run_id, string_agg(warning, ' ' ORDER BY warning) AS warnings FROM (SELECT DISTINCT run_id, warning FROM o WHERE warning IS NOT NULL) GROUP BY 1)
     SELECT o.run_id, CASE WHEN count(error) > 0 THEN 'error' WHEN count(warning) > 0 OR bool_or(truncated) THEN 'partial' ELSE 'success' END AS status,
       coalesce(min(error), any_value(warnings)) AS message FROM o LEFT JOIN w ON w.run_id = o.run_id GROUP BY o.run_id"""))
 def run_status(spark, sf):
@@ -316,7 +328,7 @@ def scan_company_latest(spark, sf):
 def scan_runs_latest(spark, sf):
     from newsweave.sources import tables
 
-    return tables.latest_runs(inputs.runs(spark, sf)).select("run_id", "source_id", _ts("started_at").alias("started_at"), "status")
+    return tables.latest_runs(inputs.runs(spark, sf), K.RUN_HISTORY).select("run_id", "source_id", _ts("started_at").alias("started_at"), "status")
 
 
 @registered("latest_per_company", S.with_views("articles", "SELECT company_id, article_id, CAST(row_number() OVER (PARTITION BY company_id ORDER BY event_time DESC, article_id) AS INTEGER) AS rank FROM articles QUALIFY rank <= 25"))

@@ -201,23 +201,22 @@ def seed_upgrade(spark, sf):
 @registered("candidate_append", S.with_views("items", f"""
     , i AS (SELECT 'job-' || language AS job_id, {S.canonical('url')} AS url, source_id, item_id FROM items),
     q AS (SELECT DISTINCT job_id, url FROM i WHERE item_id % 5 = 0),
-    f AS (SELECT i.job_id, i.url, min(source_id) AS source_id FROM i WHERE (job_id, url) NOT IN (SELECT (job_id, url) FROM q) GROUP BY ALL),
-    n AS (SELECT job_id, count(*) AS total FROM (SELECT job_id FROM q UNION ALL SELECT job_id FROM f) GROUP BY 1)
-    SELECT f.job_id, f.url, f.source_id, n.total <= 300 AS accepted FROM f JOIN n ON n.job_id = f.job_id"""))
+    f AS (SELECT i.job_id, i.url, min(source_id) AS source_id FROM i WHERE (job_id, url) NOT IN (SELECT (job_id, url) FROM q) GROUP BY ALL)
+    SELECT f.job_id, f.url, f.source_id, TRUE AS accepted FROM f"""))
 def candidate_append(spark, sf):
     rows = inputs.items(spark, sf).select(F.concat(F.lit("job-"), "language").alias("job_id"), url.canonical_url(F.col("url")).alias("url"), "source_id", "item_id")
     queued = rows.where("item_id % 5 = 0").select("job_id", "url").distinct()
-    return merge.candidate_append(queued, rows.drop("item_id"), cap=300)
+    return merge.candidate_append(queued, rows.drop("item_id"))
 
 
 # --- snapshots ------------------------------------------------------------------------------------------------
 
 @registered("snapshot_build", S.with_views("items matches", """
-    , p AS (SELECT i.language AS stream_id, m.item_id, m.company_id, i.source_id, length(substr(i.text, 1, 2400)) AS n_chars, i.published_at FROM matches m JOIN items i ON i.item_id = m.item_id),
-    k AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY published_at DESC NULLS LAST, item_id, company_id) AS r, count(*) OVER (PARTITION BY stream_id) AS n FROM p)
-    SELECT stream_id, item_id, company_id, source_id, n_chars, n > 100 AS truncated, count(*) OVER (PARTITION BY stream_id, source_id) AS matched FROM k QUALIFY r <= 100"""))
+    , p AS (SELECT i.language AS stream_id, m.item_id, m.company_id, i.source_id, length(i.text) AS n_chars, i.published_at FROM matches m JOIN items i ON i.item_id = m.item_id),
+    k AS (SELECT * FROM p)
+    SELECT stream_id, item_id, company_id, source_id, n_chars, FALSE AS truncated, count(*) OVER (PARTITION BY stream_id, source_id) AS matched FROM k"""))
 def snapshot_build(spark, sf):
-    entries, status = snapshots.build_snapshot(inputs.items(spark, sf).withColumn("stream_id", F.col("language")), inputs.watchlist(spark, sf), cap=100)
+    entries, status = snapshots.build_snapshot(inputs.items(spark, sf).withColumn("stream_id", F.col("language")), inputs.watchlist(spark, sf))
     return entries.join(status, ["stream_id", "source_id"]).select(
         "stream_id", "item_id", "company_id", "source_id", F.length("text").cast("long").alias("n_chars"), "truncated", "matched")
 

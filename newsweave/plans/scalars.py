@@ -78,8 +78,8 @@ def tone_label(spark, sf):
 
 @registered("baseline_analysis", S.with_views("items", f"""
     SELECT item_id, {S.event('title || chr(10) || text')} AS event_type, {S.tone('title || chr(10) || text')} AS sentiment,
-      coalesce(nullif(substr({S.sentence('text')}, 1, 420), ''), title) AS summary,
-      substr(coalesce(nullif({S.sentence('text')}, ''), title), 1, 420) AS quote, CAST(0 AS BIGINT) AS impacts, 'baseline' AS mode FROM items"""))
+      coalesce(nullif({S.sentence('text')}, ''), title) AS summary,
+      coalesce(nullif({S.sentence('text')}, ''), title) AS quote, CAST(0 AS BIGINT) AS impacts, 'baseline' AS mode FROM items"""))
 def baseline_analysis(spark, sf):
     a = text.baseline_analysis(F.col("title"), F.col("text"), inputs.EVENT_RULES, inputs.TONE_RULES)
     return inputs.items(spark, sf).select("item_id", a.alias("a")).select(
@@ -120,10 +120,9 @@ def _with_meta(pages):
 
 
 @registered("html_meta", """SELECT page_id, CASE WHEN page_id % 2 = 0 THEN page_id || ' & co' ELSE '' END AS description,
-    CASE WHEN page_id % 2 = 1 THEN 'T' || page_id ELSE '' END AS og_title FROM pages WHERE contains(html, '<meta charset="utf-8">')""")
+    CASE WHEN page_id % 2 = 1 THEN 'T' || page_id ELSE '' END AS og_title FROM pages""")
 def html_meta(spark, sf):
-    marked = inputs.pages(spark, sf).where(F.contains("html", F.lit('<meta charset="utf-8">')))
-    return _with_meta(marked).select("page_id", html.meta_content(F.col("html"), "description").alias("description"),
+    return _with_meta(inputs.pages(spark, sf)).select("page_id", html.meta_content(F.col("html"), "description").alias("description"),
                                      html.meta_content(F.col("html"), "og:title").alias("og_title"))
 
 
@@ -166,15 +165,14 @@ def page_date(spark, sf):
 
 @registered("page_links", r"""
     WITH p AS (SELECT page_id, url, regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS h
-      FROM pages WHERE starts_with(url, 'https://')),
+      FROM pages),
     t AS (SELECT page_id, url, generate_subscripts(l, 1) AS n, unnest(l) AS href FROM (
       SELECT page_id, url, regexp_extract_all(h, '<a href="([^"]*)"', 1) AS l FROM p)),
-    r AS (SELECT page_id, n, regexp_extract(url, '^(https://[^/?#]*)', 1) || href AS link FROM t WHERE regexp_matches(href, '^/[a-zA-Z]')),
+    r AS (SELECT page_id, n, regexp_extract(url, '^(https?://[^/?#]*)', 1) || href AS link FROM t WHERE regexp_matches(href, '^/[a-zA-Z]') AND starts_with(url, 'https://')),
     d AS (SELECT page_id, link, min(n) AS n FROM r GROUP BY ALL)
-    SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY n) AS pos, link FROM d QUALIFY pos <= 3""")
+    SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY n) AS pos, link FROM d""")
 def page_links(spark, sf):
-    secure = inputs.pages(spark, sf).where(F.col("url").startswith("https://"))
-    found = page_source.discovered_links(secure.select("page_id", "url", "html"), href="^/[a-zA-Z]")
+    found = page_source.discovered_links(inputs.pages(spark, sf).select("page_id", "url", "html"), href="^/[a-zA-Z]")
     return found.select("page_id", F.col("pos").cast("long").alias("pos"), "link")
 
 
@@ -210,7 +208,7 @@ def url_admissible(spark, sf):
                F.concat(F.lit("https://10.0.0."), s, F.lit("/x")), F.concat(F.lit("https://localhost/"), s), F.concat(F.lit("https://x"), s, F.lit(".internal/")),
                F.concat(F.lit("https://h"), s, F.lit(".nip.io/")), F.regexp_extract(u, "[^:]*$", 0), F.regexp_replace(u, "^https?(://[^/]*)", "https$1:443")]
     variant = F.get(F.array(*options), (F.col("page_id") % 10).cast("int"))
-    return inputs.pages(spark, sf).select("page_id", variant.alias("u")).select("page_id", url.url_rejection(F.col("u")).alias("rejection"))
+    return inputs.pages(spark, sf).select("page_id", variant.alias("u")).select("page_id", url.url_rejection(F.col("u"), K.MAX_URL_CHARS).alias("rejection"))
 
 
 _SPECIAL_SQL = " OR ".join(f"n BETWEEN {url._ipv4_number(a)} AND {url._ipv4_number(b)}" for a, b in K.SPECIAL_IPV4)

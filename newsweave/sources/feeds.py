@@ -30,7 +30,7 @@ def parse_feeds(payloads: DataFrame) -> DataFrame:
 
 
 def feed_items(payloads: DataFrame, now: Column, base: str = "url", language: str = "language",
-               max_items: int | None = K.FEED_ITEMS, title_chars: int | None = None, text_chars: int | None = None) -> DataFrame:
+               max_items: int | None = None, title_chars: int | None = None, text_chars: int | None = None) -> DataFrame:
     """Items of all accepted payloads (feed_id, url, language, xml): one row each, bad items dropped one by one."""
     entries = F.coalesce("feed.channel.item", "feed.entry", "feed.item")
     if max_items:

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from newsweave import constants as K
 from newsweave.operators.matching import entity_match
-from newsweave.operators.ranking import newest, top_k, within_quota
+from newsweave.operators.ranking import join_on_keys, newest, top_k, within_quota
 from newsweave.session import checkpointed
 
 
-def build_snapshot(items: DataFrame, companies: DataFrame, cap: int | None = K.SNAPSHOT_ITEMS, text_chars: int | None = K.SNAPSHOT_TEXT_CHARS,
+def build_snapshot(items: DataFrame, companies: DataFrame, cap: int | None = None, text_chars: int | None = None,
                    stream: str = "stream_id") -> tuple[DataFrame, DataFrame]:
     """(entries, source status) of each snapshot stream.  Entries are the newest `cap` matched (item, company)
-    pairs, undated last; a stream beyond the cap is flagged as truncated."""
+    pairs, undated last; a stream beyond the cap is flagged as truncated.  Without limits all pairs and whole texts are kept."""
     slim = items.select(stream, "item_id", "source_id", "published_at")
     pairs = checkpointed(entity_match(items, companies).join(slim, "item_id"), "snapshot-pairs")
     order = [newest(F.col("published_at")), F.col("item_id"), F.col("company_id")]
@@ -28,7 +28,7 @@ def build_snapshot(items: DataFrame, companies: DataFrame, cap: int | None = K.S
     entries = kept.where("admitted").join(contents, "item_id").select(stream, "item_id", "company_id", "source_id", "title", "url", body.alias("text"), "published_at", "language")
     scanned = items.groupBy(stream, "source_id").agg(F.count(F.lit(1)).alias("scanned"))
     matched = pairs.groupBy(stream, "source_id").agg(F.count(F.lit(1)).alias("matched"))
-    status = scanned.join(matched, [stream, "source_id"], "left").join(truncated, stream, "left").select(
+    status = scanned.transform(lambda df: join_on_keys(df, matched, [stream, "source_id"], "left")).transform(lambda df: join_on_keys(df, truncated, [stream], "left")).select(
         stream, "source_id", "scanned", F.coalesce("matched", F.lit(0)).alias("matched"), F.coalesce("truncated", F.lit(False)).alias("truncated"))
     return entries, status
 
@@ -50,13 +50,13 @@ def unseal(sealed: Column, key: Column, aad: str) -> Column:
 def manifest_retain(manifest: DataFrame, added: DataFrame, keep: int = K.SNAPSHOTS_KEPT, stream: str = "stream_id") -> DataFrame:
     """Manifest rows after an append, each marked `kept` or expired.  A row with the same id replaces the old
     one; the newest `keep` ids per stream stay."""
-    replaced = manifest.join(added.select(stream, "snapshot_id"), [stream, "snapshot_id"], "left_anti")
+    replaced = join_on_keys(manifest, added.select(stream, "snapshot_id"), [stream, "snapshot_id"], "left_anti")
     return within_descending(replaced.unionByName(added.select(*manifest.columns)), stream, keep)
 
 
 def within_descending(rows: DataFrame, stream: str, keep: int) -> DataFrame:
     newest_ids = top_k(rows, [stream], [F.col("snapshot_id").desc()], keep, "_rank").groupBy(stream).agg(F.min("snapshot_id").alias("_cut"))
-    return rows.join(newest_ids, stream).withColumn("kept", F.col("snapshot_id") >= F.col("_cut")).drop("_cut")
+    return join_on_keys(rows, newest_ids, [stream]).withColumn("kept", F.coalesce(F.col("snapshot_id") >= F.col("_cut"), F.lit(False))).drop("_cut")
 
 
 def manifest_verify(payloads: DataFrame, manifest: DataFrame, now: Column) -> DataFrame:

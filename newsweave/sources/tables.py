@@ -38,11 +38,11 @@ def sources(df: DataFrame) -> DataFrame:
     return df.orderBy("name")
 
 
-def latest_runs(df: DataFrame, limit: int = K.RUN_HISTORY) -> DataFrame:
+def latest_runs(df: DataFrame, limit: int) -> DataFrame:
     return df.orderBy(F.col("started_at").desc(), "run_id").limit(limit)
 
 
-def latest_jobs(df: DataFrame, kind: str | None = None, limit: int = K.JOB_HISTORY) -> DataFrame:
+def latest_jobs(df: DataFrame, kind: str | None = None, *, limit: int) -> DataFrame:
     return (df.where(F.col("kind") == kind) if kind else df).orderBy(F.col("updated_at").desc(), "job_id").limit(limit)
 
 

@@ -14,6 +14,7 @@ import golden_data
 from newsweave import constants as K
 from newsweave.functions import text
 from newsweave.operators import admission, articles, clustering, filters, matching, merge, quality, ranking, reports, retrieval
+from newsweave.sources import snapshots
 from newsweave.streaming import jobs
 
 T0 = dt.datetime(2026, 9, 1, 9)
@@ -31,7 +32,7 @@ TEXTS = {
 
 @pytest.mark.parametrize("small", [True, False])
 def test_entity_match(spark, monkeypatch, small):
-    monkeypatch.setattr(matching, "is_small", lambda df, *a: small)
+    monkeypatch.setattr(matching, "broadcast_if_small", lambda df, *a: F.broadcast(df) if small else df)
     companies = spark.createDataFrame(COMPANIES, "company_id string, name string, aliases array<string>")
     items = spark.createDataFrame([(i, "", t) for i, (t, _) in TEXTS.items()], "item_id long, title string, text string")
     got = {(r.item_id, r.company_id) for r in matching.entity_match(items, companies).collect()}
@@ -40,7 +41,7 @@ def test_entity_match(spark, monkeypatch, small):
 
 @pytest.mark.parametrize("small", [True, False])
 def test_entity_match_scoped(spark, monkeypatch, small):
-    monkeypatch.setattr(matching, "is_small", lambda df, *a: small)
+    monkeypatch.setattr(matching, "broadcast_if_small", lambda df, *a: F.broadcast(df) if small else df)
     companies = spark.createDataFrame(COMPANIES, "company_id string, name string, aliases array<string>")
     rows = spark.createDataFrame([(1, "tcs", "m&m and tcs"), (2, "cpp", "m&m and tcs"), (3, "mm", "m&m")], "row_id long, company_id string, text string")
     got = {(r.row_id, r.company_id) for r in matching.entity_match(rows, companies, key="row_id", body=F.col("text"), scope="company_id").collect()}
@@ -326,19 +327,56 @@ def test_enrich_validates_and_falls_back(spark):
     companies = spark.createDataFrame([("z", "Zoho", [], False)], "company_id string, name string, aliases array<string>, demo boolean")
     base = articles.build_articles(_items(spark), companies)
 
-    def model(quote, vector):
+    def model(quote):
         body = '{"event_type":"E","sentiment":"mixed","summary":"s","facts":[{"claim":"c","quote":"%s"}],"impacts":[],"uncertainty":"u"}' % quote
-        return lambda batch: pd.DataFrame({"analysis": [body] * len(batch), "embedding": [vector] * len(batch)})
+        return lambda batch: [body] * len(batch)
+
+    def vector(value):
+        return lambda batch: [value] * len(batch)
 
     def failing(batch):
         raise ValueError("no service")
 
-    good = articles.enrich(base, model("zoho REVENUE  grows", [1.0, 2.0]), "m").first()
-    assert (good.analysis.mode, good.analysis.model, good.embedding_model, good.warning) == ("model", "m", "m", None)
-    bad = articles.enrich(base, model("this was never written", [float("nan")]), "m").first()
+    for quote in ("zoho REVENUE  grows", "Ｚｏｈｏ ｒｅｖｅｎｕｅ grows", " zoho revenue grows "):
+        good = articles.enrich(base, model(quote), vector([1.0, 2.0]), "m").first()
+        assert (good.analysis.mode, good.analysis.model, good.embedding_model, good.warning) == ("model", "m", "m", None)
+    bad = articles.enrich(base, model("this was never written"), vector([float("nan")]), "m").first()
     assert (bad.analysis.mode, bad.embedding, bad.embedding_model) == ("baseline", None, None) and "validation" in bad.warning
-    broken = articles.enrich(base, failing, "m").first()
-    assert (broken.analysis.mode, broken.warning) == ("baseline", "no service")
+    broken = articles.enrich(base, failing, vector([1.0]), "m").first()
+    assert (broken.analysis.mode, broken.warning, broken.embedding) == ("baseline", "no service", [1.0])
+
+
+def test_enrichment_isolates_failing_rows():
+    batch = pd.DataFrame({"n": range(10)})
+
+    def picky(part):
+        if (part["n"] % 4 == 3).any():
+            raise ValueError("bad row")
+        return [n * 10 for n in part["n"]]
+
+    results, errors = articles._per_row(picky, batch)
+    assert results == [None if n % 4 == 3 else n * 10 for n in range(10)]
+    assert errors == ["bad row" if n % 4 == 3 else None for n in range(10)]
+
+
+def test_null_keys_keep_their_rows(spark):
+    rows = [("a", 1, 5), ("a", 2, 3), (None, 3, 4), (None, 4, 1), ("b", 5, None)]
+    df = spark.createDataFrame(rows, "k string, id int, v int")
+    quota = ranking.within_quota(df, ["k"], [F.col("id")], 1).orderBy("id").collect()
+    assert [(r.id, r.admitted) for r in quota] == [(1, True), (2, False), (3, True), (4, False), (5, True)]
+    ranks = ranking.full_rank(df, ["k"], [F.col("v"), F.col("id")], [F.col("v"), F.col("id")]).orderBy("id").collect()
+    assert [(r.id, r.rank) for r in ranks] == [(1, 2), (2, 1), (3, 2), (4, 1), (5, 1)]
+    for crowded in (0, 200_000):
+        before = ranking.GROUP_ROWS
+        ranking.GROUP_ROWS = crowded
+        try:
+            low = ranking.running_min(df, ["k"], "v", [F.col("id")], [F.col("id")], "low").orderBy("id").collect()
+        finally:
+            ranking.GROUP_ROWS = before
+        assert [(r.id, r.low) for r in low] == [(1, None), (2, 5), (3, None), (4, 4), (5, None)]
+    manifest = spark.createDataFrame([(None, "1"), (None, "2"), ("s", "1")], "stream_id string, snapshot_id string")
+    kept = snapshots.manifest_retain(manifest, manifest.limit(0), keep=1).collect()
+    assert sorted((r.stream_id or "", r.snapshot_id, r.kept) for r in kept) == [("", "1", False), ("", "2", True), ("s", "1", True)]
 
 
 # --- streaming ------------------------------------------------------------------------------------------------

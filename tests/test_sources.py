@@ -49,7 +49,8 @@ def test_feed_rejections(spark):
 
 def test_feed_item_limit(spark):
     many = "<rss><channel>" + "".join(f"<item><title>t{i}</title><link>https://e.example.com/{i}</link></item>" for i in range(200)) + "</channel></rss>"
-    assert feeds.feed_items(feed_df(spark, [many]), now()).count() == 150
+    assert feeds.feed_items(feed_df(spark, [many]), now()).count() == 200
+    assert feeds.feed_items(feed_df(spark, [many]), now(), max_items=150).count() == 150
     assert feeds.feed_items(feed_df(spark, [many]), now(), max_items=None).count() == 200
 
 
