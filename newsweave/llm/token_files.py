@@ -37,7 +37,8 @@ from newsweave.session import checkpointed, scratch_path
 LENGTH = 2048  # ids in a sequence
 SEQUENCES = 64  # sequences in a batch
 SLICE = 4 << 20
-KNOWN_WORDS = 300_000  # encoded words a worker keeps
+KNOWN_WORDS = 1_000_000  # encoded words a worker keeps, some 200 MB
+KNOWN_PIECES = 50_000
 WORDS_AT_ONCE = 200_000
 _ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 _SPLIT_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"  # the rule that the pieces above agree with
@@ -54,6 +55,19 @@ def _byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+class _Index(dict):
+    """Places of known words; an unknown one is learned when asked for."""
+
+    __slots__ = ("learn",)
+
+    def __init__(self, learn):
+        self.learn = learn
+
+    def __missing__(self, word: str) -> int:
+        at = self[word] = self.learn(word)
+        return at
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer, word by word where that gives the same ids."""
 
@@ -73,7 +87,7 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = _Index(self._learn)
         self.known: dict[str, list[int]] = {}
         self.values, self.ends = np.zeros(1 << 16, self.dtype), np.zeros(1 << 14, np.int64)  # ids of known words; ends[i + 1] is the end of word i
         self.size = self.words = 0
@@ -81,44 +95,45 @@ class WordEncoder:
         self.new_ends: list[int] = []
 
     def _piece(self, piece: str) -> list[int]:
+        mapped = piece if piece.isascii() else "".join(map(self.characters.__getitem__, piece.encode()))
+        return [t.id for t in self.tokenizer.model.tokenize(mapped)]
+
+    def _known_piece(self, piece: str) -> list[int]:
         found = self.known.get(piece)
         if found is None:
-            mapped = piece if piece.isascii() else "".join(map(self.characters.__getitem__, piece.encode()))
-            found = self.known[piece] = [t.id for t in self.tokenizer.model.tokenize(mapped)]
+            if len(self.known) > KNOWN_PIECES:
+                self.known = {}
+            found = self.known[piece] = self._piece(piece)
         return found
 
     def _word(self, word: str) -> list[int]:
-        if "<" in word and self.added.search(word):
-            pass
-        elif word.isascii():
-            if _VISIBLE.fullmatch(word):
-                return [i for piece in _ASCII_PIECES.findall(word.lower()) for i in self._piece(piece)]
-        else:
-            core = word.rstrip(_PUNCTUATION)
-            if core.isalpha():
-                plain = self.tokenizer.normalizer.normalize_str(core)
-                if plain.isalpha():
-                    return self._piece(plain) + (self._piece(word[len(core):]) if len(core) < len(word) else [])
+        core = word.rstrip(_PUNCTUATION)
+        if core.isalpha():  # letters, perhaps with signs behind them
+            plain = core.lower() if core.isascii() else self.tokenizer.normalizer.normalize_str(core)
+            if plain.isalpha() and not (len(core) < len(word) and self.added.search(word)):
+                return self._piece(plain) + self._known_piece(word[len(core):]) if len(core) < len(word) else self._piece(plain)
+        elif not word:
+            return []
+        elif _VISIBLE.fullmatch(word) and not self.added.search(word):
+            return [i for piece in _ASCII_PIECES.findall(word.lower()) for i in self._known_piece(piece)]
         return self.tokenizer.encode(word, add_special_tokens=False).ids
 
     def _learn(self, word: str) -> int:
         self.new_ids += self._word(word)
         self.new_ends.append(self.size + len(self.new_ids))
-        at = self.index[word] = self.words + len(self.new_ends) - 1
-        return at
+        return self.words + len(self.new_ends) - 1
 
     def encode(self, text: str) -> Iterator[np.ndarray]:
         """Ids of a text, in parts."""
         if not self.by_word:
             yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
             return
-        words = [w for w in _SPACES.split(text) if w]
+        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         for at in range(0, len(words), WORDS_AT_ONCE):
             if len(self.index) > KNOWN_WORDS:
                 self._forget()
-            get, learn = self.index.get, self._learn
-            codes = [c if (c := get(w)) is not None else learn(w) for w in words[at : at + WORDS_AT_ONCE]]
-            yield self._gather(np.array(codes, np.int64))
+            some = words[at : at + WORDS_AT_ONCE] if len(words) > WORDS_AT_ONCE else words
+            yield self._gather(np.fromiter(map(self.index.__getitem__, some), np.int64, len(some)))
 
     def _gather(self, codes: np.ndarray) -> np.ndarray:
         if self.new_ends:
