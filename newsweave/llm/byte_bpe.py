@@ -35,7 +35,7 @@ from newsweave.session import checkpointed
 
 CHUNK = 8 << 20  # bytes of documents whose distinct words are gathered together
 PIECE = 1 << 20  # characters that the pattern scans at once
-KNOWN_WORDS = 2_000_000  # encoded words a task keeps; past that it starts anew
+KNOWN_WORDS = 500_000  # encoded words a task keeps; past that it starts anew
 _SAFE_CUT = re.compile(r"(?<=\S)\s")
 
 
@@ -179,10 +179,11 @@ def _reassemble(pattern: str, buckets: int, kept: list[str], out_col: str, arrow
         find = _scanner(pattern)
         batches = unpacked_documents(documents)
         index: dict[str, int] = {}
-        codes = []
+        codes, sizes = [], []  # per batch: places of all words, and the number of words of each document
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                codes.append(np.array([index.setdefault(w, len(index)) for piece in _pieces(text or "") for w in find(piece)], np.int64))
+            found = [np.array([index.setdefault(w, len(index)) for piece in _pieces(text or "") for w in find(piece)], np.int32) for text in batch.column("text").to_pylist()]
+            codes.append(np.concatenate([np.zeros(0, np.int32), *found]))
+            sizes.append([len(f) for f in found])
         lengths, ids, check = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)], {}
         for bucket, payload in sorted(zip(answers.column("bucket").to_pylist(), answers.column("payload").to_pylist())):
             some, body = _unpack(payload)
@@ -197,13 +198,14 @@ def _reassemble(pattern: str, buckets: int, kept: list[str], out_col: str, arrow
         order[[index[w.decode()] for some in words for w in some]] = np.arange(len(index))
         lengths, ids = np.concatenate(lengths).astype(np.int64), np.concatenate(ids)
         starts = np.cumsum(lengths) - lengths
-        places = [order[c] for c in codes]
-        flat = np.concatenate(places) if places else np.zeros(0, np.int64)
-        values = take_runs(ids, starts[flat], lengths[flat]).astype(np.int32)
-        sizes = [int(lengths[p].sum()) for p in places]
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(values, pa.int32()))
-        table = pa.Table.from_batches(batches)
-        return pa.Table.from_arrays([*(table.column(c) for c in kept), lists], names=[*kept, out_col]).cast(arrow)
+        parts = []
+        for batch, words_of, counts in zip(batches, codes, sizes):
+            places = order[words_of]
+            values = take_runs(ids, starts[places], lengths[places])
+            ends = np.concatenate(([0], np.cumsum(lengths[places])))[np.concatenate(([0], np.cumsum(counts)))]
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.astype(np.int32), pa.int32()))
+            parts.append(pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), lists], names=[*kept, out_col]))
+        return pa.Table.from_batches(parts).cast(arrow)
 
     return run
 
