@@ -392,18 +392,38 @@ def test_ingest_resumes_and_ignores_known_keys(spark, tmp_path):
     assert run() == 45
 
 
-def test_state_survives_micro_batches(spark, tmp_path):
+@pytest.mark.parametrize("files", [[0, 1, 2], [2, 0, 1], [1, 2, 0]])
+def test_stateful_jobs_do_not_depend_on_arrival(spark, tmp_path, files):
     source = str(tmp_path / "in")
     schema = "user string, ts timestamp, n long"
     hours = [0, 1, 5, 6, 7, 11.5, 12, 30, 120]
-    for i in range(3):
-        part = [("u", T0 + dt.timedelta(hours=h), j) for j, h in enumerate(hours) if j // 3 == i]
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+    rows = [("u", T0 + dt.timedelta(hours=h), j) for j, h in enumerate(hours)] + [(None, T0, 20), ("v", None, 21)]
+    for i in files:
+        spark.createDataFrame([r for r in rows if r[2] % 3 == i], schema).coalesce(1).write.mode("append").parquet(source)
+    jobs.close_stream(spark.createDataFrame(rows, schema), source, "ts", "90 DAYS")
     stream = lambda: jobs.read_stream(spark, source, schema, max_files=1)
     gate = jobs.drain(jobs.cooldown(stream(), "user", "ts", "n", 6 * 3600, "30 days"), str(tmp_path / "g"), str(tmp_path / "gc"))
-    assert [r.n for r in gate.where("accepted").orderBy("n").collect()] == [0, 3, 6, 7, 8]
+    assert [r.n for r in gate.where("accepted").orderBy("n").collect()] == [0, 3, 6, 7, 8, 20]
+    assert [(r.n, r.accepted) for r in gate.where("late").collect()] == [(21, None)] and gate.count() == 11
     seen = jobs.drain(jobs.repeats(stream(), "user", "ts", "n", 3, "30 days"), str(tmp_path / "r"), str(tmp_path / "rc"))
-    assert [r.n for r in seen.where("not repeated").orderBy("n").collect()] == [0, 8]
+    assert [r.n for r in seen.where("not repeated").orderBy("n").collect()] == [0, 8, 20]
+
+
+def test_rows_behind_the_watermark_go_aside(spark, tmp_path):
+    source, schema = str(tmp_path / "in"), "user string, ts timestamp, n long"
+    for day, n in ((0, 0), (10, 1), (20, 2), (2, 3), (21, 4)):
+        spark.createDataFrame([("u", T0 + dt.timedelta(days=day), n)], schema).coalesce(1).write.mode("append").parquet(source)
+    jobs.close_stream(spark.createDataFrame([("u", T0 + dt.timedelta(days=30), 9)], schema), source, "ts", "30 DAYS")
+    seen = jobs.drain(jobs.repeats(jobs.read_stream(spark, source, schema, max_files=1), "user", "ts", "n", 3, "1 day"), str(tmp_path / "r"), str(tmp_path / "rc"))
+    assert [(r.n, r.repeated, r.late) for r in seen.orderBy("n").collect()] == [(0, False, False), (1, False, False), (2, False, False), (3, None, True), (4, True, False)]
+
+
+def test_ingest_keeps_the_first_in_order(spark, tmp_path):
+    source, target, checkpoint = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
+    for part in ([("a", 5), ("b", 1), (None, 4)], [("a", 3), ("c", 2), (None, 6)], [("a", 9), ("b", 0)]):
+        spark.createDataFrame(part, "k string, v int").coalesce(1).write.mode("append").parquet(source)
+    rows = jobs.ingest(jobs.read_stream(spark, source, "k string, v int", max_files=1), target, checkpoint, ["k"], [F.col("v")])
+    assert {r.k: r.v for r in rows.collect()} == {"a": 3, "b": 0, "c": 2, None: 4}
 
 
 def test_source_state_stream(spark, tmp_path):
