@@ -30,12 +30,6 @@ SCRIPT_LANGUAGES = (
     (r"[\x{0900}-\x{097F}]", "hi", "mr"),
 )
 
-LANGUAGE_NAMES = {
-    "en": "English", "ta": "Tamil", "hi": "Hindi", "kn": "Kannada", "te": "Telugu", "ml": "Malayalam",
-    "bn": "Bengali", "gu": "Gujarati", "mr": "Marathi", "pa": "Punjabi", "or": "Odia", "as": "Assamese",
-    "ur": "Urdu",
-}
-
 # --- fixed values: event, tone and failure rules (first match wins) -------------
 EVENT_RULES = (
     ("Workforce", r"\b(layoffs?|job cuts?|hiring|employees?|workforce)\b|பணிநீக்கம்|வேலைவாய்ப்பு|ஊழியர்"),
@@ -140,17 +134,10 @@ DEFAULT_ZONE = "National"
 ZONES = ("National", "North", "South", "East", "West", "Central", "North East", "Global")
 
 # --- fixed values: limits and thresholds ------------------------------------------------
-TITLE_CHARS = 500
-TEXT_CHARS = 14_000
-SNAPSHOT_TEXT_CHARS = 2_400
-FEED_ITEMS = 150
-DISCOVERED_FEEDS = 3
 MIN_PAGE_CHARS = 80
 MIN_SCAN_CHARS = 40
 MIN_SENTENCE_CHARS = 35
-SUMMARY_CHARS = 420
 QUOTE_MIN_CHARS = 12
-CITATION_QUOTE_CHARS = 350
 MAX_URL_CHARS = 2_000
 TITLE_JACCARD = 0.72
 TEXT_JACCARD = 0.45
@@ -160,26 +147,15 @@ BM25_B = 0.75
 DENSE_CUTOFF = 0.28
 RRF_K = 60
 EVIDENCE_K = 5
-VECTOR_MAX_DIM = 4_096
 COLLECTION_HOURS = 3
 DELAYED_HOURS = 6
 RUN_INSERT_CAP = 80
-RUN_INSERT_CAP_WITH_MODEL = 8
-RUN_ERROR_CHARS = 1_200
-MODEL_TEXT_CHARS = 9_000
-EMBED_TEXT_CHARS = 6_000
-SNAPSHOT_ITEMS = 2_000
 SNAPSHOTS_KEPT = 56
-SYNC_STEP = 40
 RANGE_MAX_DAYS = 90
 TILE_DAYS = 7
 INDEX_RESULT_CAP = 250
-CANDIDATES_PER_JOB = 1_000
-LATEST_ARTICLES = 1_500
 RUN_HISTORY = 150
-JOB_HISTORY = 250
 PAGE_SIZE = 12
-ENRICH_CANDIDATES = 500
 ENRICH_MAX_FAILURES = 3
 MIN_ALIAS_CHARS = 2
 FUTURE_SKEW_SECONDS = 60

@@ -90,7 +90,7 @@ def _clean_query(query: Column) -> Column:
 
 def canonical_url(url: Column) -> Column:
     """One spelling per address: no fragment, no tracking parameters, parameters sorted by name, no trailing
-    slash (unless the path is `/`), lower-case host, no default port.  Null when the text is no absolute URL."""
+    slash (unless the path is `/`), percent-encoded path, lower-case host, no default port.  Null when the text is no absolute URL."""
     return let(parts(F.trim(url)), _canonical)
 
 
@@ -98,9 +98,20 @@ def _port_suffix(p: Column) -> Column:
     return F.when(p["port"] != "", F.concat(F.lit(":"), p["port"])).otherwise("")
 
 
+# Characters that a serialised path holds percent-encoded.
+_ENCODED = "[^!-~]|[\"<>`{}]"
+
+
+def _encode_path(path: Column) -> Column:
+    """Percent-encode non-ASCII letters, blanks and the like; escapes that are there already stay."""
+    character = lambda c: F.when(c.rlike(_ENCODED), F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))).otherwise(c)
+    encoded = F.array_join(F.transform(F.regexp_extract_all(path, F.lit("(?s)."), F.lit(0)), character), "")
+    return F.when(path.rlike(_ENCODED), encoded).otherwise(path)
+
+
 def _canonical(p: Column) -> Column:
     credentials = F.when(p["credentials"] != "", F.concat(p["credentials"], F.lit("@"))).otherwise("")
-    path = F.when(p["path"].rlike("^/+$"), "/").otherwise(F.regexp_replace(p["path"], "/+$", ""))
+    path = F.when(p["path"].rlike("^/+$"), "/").otherwise(_encode_path(F.regexp_replace(p["path"], "/+$", "")))
     text = F.concat(p["scheme"], F.lit("://"), credentials, p["host"], _port_suffix(p), path, _clean_query(p["query"]))
     return F.when((p["scheme"] != "") & (p["host"] != ""), text)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from newsweave import constants as K
 from newsweave.functions import dates, url
 from newsweave.operators.matching import entity_match
-from newsweave.operators.ranking import within_quota
+from newsweave.operators.ranking import join_on_keys, within_quota
 
 
 def quota_admission(events: DataFrame, group: list[str], order: list[Column], limit: int) -> DataFrame:
@@ -16,6 +16,15 @@ def quota_admission(events: DataFrame, group: list[str], order: list[Column], li
     return within_quota(events, group, order, limit).withColumn("outcome", F.when(F.col("admitted"), "admitted").otherwise("deferred")).drop("admitted")
 
 
+def run_quota(rows: DataFrame, stored: DataFrame, keys: list[str], group: list[str], order: list[Column], limit: int) -> DataFrame:
+    """Outcome of each row of a run: rows stored already are duplicates and use no quota; of the others, the first `limit` of each group are
+    admitted and the rest deferred."""
+    known = stored.select(*keys).distinct().withColumn("_known", F.lit(True))
+    marked = join_on_keys(rows, known, keys, "left").withColumn("_known", F.coalesce("_known", F.lit(False)))
+    fresh = quota_admission(marked.where(~F.col("_known")).drop("_known"), group, order, limit)
+    return fresh.unionByName(marked.where("_known").drop("_known").withColumn("outcome", F.lit("duplicate")))
+
+
 def date_tiles(ranges: DataFrame, start: str = "from_day", end: str = "to_day", days: int = K.TILE_DAYS) -> DataFrame:
     """Consecutive windows of `days` days covering each range; the last one is clipped."""
     step = F.expr(f"INTERVAL {days} DAY")

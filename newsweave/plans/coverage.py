@@ -404,6 +404,16 @@ def enrich_backlog(spark, sf):
     return filters.enrich_backlog(base.join(vectors, "item_id", "left"), failures, model="m1", limit=None).select("article_id")
 
 
+@registered("run_quota", """
+    WITH k AS (SELECT *, user_id % 5 = 0 AS stored FROM events)
+    SELECT event_id, event_type, CASE WHEN stored THEN 'duplicate' WHEN row_number() OVER (PARTITION BY event_type, stored ORDER BY ts, event_id) <= 80 THEN 'admitted' ELSE 'deferred' END AS outcome FROM k""")
+def run_quota(spark, sf):
+    events = inputs.table(spark, sf, "events")
+    stored = events.where("user_id % 5 = 0").select("user_id")
+    rows = events.select("event_id", "user_id", "event_type", "ts")
+    return admission.run_quota(rows, stored, ["user_id"], ["event_type"], [F.col("ts"), F.col("event_id")], K.RUN_INSERT_CAP).select("event_id", "event_type", "outcome")
+
+
 @registered("quota_admission", """
     SELECT event_id, CASE WHEN row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) <= 40 THEN 'admitted' ELSE 'deferred' END AS outcome FROM events""")
 def quota_admission(spark, sf):

@@ -180,10 +180,14 @@ def page_links(spark, sf):
 
 @registered("url_canonical", S.with_views("items", f"""
     SELECT page_id, {S.canonical('url')} AS canonical FROM pages
-    UNION ALL SELECT -1 - item_id AS page_id, {S.canonical('url')} AS canonical FROM items"""))
+    UNION ALL SELECT -1 - item_id AS page_id, {S.canonical('url')} AS canonical FROM items
+    UNION ALL SELECT -1000000000 - page_id, 'https://h.example.com/%E0%AE%9A%C3%A9%F0%9F%98%80/a%20b/' || page_id FROM pages, (VALUES (1), (2)) spellings"""))
 def url_canonical(spark, sf):
     urls = inputs.pages(spark, sf).select("page_id", "url").unionByName(inputs.items(spark, sf).select((-1 - F.col("item_id")).alias("page_id"), "url"))
-    return urls.select("page_id", url.canonical_url(F.col("url")).alias("canonical"))
+    # both spellings of a path in other letters are one address
+    spelled = [F.concat(F.lit(f"https://H.example.com/{p}/"), F.col("page_id").cast("string")) for p in ("\u0b9a\u00e9\U0001f600/a b", "%E0%AE%9A%C3%A9%F0%9F%98%80/a%20b")]
+    both = inputs.pages(spark, sf).select((-1_000_000_000 - F.col("page_id")).alias("page_id"), F.explode(F.array(*spelled)).alias("url"))
+    return urls.unionByName(both).select("page_id", url.canonical_url(F.col("url")).alias("canonical"))
 
 
 @registered("url_host", f"SELECT page_id, {S.host('url')} AS host, regexp_replace({S.host('url')}, '^(www|feeds?|rss)[.]', '') AS publisher_host FROM pages")

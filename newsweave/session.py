@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 # Dimension-sized inputs (watch-lists, sources, question sets) are broadcast up to this many rows.
 BROADCAST_ROWS = 50_000
+BROADCAST_BYTES = 32 << 20
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -81,12 +82,14 @@ def checkpointed(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Does the input have at most `max_rows` rows?  Reads no more than that."""
-    return df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Does the input have at most `max_rows` rows, and these at most `max_bytes` as text?  Reads no more than that many rows."""
+    head = df.select(F.octet_length(F.to_json(F.struct(*df.columns))).alias("n")).limit(max_rows + 1)
+    found = head.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("bytes")).first()
+    return found["rows"] <= max_rows and found["bytes"] <= max_bytes
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast when the checked row count is within the bound; otherwise leave the join to a shuffle
+    """Hint a broadcast when the checked rows and bytes are within the bounds; otherwise leave the join to a shuffle
     (adaptive execution then splits skewed keys)."""
     return F.broadcast(df) if is_small(df, max_rows) else df
