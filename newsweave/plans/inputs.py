@@ -180,3 +180,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text", F.lit("all").alias("scope"))
 
 
+
+
+# Derived tables that several queries share, in the order they build on each other.
+SHARED = {"watchlist": watchlist, "matches": matches, "articles": articles, "clustered": clustered}
