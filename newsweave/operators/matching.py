@@ -79,11 +79,12 @@ def publisher_resolve(links: DataFrame, sources: DataFrame, link: str = "url",
         "domain", F.explode(F.array_compact(F.array("domain", *others))))
     first = domains.groupBy("domain").agg(F.min(F.struct("source_name", "source_id")).alias("source"))
     suffixes = lambda h: let(F.split(h, r"\."), lambda p: F.transform(
-        F.sequence(F.lit(1), F.size(p)), lambda i: F.array_join(F.slice(p, i, F.size(p)), ".")))
-    keyed = links.select(link).where(url.is_public_url(F.col(link))).distinct().select(
-        link, F.explode(suffixes(F.regexp_replace(url.host(F.col(link)), r"^www\.", ""))).alias("domain"))
-    best = keyed.join(first, "domain").groupBy(link).agg(F.min("source").alias("source"))
-    return best.select(link, "source.source_id", "source.source_name")
+        F.sequence(F.lit(1), F.greatest(F.size(p) - 1, F.lit(1))), lambda i: F.array_join(F.slice(p, i, F.size(p)), ".")))
+    hosts = links.select(link).where(url.is_public_url(F.col(link))).distinct().withColumn("_host", F.regexp_replace(url.host(F.col(link)), r"^www\.", ""))
+    # hosts are resolved once each; a single label such as `com` is no publisher and would be a hot key
+    keyed = hosts.select("_host").distinct().withColumn("domain", F.explode(suffixes(F.col("_host"))))
+    best = keyed.join(first, "domain").groupBy("_host").agg(F.min("source").alias("source"))
+    return hosts.join(best, "_host").select(link, "source.source_id", "source.source_name")
 
 
 def zone_of(region: Column) -> Column:

@@ -215,7 +215,11 @@ def url_admissible(spark, sf):
     return inputs.pages(spark, sf).select("page_id", variant.alias("u")).select("page_id", url.url_rejection(F.col("u"), K.MAX_URL_CHARS).alias("rejection"))
 
 
-_SPECIAL_SQL = " OR ".join(f"n BETWEEN {url._ipv4_number(a)} AND {url._ipv4_number(b)}" for a, b in K.SPECIAL_IPV4)
+def _sql_number(ip: str) -> str:
+    return " + ".join(f"CAST(split_part('{ip}', '.', {i}) AS BIGINT) * {256 ** (4 - i)}" for i in range(1, 5))
+
+
+_SPECIAL_SQL = " OR ".join(f"n BETWEEN {_sql_number(a)} AND {_sql_number(b)}" for a, b in K.SPECIAL_IPV4)
 
 
 @registered("ip_public", f"""
