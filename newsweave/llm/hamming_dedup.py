@@ -38,12 +38,12 @@ from newsweave.session import checkpointed
 SHINGLE = 5
 COMPONENTS, CHUNK, SKETCH = 32, 4, 128
 BLOCK = 512  # members of a bucket or group that one task compares with as many others
-BLOCK_SHINGLES = 1 << 20
-SLICE = 4 << 20
+BLOCK_SHINGLES = 1 << 18
+SLICE = 2 << 20
 _RNG = np.random.default_rng(5_2024)
 _FACTORS = (_RNG.integers(0, 1 << 63, SKETCH, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _SHIFTS = _RNG.integers(0, 1 << 63, SKETCH, dtype=np.uint64)
-_LANE = 1 << 14  # shingles hashed at once
+_LANE = 1 << 12  # shingles hashed at once
 
 Compare = Callable[[list, np.ndarray, np.ndarray], np.ndarray]
 
@@ -240,7 +240,8 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     groups = connected_components(candidates).withColumnRenamed("vertex", "row")
 
     weights = groups.join(classes.select("row", "n_shingles"), "row").groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("blocks"))
-    wanted = rows.select("row", "text").join(groups.join(weights, "component"), "row")
+    grouped = groups.join(weights, "component").hint("shuffle_hash")  # the texts stream past the rows that are wanted, unsorted
+    wanted = rows.select("row", "text").join(grouped, "row")
     sets = wanted.mapInArrow(_sets(size), "component long, row long, blocks long, members binary")
     met = in_blocks(sets, "component", "blocks", "row").repartition(F.col("component"), F.col("i"), F.col("j")).sortWithinPartitions("component", "i", "j")
     links = met.mapInArrow(_links("component", "members", _sets_agree(percent)), "a long, b long")
@@ -258,4 +259,4 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """One document of each group of near duplicates, with all its columns: the one with the smallest id."""
     name = "_row"
     kept = near_duplicate_components(docs, id_col, text_col, **how).filter("kept").select(F.col("row").alias(name))
-    return docs.withColumn(name, F.monotonically_increasing_id()).join(kept, name, "left_semi").select(docs.columns)
+    return docs.withColumn(name, F.monotonically_increasing_id()).join(kept.hint("shuffle_hash"), name, "left_semi").select(docs.columns)

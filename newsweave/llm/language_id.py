@@ -25,9 +25,9 @@ from newsweave.llm.common import slices
 
 DIMENSIONS = 1024
 SLICE = 2 << 20  # bytes of text
-ROWS = 384  # texts in one matrix product
+ROWS = 256  # texts in one matrix product
 PIECE = 1 << 20  # characters of a longer text are taken in pieces
-TYPES = 4096  # sequences in one block of a matrix product
+TYPES = 2048  # sequences in one block of a matrix product
 UNKNOWN = "und"
 
 _letter: np.ndarray | None = None
