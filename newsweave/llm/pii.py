@@ -52,8 +52,9 @@ _WIDE = {chr(c): n for first, last in ((0xFF10, 0xFF5E), (0x1D400, 0x1D7FF), (0x
 _SINGLE = {**_WIDE, **LOOK_ALIKES, **dict.fromkeys(ZERO_WIDTH, "")}
 _ODD = re.compile("[" + "".join(map(re.escape, _SINGLE)) + "]")
 _NAME = "(?:" + "|".join(DIGIT_NAMES) + ")"
-_SPELLED = re.compile(rf"\b{_NAME}(?:[ ,-]{{1,2}}(?:{_NAME}|[0-9])\b)+|(?<=[0-9])[ -]{_NAME}(?:[ ,-]{{1,2}}(?:{_NAME}|[0-9])\b)*\b", re.I)
-_ITEM = re.compile(rf"{_NAME}|[0-9]", re.I)
+_SPELLED = re.compile(rf"\b(?:plus[ ,-]{{1,2}})?{_NAME}(?:[ ,-]{{1,2}}(?:{_NAME}|[0-9])\b)+|(?<=[0-9])[ -]{_NAME}(?:[ ,-]{{1,2}}(?:{_NAME}|[0-9])\b)*\b|(?<=\bdot ){_NAME}\b|\b{_NAME}(?= dot )", re.I)
+_ITEM = re.compile(rf"plus|{_NAME}|[0-9]", re.I)
+_ITEM_TEXT = {**DIGIT_NAMES, "plus": "+"}
 _BRACKETED = r"\s{0,3}[\[({<]\s{0,3}%s\s{0,3}[\])}>]\s{0,3}"
 _AT, _DOT = _BRACKETED % "(?:at|@)", _BRACKETED % r"(?:dot|\.)"
 _WORD = r"[A-Za-z0-9_%+-]{1,64}"
@@ -119,7 +120,7 @@ def plain_characters(text: Rewritten) -> Rewritten:
 
 def plain_digits(text: Rewritten) -> Rewritten:
     """Runs of spelled digits, also mixed with digits, become digits without separators."""
-    return text.rewrite((m.start() + i.start(), m.start() + i.end(), DIGIT_NAMES.get(i[0].lower(), i[0])) if i else gap
+    return text.rewrite((m.start() + i.start(), m.start() + i.end(), _ITEM_TEXT.get(i[0].lower(), i[0])) if i else gap
                         for m in _SPELLED.finditer(text.text) for i, gap in _items(m))
 
 
@@ -209,7 +210,7 @@ def find_all(text: str, may: dict[str, bool] | None = None) -> list[tuple[str, i
 
 # Necessary conditions of the transducers and of the kinds with digits, in the syntax of the column-wise regular expressions of Arrow.
 _ANY_NAME = "(?:" + "|".join(DIGIT_NAMES) + ")"
-HINTS = {"odd": "[" + "".join(sorted(_SINGLE)).replace("-", r"\-") + "]", "spelled": f"(?i){_ANY_NAME}[ ,-]{{1,2}}(?:{_ANY_NAME}|[0-9])|[0-9][ -]{_ANY_NAME}",
+HINTS = {"odd": "[" + "".join(sorted(_SINGLE)).replace("-", r"\-") + "]", "spelled": f"(?i){_ANY_NAME}[ ,-]{{1,2}}(?:{_ANY_NAME}|[0-9]|dot )|[0-9][ -]{_ANY_NAME}|dot {_ANY_NAME}",
          "sign": r"(?i)[\[({<]\s{0,3}(?:at|@|dot|\.)\s{0,3}[\])}>]| dot ", "digit": "[0-9]"}
 
 

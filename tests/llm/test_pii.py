@@ -47,11 +47,13 @@ def test_disguises_map_back_to_source_characters():
     assert values("card four five three nine 1488 0343 6467.") == [("card", "four five three nine 1488 0343 6467")]
     assert values("call +1 ５５５ ５５５ ２３６８") == [("phone", "+1 ５５５ ５５５ ２３６８")]
     assert values("host 10 dot 1 dot 2 dot 3") == [("ip", "10 dot 1 dot 2 dot 3")]
+    assert values("host one nine two dot one six eight dot zero dot one.") == [("ip", "one nine two dot one six eight dot zero dot one")]
+    assert values("call plus four nine three zero one two three four five") == [("phone", "plus four nine three zero one two three four five")]
     assert values("look at the dot on one two") == []
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.sampled_from(["a", "B.", "@", " (at) ", "[dot]", " dot ", "com", "one ", "two-", "Three ", "9 ", "5", "４", "о", " ", "+1 ", "x@y.z", "\n"]), max_size=20).map("".join))
+@given(st.lists(st.sampled_from(["a", "B.", "@", " (at) ", "[dot]", " dot ", "com", "one ", "plus ", "dot zero", "two-", "Three ", "9 ", "5", "４", "о", " ", "+1 ", "x@y.z", "\n"]), max_size=20).map("".join))
 def test_hints_never_hide_a_finding(text):
     assert pii.find_all(text, pii.hints(pa.array([text]))[0]) == pii.find_all(text)
 
