@@ -16,9 +16,10 @@ only where the pattern splits in any case; an empty table gives an empty result;
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +31,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from newsweave.llm.common import slices
+from newsweave.llm.common import give_back, slices
 from newsweave.session import checkpointed
 
-CHUNK = 8 << 20  # bytes of documents whose distinct words are gathered together
+CHUNK = 5 << 20  # bytes of documents whose distinct words are gathered together
 PIECE = 1 << 20  # characters that the pattern scans at once
 KNOWN_WORDS = 500_000  # encoded words a task keeps; past that it starts anew
 _SAFE_CUT = re.compile(r"(?<=\S)\s")
@@ -83,8 +84,11 @@ def text_chunks(batches: Iterator[pa.RecordBatch], size_of: int = CHUNK) -> Iter
             if size >= size_of:
                 yield number, held
                 held, size, number = [], 0, number + 1
+                give_back()
     if held:
         yield number, held
+        del held
+        give_back()
 
 
 def _by_bucket(words, buckets: int) -> list[list[bytes]]:
@@ -172,8 +176,8 @@ def take_runs(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np
     return values[np.repeat(starts - before, lengths) + np.arange(total)]
 
 
-def _reassemble(pattern: str, buckets: int, kept: list[str], out_col: str, arrow: pa.Schema):
-    """A chunk's documents and the ids of its distinct words -> documents with ids."""
+def _reassemble(pattern: str, buckets: int, kept: list[str], out_col: str, arrow: pa.Schema, finish: Callable[[pa.RecordBatch], pa.RecordBatch] | None):
+    """A chunk's documents and the ids of its distinct words -> documents with ids, or what `finish` makes of them."""
 
     def run(documents: pa.Table, answers: pa.Table) -> pa.Table:
         find = _scanner(pattern)
@@ -204,15 +208,19 @@ def _reassemble(pattern: str, buckets: int, kept: list[str], out_col: str, arrow
             values = take_runs(ids, starts[places], lengths[places])
             ends = np.concatenate(([0], np.cumsum(lengths[places])))[np.concatenate(([0], np.cumsum(counts)))]
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.astype(np.int32), pa.int32()))
-            parts.append(pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), lists], names=[*kept, out_col]))
+            encoded = pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), lists], names=[*kept, out_col])
+            parts.append(finish(encoded) if finish else encoded)
+        del index, batches, words, ids
+        give_back()
         return pa.Table.from_batches(parts).cast(arrow)
 
     return run
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", out_col: str = "ids", stored: bool = False) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", out_col: str = "ids", stored: bool = False,
+           finish: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, finish_fields: list[T.StructField] | None = None) -> DataFrame:
     """The documents with `ids` (array of int) in place of the text, as a tokenizer with these ranks and this split pattern would
-    encode them without special tokens."""
+    encode them without special tokens.  `finish` may turn each batch of encoded documents (ids last) into other columns, `finish_fields`, in the same worker."""
     spark = docs.sparkSession
     kept = [c for c in docs.columns if c not in (text_col, out_col)]
     docs = docs.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(kept)), F.col(text_col).cast("string").alias("text"))
@@ -220,12 +228,13 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
         docs = checkpointed(docs, "documents")
     names = docs.columns[:-1]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField(out_col, T.ArrayType(T.IntegerType()))])
+    new = finish_fields or [T.StructField(out_col, T.ArrayType(T.IntegerType()))]
+    schema = T.StructType([*(docs.schema[c] for c in names), *new])
     asked = docs.select("text").mapInArrow(_ask(pattern, buckets), "bucket int, chunk long, payload binary")
     answers = asked.repartition(F.col("bucket")).mapInArrow(_answer(spark.sparkContext.broadcast(ranks)), asked.schema)
     packed = docs.mapInArrow(packed_documents(), "chunk long, part int, payload binary")
-    encoded = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_reassemble(pattern, buckets, names, out_col, to_arrow_schema(schema)), schema)
-    return encoded.select(*(F.col(n).alias(c) for n, c in zip(names, kept)), out_col)
+    encoded = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_reassemble(pattern, buckets, names, out_col, to_arrow_schema(schema), finish), schema)
+    return encoded.select(*(F.col(n).alias(c) for n, c in zip(names, kept)), *(f.name for f in new))
 
 
 class TokenBytes:
@@ -244,29 +253,44 @@ class TokenBytes:
         return take_runs(self.data, self.starts[ids], self.lengths[ids]).tobytes()
 
 
-def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out_col: str = "decoded", raw_col: str | None = None) -> DataFrame:
-    """The rows with `decoded`, the bytes of their ids, in place of the ids; `raw_col` names a column for the ids as little-endian unsigned 32-bit integers."""
+def id_lists(column: pa.ListArray) -> list[np.ndarray]:
+    """The ids of each row."""
+    values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(offsets, offsets[1:])]
+
+
+def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """The rows with `decoded`, the bytes of their ids, in place of the ids."""
     table = encoded.sparkSession.sparkContext.broadcast(TokenBytes(ranks))
-    new = [out_col, *([raw_col] if raw_col else [])]
-    kept = [c for c in encoded.columns if c not in (ids_col, *new)]
-    schema = T.StructType([*(encoded.schema[c] for c in kept), *(T.StructField(c, T.BinaryType()) for c in new)])
+    kept = [c for c in encoded.columns if c not in (ids_col, out_col)]
+    schema = T.StructType([*(encoded.schema[c] for c in kept), T.StructField(out_col, T.BinaryType())])
     arrow = to_arrow_schema(schema)
 
     def run(batches):
         tokens = table.value
         for batch in slices(batches, CHUNK):
-            lists = batch.column(ids_col)
-            values, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            ids = [values[a:b] for a, b in zip(offsets, offsets[1:])]
-            columns = [pa.array([tokens.decode(x) for x in ids], pa.binary())] + ([pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())] if raw_col else [])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], schema=arrow)
+            decoded = pa.array([tokens.decode(ids) for ids in id_lists(batch.column(ids_col))], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), decoded], schema=arrow)
 
     return encoded.mapInArrow(run, schema)
 
 
-def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text") -> DataFrame:
-    """The documents without their text, with `n_tokens`, `ids_sha256` (of the ids as little-endian unsigned 32-bit integers) and `decoded_sha256`."""
-    new = ("n_tokens", "ids_sha256", "decoded_sha256")
-    kept = [c for c in docs.columns if c not in (text_col, *new)]
-    rows = decode(encode(docs.select(*kept, text_col), ranks, pattern, text_col, "_ids"), ranks, "_ids", "_decoded", "_raw")
-    return rows.select(*kept, (F.octet_length("_raw") / 4).cast("long").alias("n_tokens"), F.sha2("_raw", 256).alias("ids_sha256"), F.sha2("_decoded", 256).alias("decoded_sha256"))
+DIGESTS = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+
+
+def _digests(table):
+    def finish(encoded: pa.RecordBatch) -> pa.RecordBatch:
+        ids = id_lists(encoded.column(encoded.num_columns - 1))
+        columns = [pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids], pa.string()),
+                   pa.array([hashlib.sha256(table.value.decode(x)).hexdigest() for x in ids], pa.string())]
+        return pa.RecordBatch.from_arrays([*encoded.columns[:-1], *columns], names=[*encoded.schema.names[:-1], *(f.name for f in DIGESTS)])
+
+    return finish
+
+
+def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", stored: bool = False) -> DataFrame:
+    """The documents without their text, with `n_tokens`, `ids_sha256` (of the ids as little-endian unsigned 32-bit integers) and `decoded_sha256` (of the
+    bytes that the ids decode to).  Ids are decoded where they were put together, so they do not travel."""
+    kept = [c for c in docs.columns if c not in (text_col, *(f.name for f in DIGESTS))]
+    table = docs.sparkSession.sparkContext.broadcast(TokenBytes(ranks))
+    return encode(docs.select(*kept, text_col), ranks, pattern, text_col, stored=stored, finish=_digests(table), finish_fields=DIGESTS)

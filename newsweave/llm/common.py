@@ -6,6 +6,7 @@ numbers and the result is mixed, so the hash of a word does not depend on where
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Iterator
 
@@ -20,6 +21,7 @@ _TABLE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _RADIX = 0x9E3779B97F4A7C15
 _INVERSE = pow(_RADIX, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
+_trim = None
 
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -122,6 +124,18 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
+def give_back() -> None:
+    """Return freed memory to the system, which a worker that is kept for later tasks would hold on to otherwise."""
+    global _trim
+    pa.default_memory_pool().release_unused()
+    if _trim is None:
+        try:
+            _trim = ctypes.CDLL(None).malloc_trim
+        except (OSError, AttributeError):  # not every C library has it
+            _trim = lambda _: 0
+    _trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Cut batches so that one holds about `max_bytes` (a longer row stands alone)."""
     for batch in batches:
@@ -131,6 +145,8 @@ def slices(batches: Iterator[pa.RecordBatch], max_bytes: int) -> Iterator[pa.Rec
         step = max(1, int(rows * max_bytes / max(batch.nbytes, 1)))
         for at in range(0, rows, step):
             yield batch.slice(at, step)
+        del batch
+        give_back()
 
 
 def crc_of_id(doc_id: int | None) -> int:

@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from newsweave.llm import byte_bpe, recurrent_lm, token_files
@@ -39,6 +40,8 @@ def test_bpe_equals_tiktoken_and_decodes(documents, odd, ranks):
         found = byte_bpe.encode_and_decode(docs, ranks, public_tokenizers.PATTERN).collect()
         assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in found) == want
     encoded = byte_bpe.encode(odd("ids"), ranks, public_tokenizers.PATTERN)
+    decoded = byte_bpe.decode(encoded.withColumn("decoded", F.lit(1)), ranks)
+    assert Counter((r.doc_id, bytes(r.decoded).decode()) for r in decoded.collect()) == Counter((r.doc_id, r.text or "") for r in odd().collect())
     assert encoded.columns == ["doc_id", "lang", "source", "ids"] and encoded.filter("doc_id = 10").first().ids == own.encode_ordinary("a")
 
 
