@@ -223,10 +223,13 @@ def _sets(size: int):
     return run
 
 
-def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, size: int = SHINGLE, block: int = BLOCK) -> DataFrame:
-    """One row per input row: `row` (its place in the input), the id, `n_shingles`, `component_id` (smallest id reachable by links, its own included) and `kept`
+def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, size: int = SHINGLE, block: int = BLOCK, row_col: str | None = None) -> DataFrame:
+    """One row per input row: `row` (its number, taken from `row_col` of a stored table if given), the id, `n_shingles`, `component_id` (smallest id reachable by links, its own included) and `kept`
     (one row of each component).  Two documents are linked if 100 * intersection >= percent * union."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    number = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    rows = docs.select(number.alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    if not row_col:  # numbers are given once: a second reading may deal files to partitions in another order
+        rows = checkpointed(rows, "rows")
     id_type = rows.schema["id"].dataType.simpleString()
     signed = checkpointed(rows.mapInArrow(_signatures(size), f"row long, id {id_type}, n_shingles long, set binary, signature binary, sketch binary"), "signatures")
     first = F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("row")))
@@ -258,5 +261,6 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """One document of each group of near duplicates, with all its columns: the one with the smallest id."""
     name = "_row"
-    kept = near_duplicate_components(docs, id_col, text_col, **how).filter("kept").select(F.col("row").alias(name))
-    return docs.withColumn(name, F.monotonically_increasing_id()).join(kept.hint("shuffle_hash"), name, "left_semi").select(docs.columns)
+    numbered = checkpointed(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    kept = near_duplicate_components(numbered, id_col, text_col, row_col=name, **how).filter("kept").select(F.col("row").alias(name))
+    return numbered.join(kept.hint("shuffle_hash"), name, "left_semi").select(docs.columns)
