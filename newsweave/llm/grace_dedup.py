@@ -142,7 +142,8 @@ class GraceBuckets:
 
 def _records(docs: DataFrame, id_col: str, text_col: str, fingerprint: Callable[[bytes], bytes]) -> DataFrame:
     """One row per distinct content of each block of rows: the row with the largest id, its fingerprint, and the number of copies."""
-    schema = T.StructType([*docs.schema.fields, T.StructField(ROW, T.LongType()), T.StructField(KEY, T.BinaryType()), T.StructField(COUNT, T.LongType())])
+    numbered = docs if ROW in docs.columns else docs.withColumn(ROW, F.monotonically_increasing_id())
+    schema = T.StructType([*numbered.schema.fields, T.StructField(KEY, T.BinaryType()), T.StructField(COUNT, T.LongType())])
     arrow = to_arrow_schema(schema)
 
     def merge_blocks(batches):
@@ -151,7 +152,7 @@ def _records(docs: DataFrame, id_col: str, text_col: str, fingerprint: Callable[
             rows = pa.Table.from_arrays([*batch.columns, pa.array(keys, pa.binary()), pa.array([1] * len(keys), pa.int64())], names=[*batch.schema.names, KEY, COUNT])
             yield from _merge(rows, id_col, text_col).cast(arrow).to_batches()
 
-    return docs.withColumn(ROW, F.monotonically_increasing_id()).mapInArrow(merge_blocks, schema)
+    return numbered.mapInArrow(merge_blocks, schema)
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, fingerprint, table_bytes: int, finish: Callable[[pa.Table], pa.Table], schema: T.StructType) -> DataFrame:
@@ -173,6 +174,7 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def exact_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fingerprint: Callable[[bytes], bytes] = sha256, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """One row per input row: its id, `keep_id`, `group_size`, `kept` and the `fingerprint` of its normalised text."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    docs = checkpointed(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")  # read twice: numbers must agree
     id_type = docs.schema["id"].dataType
     schema = T.StructType([T.StructField("fingerprint", T.BinaryType()), T.StructField("keep_id", id_type), T.StructField("keep_row", T.LongType()),
                            T.StructField("group_size", T.LongType()), T.StructField("clash", T.StringType())])
@@ -194,7 +196,7 @@ def exact_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: s
             columns = [batch.column("id"), batch.column(ROW), pa.array([fingerprint(x) for x in texts], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array([x.decode() for x in texts], pa.string())] * with_text, names=members_schema.names + ["clash"] * with_text)
 
-    rows = docs.withColumn(ROW, F.monotonically_increasing_id())
+    rows = docs
     found = rows.mapInArrow(members, members_schema).join(classes.filter("clash is null"), "fingerprint")
     if not classes.filter("clash is not null").isEmpty():  # different texts under one fingerprint are told apart by content
         with_text = T.StructType([*members_schema.fields, T.StructField("clash", T.StringType())])
