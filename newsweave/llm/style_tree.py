@@ -6,10 +6,12 @@ pages of the host that have a node (copies of a page count once), two entropies
 * presentation: of the sequences of child styles seen under the node (varied layouts speak for content), and
 * content: of each text in the branch over the pages; a text on c of m pages has entropy log_m(c).
 
-importance = (1 - GAMMA) * presentation + GAMMA * (1 - mean content entropy).  Branches of low importance are removed from each page.  Pages
-carry two kinds of plain markup that outrank the statistics: elements whose tag, role, class or id says that they are a menu, header,
-footer, sidebar, notice, advert, form or comment have importance 0, and `article` or `main` has importance 1, so that texts many pages
-share stay part of an article.  The statistics therefore decide about pages without such a main element.
+importance = (1 - GAMMA) * presentation + GAMMA * (1 - mean content entropy).  Branches of low importance are removed from each page, whether it
+has a main element or not.  Plain markup adds to the statistics:
+
+* elements whose tag, role, class or id says that they are a menu, header, footer, sidebar, notice, advert, form or comment have importance 0;
+* `article` and `main` are a prior: a node inside is removed below a lower bar, so that texts some pages share stay part of an article, and one
+  beside it stays only above a higher bar (on a host with too few pages for a tree, the prior alone decides).
 
 Only hashes of nodes and texts are shuffled, and partial counts are taken before each shuffle, so a host with a third of all pages is
 spread over its nodes and texts.
@@ -32,10 +34,13 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from newsweave.llm.common import slices
+from newsweave.session import checkpointed
 
 GAMMA = 0.9
 MIN_PAGES = 3  # fewer pages of a host say nothing about a node
 MIN_IMPORTANCE = 0.2
+PLAIN, INSIDE, BESIDE, NAMED = range(4)  # nodes: of a page without a main element or above one, inside one, beside one, inside one and named as boilerplate
+PRIORS = {PLAIN: 0.0, INSIDE: 0.1, BESIDE: -0.4, NAMED: -0.3}  # added to the importance
 SLICE = 4 << 20
 
 # Element names of the markup language by what they do, and words in roles, classes and ids that tell boilerplate.
@@ -70,26 +75,29 @@ def _hash(*parts: object) -> int:
 
 
 class Element:
-    __slots__ = ("tag", "style", "path", "dropped", "main", "children")
+    __slots__ = ("tag", "style", "path", "dropped", "main", "named", "holds_main", "children")
 
     def __init__(self, tag: str, attributes: dict[str, str], parent: Element | None):
         self.tag, self.style = tag, _style(tag, attributes)
         self.path = _hash(parent.path if parent else 0, self.style)
         self.children: list[str] = []
         inside_main = parent is not None and parent.main
-        words = set(_WORDS.findall((attributes.get("class", "") + " " + attributes.get("id", "")).lower()))
-        named = bool(words & BOILERPLATE_WORDS) and tag not in ("body", "html") and (tag not in ("main", "article") or "comment" in words and inside_main)
+        names = (attributes.get("class", "") + " " + attributes.get("id", "")).lower()
+        words = set(_WORDS.findall(names)) & BOILERPLATE_WORDS if tag not in ("body", "html") else set()
+        named = bool(words) and (tag not in ("main", "article") or "comment" in words and inside_main)
         hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
         drops = tag in NO_CONTENT or tag == "header" and not inside_main or named or hidden or attributes.get("role", "").lower() in BOILERPLATE_ROLES
         self.dropped = parent is not None and parent.dropped or drops
         self.main = inside_main or (tag in ("article", "main") or attributes.get("role", "").lower() == "main") and not self.dropped
+        self.named = parent is not None and parent.named or inside_main and bool(words) and tag not in ("main", "article")
+        self.holds_main = False
 
 
 class Page:
-    """Blocks of a page in order (text, inside a main element?, style paths of the nodes above it), and its style nodes."""
+    """Blocks of a page in order (text, the nodes above it), and its style nodes."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, bool, bool, tuple[int, ...]]] = []
+        self.blocks: list[tuple[str, tuple[Element, ...]]] = []
         self.nodes: list[Element] = []
         self._text: list[str] = []
         root = Element("html", {}, None)
@@ -129,8 +137,10 @@ class Page:
         text = " ".join(html_library.unescape("".join(self._text)).split())
         self._text = []
         if text:
-            top = self.stack[-1]
-            self.blocks.append((text, top.main, top.dropped, tuple(e.path for e in self.stack)))
+            self.blocks.append((text, tuple(self.stack)))
+            if self.stack[-1].main and not self.stack[-1].dropped:
+                for e in self.stack:
+                    e.holds_main = True
 
     def _open(self, tag: str, attributes: dict[str, str]) -> None:
         if tag == "br":
@@ -176,16 +186,24 @@ class Page:
             if tag not in BLOCK and self.stack[k].tag in SCOPES:
                 return
 
-    def main_text(self) -> str | None:
-        """Text of the main elements; None if the page has none with text."""
-        blocks = [text for text, main, dropped, _ in self.blocks if main and not dropped]
-        return "\n".join(blocks) if blocks else None
+    def judged(self, markup: bool = True) -> tuple[list[tuple[int, int]], list[tuple[str, list[int]]]]:
+        """The distinct nodes (path, kind) above the blocks that plain markup leaves, and these blocks (text, places of their nodes); without `markup`, above all blocks."""
+        has_main, places, blocks = self.nodes[0].holds_main, {}, []
+        for text, above in self.blocks:
+            if not markup:
+                keys = [(e.path, PLAIN) for e in above]
+            elif above[-1].dropped:
+                continue
+            else:
+                keys = [(e.path, (NAMED if e.named else INSIDE) if e.main else BESIDE if has_main and not e.holds_main else PLAIN) for e in above]
+            blocks.append((text, [places.setdefault(k, len(places)) for k in keys]))
+        return list(places), blocks
 
     def features(self) -> tuple[int, set[tuple[int, int, int]]]:
         """Hash of the page's texts, and (path, kind, feature) with kind 0 the node itself, 1 its child styles, 2 a text in its branch."""
         out = {(e.path, 0, 0) for e in self.nodes} | {(e.path, 1, _hash(*e.children)) for e in self.nodes}
-        texts = [(_hash(text), paths) for text, _, _, paths in self.blocks]
-        out |= {(path, 2, text) for text, paths in texts for path in paths}
+        texts = [(_hash(text), above) for text, above in self.blocks]
+        out |= {(e.path, 2, text) for text, above in texts for e in above}
         return _hash(*(t for t, _ in texts)), out
 
 
@@ -222,36 +240,33 @@ def node_importance(pages: DataFrame, html_col: str = "html", url_col: str = "ur
     return sums.select("host", "path", "pages", ((1 - GAMMA) * style + GAMMA * text).alias("importance"))
 
 
-def extract_main_text(pages: DataFrame, html_col: str = "html", url_col: str = "url", out_col: str = "text", min_pages: int = MIN_PAGES, min_importance: float = MIN_IMPORTANCE) -> DataFrame:
-    """The pages with `text` in place of the html: blocks of the branches that stay, one line each."""
+def extract_main_text(pages: DataFrame, html_col: str = "html", url_col: str = "url", out_col: str = "text", min_pages: int = MIN_PAGES, min_importance: float = MIN_IMPORTANCE, markup: bool = True) -> DataFrame:
+    """The pages with `text` in place of the html: blocks of the branches that stay, one line each.  Without `markup`, the style trees alone decide."""
     names = [c for c in pages.columns if c not in (html_col, out_col)]
     rows = pages.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(names)), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), F.monotonically_increasing_id().alias("row"))
     kept = [f"_{i}" for i in range(len(names))]
-    block = T.StructType([T.StructField("text", T.StringType()), T.StructField("paths", T.ArrayType(T.LongType()))])
-    schema = T.StructType([*(rows.schema[c] for c in kept), T.StructField("row", T.LongType()), T.StructField("host", T.StringType()), T.StructField("text", T.StringType()), T.StructField("blocks", T.ArrayType(block))])
-    arrow = to_arrow_schema(schema)
+    node = T.StructType([T.StructField("path", T.LongType()), T.StructField("kind", T.IntegerType())])
+    block = T.StructType([T.StructField("text", T.StringType()), T.StructField("above", T.ArrayType(T.IntegerType()))])
+
+    def read(columns: list[str], fields: list[T.StructField], build) -> DataFrame:
+        """The columns of each row and what `build` makes of its address and page."""
+        schema = T.StructType([*(rows.schema[c] for c in columns), *fields])
+        arrow = to_arrow_schema(schema)
 
-    def read(with_main: bool):
         def run(batches):
             for batch in slices(batches, SLICE):
-                chosen, found = [], []
-                for i, (url, source) in enumerate(zip(batch.column("url").to_pylist(), batch.column("html").to_pylist())):
-                    page = Page(source or "")
-                    text = page.main_text()
-                    if (text is not None) == with_main:
-                        chosen.append(i)
-                        found.append((host_of(url), text, None if with_main else [{"text": t, "paths": list(p)} for t, _, dropped, p in page.blocks if not dropped]))
-                if chosen:
-                    part = batch.take(pa.array(chosen, pa.int64()))
-                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in [*kept, "row"]), *(pa.array([f[k] for f in found], arrow.field(n).type) for k, n in enumerate(("host", "text", "blocks")))], schema=arrow)
-
-        return run
-
-    marked = rows.mapInArrow(read(True), schema).select(*kept, "text")
-    plain = rows.mapInArrow(read(False), schema)
-    low = node_importance(pages, html_col, url_col).filter((F.col("pages") >= min_pages) & (F.col("importance") < min_importance)).select("host", "path")
-    places = plain.select("row", "host", F.posexplode("blocks").alias("place", "block")).select("row", "host", "place", F.explode("block.paths").alias("path"))
-    removed = places.join(low, ["host", "path"]).groupBy("row").agg(F.collect_set("place").alias("removed"))
-    stays = F.filter(F.transform("blocks", lambda b, i: F.struct(b["text"].alias("text"), i.alias("place"))), lambda b: ~F.array_contains(F.coalesce("removed", F.array().cast("array<int>")), b["place"]))
-    unmarked = plain.join(removed, "row", "left").select(*kept, F.array_join(F.transform(stays, lambda b: b["text"]), "\n").alias("text"))
-    return marked.unionByName(unmarked).select(*(F.col(k).alias(c) for k, c in zip(kept, names)), F.col("text").alias(out_col))
+                found = [build(url, *Page(source or "").judged(markup)) for url, source in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist())]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *(pa.array([f[k] for f in found], arrow.field(x.name).type) for k, x in enumerate(fields))], schema=arrow)
+
+        return rows.mapInArrow(run, schema)
+
+    texts = read([*kept, "row"], [T.StructField("blocks", T.ArrayType(block))], lambda _, nodes, blocks: ([{"text": t, "above": a} for t, a in blocks],))
+    nodes = read(["row"], [T.StructField("host", T.StringType()), T.StructField("nodes", T.ArrayType(node))], lambda url, nodes, _: (host_of(url), [{"path": p, "kind": k} for p, k in nodes]))
+    known = node_importance(pages, html_col, url_col).filter(F.col("pages") >= min_pages).select("host", "path", "importance")
+    places = nodes.select("row", "host", F.posexplode("nodes").alias("place", "node")).select("row", "host", "place", "node.path", "node.kind")
+    prior = F.coalesce(*(F.when(F.col("kind") == k, F.lit(v)) for k, v in PRIORS.items()))
+    goes = F.coalesce(F.col("importance") + prior < min_importance, F.col("kind") == BESIDE)
+    removed = places.join(known, ["host", "path"], "left").filter(goes).groupBy("row").agg(F.collect_set("place").alias("removed"))
+    removed = checkpointed(removed, "removed")  # its size is known now: a small one leaves the texts where they are
+    stays = F.filter("blocks", lambda b: ~F.arrays_overlap(b["above"], F.coalesce("removed", F.array().cast("array<int>"))))
+    return texts.join(removed, "row", "left").select(*(F.col(k).alias(c) for k, c in zip(kept, names)), F.array_join(F.transform(stays, lambda b: b["text"]), "\n").alias(out_col))

@@ -138,6 +138,19 @@ def test_pages(spark):
     assert style_tree.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def main_texts(spark, bodies):
+    rows = [(i, f"http://h.org/{i}", f"<body>{b}") for i, b in enumerate(bodies)]
+    return [r.text for r in style_tree.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_pages_with_a_main_element_pass_through_the_tree(spark):
+    body = lambda i: (f'<h1 class="title">Headline {i}</h1><div class="strip">Follow us everywhere</div><article><p>Story {i}</p><p>More {i}</p><p>{"Shared by some" if i % 3 == 0 else i}</p>'
+                      f'<div class="plea">Please support us</div></article>')
+    want = lambda i: f"Headline {i}\nStory {i}\nMore {i}\n{'Shared by some' if i % 3 == 0 else i}"
+    assert main_texts(spark, map(body, range(9))) == [want(i) for i in range(9)]
+    assert main_texts(spark, [body(1)]) == ["Story 1\nMore 1\n1\nPlease support us"]  # one page shows no repetition: the main element alone counts
+
+
 def test_pipeline_stages_equal_brute_force(spark, sf, odd):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = {r.doc_id: r.text for r in docs.collect()}
