@@ -11,7 +11,9 @@ has a main element or not.  Plain markup adds to the statistics:
 
 * elements whose tag, role, class or id says that they are a menu, header, footer, sidebar, notice, advert, form or comment have importance 0;
 * `article` and `main` are a prior: a node inside is removed below a lower bar, so that texts some pages share stay part of an article, and one
-  beside it stays only above a higher bar (on a host with too few pages for a tree, the prior alone decides).
+  beside it stays only above a higher bar (on a host with too few pages for a tree, the prior alone decides);
+* inside `article` and `main` the words of a class or id are only evidence: the bar is higher there, and without repetition nothing goes.
+  Only a whole name of an advert or of comments (class="ad") removes its branch at once.
 
 Only hashes of nodes and texts are shuffled, and partial counts are taken before each shuffle, so a host with a third of all pages is
 spread over its nodes and texts.
@@ -53,6 +55,9 @@ BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary searc
 BOILERPLATE_WORDS = frozenset(("ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promotion banner sidebar sidebars aside nav navbar "
                                "navigation menu menus submenu breadcrumb breadcrumbs header footer masthead topbar cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe "
                                "subscription social share sharing related recommended comment comments disqus respond reply replies widget widgets login signup search pagination pager toolbar").split())
+# Whole classes or ids that mean boilerplate inside a main element too, and words that mean none there.
+OUTRIGHT = frozenset("ad ads advert adverts advertisement advertisements adsense comment comments disqus".split())
+KEPT_IN_MAIN = frozenset(["header"])
 P_ENDS = BLOCK - frozenset("body head html li dd dt td th tr tbody thead tfoot option optgroup caption legend summary".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "p": ("p",)}
 SCOPES = frozenset("article aside body div footer form header main nav section table ul ol dl blockquote td th html".split())
@@ -84,12 +89,15 @@ class Element:
         inside_main = parent is not None and parent.main
         names = (attributes.get("class", "") + " " + attributes.get("id", "")).lower()
         words = set(_WORDS.findall(names)) & BOILERPLATE_WORDS if tag not in ("body", "html") else set()
-        named = bool(words) and (tag not in ("main", "article") or "comment" in words and inside_main)
+        if inside_main:
+            named = bool(words) and not OUTRIGHT.isdisjoint(names.split()) and (tag not in ("main", "article") or "comment" in words)
+        else:
+            named = bool(words) and tag not in ("main", "article")
         hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
         drops = tag in NO_CONTENT or tag == "header" and not inside_main or named or hidden or attributes.get("role", "").lower() in BOILERPLATE_ROLES
         self.dropped = parent is not None and parent.dropped or drops
         self.main = inside_main or (tag in ("article", "main") or attributes.get("role", "").lower() == "main") and not self.dropped
-        self.named = parent is not None and parent.named or inside_main and bool(words) and tag not in ("main", "article")
+        self.named = parent is not None and parent.named or inside_main and bool(words - KEPT_IN_MAIN) and tag not in ("main", "article")
         self.holds_main = False
 
 

@@ -151,6 +151,15 @@ def test_pages_with_a_main_element_pass_through_the_tree(spark):
     assert main_texts(spark, [body(1)]) == ["Story 1\nMore 1\n1\nPlease support us"]  # one page shows no repetition: the main element alone counts
 
 
+def test_class_words_inside_main_need_repetition(spark):
+    body = lambda i: (f'<article><div class="entry-header"><h1>Title {i}</h1></div><header class="post-header">By {i}</header><p>Story {i}</p><section class="related-work">Earlier work {i}</section>'
+                      f'<section class="share-box"><p>Share this</p></section><div class="ad">Buy {i}</div><section class="notice">{"Half notice" if i % 2 else f"Of {i}"}</section></article>')
+    few = "Title 0\nBy 0\nStory 0\nEarlier work 0\nShare this\nOf 0"
+    found = main_texts(spark, map(body, range(8)))
+    assert [t.replace("\nHalf notice", "") for t in found] == [f"Title {i}\nBy {i}\nStory {i}\nEarlier work {i}" + ("" if i % 2 else f"\nOf {i}") for i in range(8)]
+    assert main_texts(spark, [body(0)]) == [few]
+
+
 def test_pipeline_stages_equal_brute_force(spark, sf, odd):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = {r.doc_id: r.text for r in docs.collect()}
