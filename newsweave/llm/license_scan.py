@@ -3,7 +3,8 @@
 Document frequencies are counted over all files, for the words of the templates (a bounded vocabulary); a word outside it weighs as much as the
 rarest.  Passages are the lines, the paragraphs of several lines and the whole text of a file, so headers, notices inside a text and licence
 files are covered alike.  A passage whose known part is too small to reach the threshold with any template is skipped by an exact bound; for the
-others the cosine with every template is taken.
+others the cosine with every template is taken.  The whole text of a file is also held against whole licence texts, with a vocabulary of their own; one
+that it reaches outranks all notices, as these texts name other licences too.
 
 A licence file gives its licence to its directory.  A file without a licence of its own takes the one of the nearest directory above it that has one:
 distinct directories are joined to their ancestors by path, and files to directories.
@@ -22,10 +23,12 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from newsweave.llm.common import LETTERS_DIGITS, hash_words, slices, text_bytes
+from newsweave.llm.license_texts import TEXTS
 from newsweave.session import checkpointed
 
 SLICE = 4 << 20
 THRESHOLD = 0.6
+WHOLE_THRESHOLD = 0.75  # a licence text without a template must not go to a distant relative
 FOUND = [T.StructField("license", T.StringType()), T.StructField("license_score", T.DoubleType()), T.StructField("license_from", T.StringType())]
 
 # Short notices by which licences are named in files.
@@ -51,6 +54,10 @@ NOTICES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0."),
     ("Proprietary", "All rights reserved."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
 ]
 
 
@@ -130,25 +137,30 @@ def _document_frequencies(files: DataFrame, templates: Templates) -> dict[int, i
     return {r.word: r.df for r in files.mapInArrow(count, "word long, df long").groupBy("word").agg(F.sum("df").alias("df")).collect()}  # one row per word of the templates
 
 
-def match_licenses(files: DataFrame, text_col: str = "text", notices: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def match_licenses(files: DataFrame, text_col: str = "text", notices: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD, whole: list[tuple[str, str]] | None = None) -> DataFrame:
     """The files with `license`, `license_score` (null without one) and `license_from` = 'own' for the passage nearest to a template."""
-    templates = Templates(notices or NOTICES)
+    notices, whole = notices or NOTICES, whole or TEXTS
+    templates = Templates(notices), Templates(whole)
     texts = files.select(F.col(text_col).cast("string").alias("text"))
-    templates.weigh(_document_frequencies(texts, templates), texts.count())
+    frequencies, n = _document_frequencies(texts, Templates([*notices, *whole])), texts.count()
+    for t in templates:
+        t.weigh(frequencies, n)
     shared = files.sparkSession.sparkContext.broadcast(templates)
     kept = [c for c in files.columns if c not in {f.name for f in FOUND}]
     schema = T.StructType([*(files.schema[c] for c in kept), *FOUND])
     arrow = to_arrow_schema(schema)
 
     def match(batches):
-        t = shared.value
+        short, long = shared.value
         for batch in slices(batches, SLICE):
             names, scores = [], []
             texts = text_bytes(batch.column(text_col).cast(pa.string()))
             for text, (words, starts, _) in zip(texts, hash_words(texts, LETTERS_DIGITS)):
-                best = (0.0, 0)
+                best, t = (0.0, 0), long
                 if len(words):
-                    best = _best_passage(t, text, words, starts, threshold)
+                    best = _best_passage(long, [(0, len(words))], words, max(threshold, WHOLE_THRESHOLD))
+                    if not best[0]:
+                        best, t = _best_passage(short, _passages(text, starts), words, threshold), short
                 names.append(t.names[best[1]] if best[0] else None)
                 scores.append(best[0] or None)
             found = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array([n and "own" for n in names], pa.string())]
@@ -157,8 +169,7 @@ def match_licenses(files: DataFrame, text_col: str = "text", notices: list[tuple
     return files.mapInArrow(match, schema)
 
 
-def _best_passage(t: Templates, text: bytes, words: np.ndarray, starts: np.ndarray, threshold: float) -> tuple[float, int]:
-    passages = _passages(text, starts)
+def _best_passage(t: Templates, passages: list[tuple[int, int]], words: np.ndarray, threshold: float) -> tuple[float, int]:
     lines = np.array(passages)
     sizes = lines[:, 1] - lines[:, 0]
     known = np.concatenate(([0], np.cumsum(t.places(words) < len(t.vocabulary))))

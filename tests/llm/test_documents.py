@@ -95,6 +95,15 @@ def test_licences_and_inheritance(spark):
     assert license_scan.scan_licenses(docs.limit(0)).count() == 0
 
 
+def test_whole_licence_files_get_their_own_names(spark):
+    names = ["MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "AGPL-3.0"]
+    texts = dict(license_scan.TEXTS)
+    rows = [(n, f"Copyright (c) 2019 Ada Example and others\n\n{texts[n]}") for n in names] + [(f"prose {i}", f"the story of the day {i} and more of it") for i in range(200)]
+    rows += [("GPL-3.0 title", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007"), ("GPL-2.0 title", "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991")]
+    found = {r.path: r.license for r in license_scan.match_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert {p: n for p, n in found.items() if n} == {**{n: n for n in names}, "GPL-3.0 title": "GPL-3.0", "GPL-2.0 title": "GPL-2.0"}
+
+
 def test_licence_scores_equal_brute_force(documents):
     import math
     from collections import Counter
