@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -184,6 +184,11 @@ def _best_passage(t: Templates, passages: list[tuple[int, int]], words: np.ndarr
     return max(found.values(), key=lambda f: (round(f[0], 12), -f[1]), default=(0.0, 0))
 
 
+def is_license_path(path: Column) -> Column:
+    """Does the name of the file, without what follows a dot or dash, say that it holds the licence of its directory?"""
+    return F.coalesce(path, F.lit("")).rlike("(?i)(?:^|/)(?:un)?(?:licen[cs]es?|copying)(?:[.-][^/]*)?$")
+
+
 def inherit_licenses(matched: DataFrame, path_col: str = "path", file_col: str = "is_license_file") -> DataFrame:
     """Gives files without a licence the one of the nearest directory at or above theirs that holds a licence file with one.  Adds `license_dir`, the
     directory it came from (null for own licences), and sets `license_from` to 'inherited'."""

@@ -105,8 +105,11 @@ def op4(spark, sf_dir):
 
 @query("op5_license_scan")
 def op5(spark, sf_dir):
-    """The documents as a tree of files, source / language / hundreds of ids; a short one stands for the licence file of its directory."""
-    docs = table(spark, sf_dir, "documents")
-    folder = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.floor(F.col("doc_id") / 100).cast("string"))
-    files = docs.select("doc_id", "text", F.concat_ws("/", folder, F.col("doc_id").cast("string")).alias("path"), (F.length(F.coalesce("text", F.lit(""))) <= 400).alias("is_license_file"))
+    """The documents as a tree of files: projects of 200 ids with folders by source, language and last digit of the id.  By its hash, a file lies in one of
+    the four levels, and every fourth is named as a licence file."""
+    docs, crc = table(spark, sf_dir, "documents"), crc_column("doc_id")
+    parts = F.array(F.concat(F.lit("p"), F.floor(F.col("doc_id") / 200).cast("string")), F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), (F.col("doc_id") % 10).cast("string"))
+    folder = F.array_join(F.slice(parts, F.lit(1), (crc % 4 + 1).cast("int")), "/", "none")
+    name = F.concat_ws("-", F.when(F.floor(crc / 4) % 4 == 0, "LICENSE").otherwise("file"), F.col("doc_id").cast("string"))
+    files = docs.select("doc_id", "text", F.concat_ws("/", folder, name).alias("path")).withColumn("is_license_file", license_scan.is_license_path(F.col("path")))
     return license_scan.scan_licenses(files).select("doc_id", "path", "license", "license_score", "license_from", "license_dir")

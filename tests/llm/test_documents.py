@@ -95,6 +95,23 @@ def test_licences_and_inheritance(spark):
     assert license_scan.scan_licenses(docs.limit(0)).count() == 0
 
 
+def test_licence_query_equals_a_search_up_the_tree(spark, sf):
+    rows = queries.QUERIES["op5_license_scan"](spark, sf).collect()
+    given = {}
+    for r in sorted((r for r in rows if r.license_from == "own" and r.path.rpartition("/")[2].startswith("LICENSE")), key=lambda r: (-r.license_score, r.license)):
+        given.setdefault(r.path.rpartition("/")[0], (r.license, r.license_score))
+    steps = []
+    for r in rows:
+        if r.license_from != "own":
+            up = start = r.path.rpartition("/")[0]
+            while up and up not in given:
+                up = up.rpartition("/")[0]
+            assert (r.license, r.license_score, r.license_dir, r.license_from) == ((*given[up], up, "inherited") if up else (None,) * 4)
+            steps += [start.count("/") - up.count("/")] if up else []
+    assert len({r.path.count("/") for r in rows}) == 4 and len(given) > 0 and max(steps) > 0
+    assert sum(len(r.path) for r in rows) and len({r.path for r in rows}) == len({r.doc_id for r in rows})
+
+
 def test_whole_licence_files_get_their_own_names(spark):
     names = ["MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "AGPL-3.0"]
     texts = dict(license_scan.TEXTS)
