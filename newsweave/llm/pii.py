@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from newsweave.llm.common import slices
+from newsweave.llm.host_endings import ENDINGS
 
 KINDS = ("email", "ip", "card", "phone")
 SLICE = 8 << 20
@@ -44,9 +45,6 @@ LOOK_ALIKES = dict(zip("аеорсухіјѕԁһӏАВЕКМНОРСТХІЈЅα
 ZERO_WIDTH = "​‌‍⁠﻿­"
 DIGIT_NAMES = {"zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 
-# Last labels that a host may have when the at sign is written as a bare word, as in "bob at example dot com".
-COMMON_ENDINGS = frozenset("com org net edu gov mil int info biz io ai co eu uk de fr es it nl ch at be pl se ru in cn jp br ca au us".split())
-
 _WIDE = {chr(c): n for first, last in ((0xFF10, 0xFF5E), (0x1D400, 0x1D7FF), (0x2460, 0x2468), (0x24B6, 0x24E9))
          for c in range(first, last + 1) if len(n := unicodedata.normalize("NFKC", chr(c))) == 1 and n.isascii()}
 _SINGLE = {**_WIDE, **LOOK_ALIKES, **dict.fromkeys(ZERO_WIDTH, "")}
@@ -61,7 +59,7 @@ _WORD = r"[A-Za-z0-9_%+-]{1,64}"
 _SIGN = re.compile(f"(?P<at>{_AT})|(?P<dot>{_DOT})", re.I)
 _DISGUISED = re.compile(rf"{_WORD}(?:(?:\.|{_DOT}| dot ){_WORD}){{0,4}}(?P<at>{_AT}|@| at )[A-Za-z0-9-]{{1,63}}(?:(?:\.|{_DOT}| dot )[A-Za-z0-9-]{{1,63}}){{1,5}}", re.I)
 _ANY_SIGN = re.compile(f"{_AT}|{_DOT}| at | dot ", re.I)
-_HINT = re.compile(r"[\[({<]\s{0,3}(?:at|@|dot|\.)\s{0,3}[\])}>]| dot ", re.I)
+_HINT = re.compile(r"[\[({<]\s{0,3}(?:at|@|dot|\.)\s{0,3}[\])}>]| dot | at [a-z0-9-]{1,63}\.[a-z0-9-]", re.I)
 
 
 class Rewritten:
@@ -141,7 +139,7 @@ def plain_signs(text: Rewritten) -> Rewritten:
 
     def changes() -> Iterator[tuple[int, int, str]]:
         for m in _DISGUISED.finditer(text.text):
-            if m["at"].strip().lower() == "at" and re.split(r"[^a-z0-9-]+", m[0].lower())[-1] not in COMMON_ENDINGS:
+            if m["at"].strip().lower() == "at" and re.split(r"[^a-z0-9-]+", m[0].lower())[-1] not in ENDINGS:
                 continue
             for sign in _ANY_SIGN.finditer(text.text, m.start(), m.end()):
                 yield sign.start(), sign.end(), "@" if re.search("at|@", sign[0], re.I) else "."
@@ -191,7 +189,7 @@ def find_all(text: str, may: dict[str, bool] | None = None) -> list[tuple[str, i
     plain = {kind: find(kind, text) if kind == "email" or may["digit"] else [] for kind in KINDS}
     clear = Rewritten(text)
     for name, step in TRANSDUCERS.items():
-        if may[name] or may["odd"]:
+        if may[name] or may["odd"] or name == "sign" and may["spelled"]:  # digits once written out may be part of a host
             clear = step(clear)
     out = [(kind, a, b, False) for kind in KINDS for a, b in plain[kind]]
     if clear.text != text:
@@ -211,7 +209,7 @@ def find_all(text: str, may: dict[str, bool] | None = None) -> list[tuple[str, i
 # Necessary conditions of the transducers and of the kinds with digits, in the syntax of the column-wise regular expressions of Arrow.
 _ANY_NAME = "(?:" + "|".join(DIGIT_NAMES) + ")"
 HINTS = {"odd": "[" + "".join(sorted(_SINGLE)).replace("-", r"\-") + "]", "spelled": f"(?i){_ANY_NAME}[ ,-]{{1,2}}(?:{_ANY_NAME}|[0-9]|dot )|[0-9][ -]{_ANY_NAME}|dot {_ANY_NAME}",
-         "sign": r"(?i)[\[({<]\s{0,3}(?:at|@|dot|\.)\s{0,3}[\])}>]| dot ", "digit": "[0-9]"}
+         "sign": r"(?i)[\[({<]\s{0,3}(?:at|@|dot|\.)\s{0,3}[\])}>]| dot | at [a-z0-9-]{1,63}\.[a-z0-9-]", "digit": "[0-9]"}
 
 
 def hints(texts: pa.Array) -> list[dict[str, bool]]:

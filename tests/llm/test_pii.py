@@ -58,6 +58,17 @@ def test_hints_never_hide_a_finding(text):
     assert pii.find_all(text, pii.hints(pa.array([text]))[0]) == pii.find_all(text)
 
 
+def test_findings_do_not_depend_on_distant_text():
+    for text in ("ask bob at example.com now", "ask bob at example.dev now", "Bob AT mail.example.co.nz", "bob at one two.com", "bob (at) example.com", "one at a time. So", "bob at example dot app"):
+        alone = pii.find_all(text)
+        assert alone == pii.find_all(text, pii.hints(pa.array([text]))[0])
+        for far in (" dot ", "(at)", "[dot]", "\u200b"):
+            more = text + "." * 200 + far
+            assert [s for s in pii.find_all(more, pii.hints(pa.array([more]))[0]) if s[1] < len(text)] == alone
+    assert values("ask bob at example.dev now") == [("email", "bob at example.dev")] and values("one at a time. So") == []
+    assert all(values(f"bob at example.{e}") for e in "dev app me nz kr mx za".split())
+
+
 def test_long_texts_stay_linear():
     for text in ("a" * 300_000 + "@", "1" * 300_000, "1." * 150_000, "+1 " * 100_000, "one " * 60_000, "a (at) " * 40_000, "dot " * 60_000):
         pii.find_all(text)
