@@ -62,18 +62,19 @@ def by_length(column: pa.Array, dtype) -> Iterator[tuple[int, np.ndarray, np.nda
 
 
 class BestLists:
-    """The k best (score, id) of each of n queries: higher scores first, ties by smaller id."""
+    """The k best (score, id) of each of n queries: higher scores first, ties by smaller id.  With `others`, each entry carries one more number along."""
 
-    def __init__(self, n: int, k: int, dtype):
+    def __init__(self, n: int, k: int, dtype, others: bool = False):
         self.lowest = -np.inf if np.issubdtype(dtype, np.floating) else np.iinfo(dtype).min + 1
         self.scores, self.ids = np.full((n, k), self.lowest, dtype), np.full((n, k), LAST_ID, np.int64)
+        self.others = np.zeros((n, k), np.int64) if others else None
 
     @property
     def floor(self) -> np.ndarray:
         """Scores that a candidate must reach; the lowest number while a list has room."""
         return self.scores[:, -1]
 
-    def offer(self, query: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+    def offer(self, query: np.ndarray, scores: np.ndarray, ids: np.ndarray, others: np.ndarray | None = None) -> None:
         k = self.scores.shape[1]
         touched, own = np.unique(query, return_inverse=True)
         query = np.concatenate([np.repeat(np.arange(len(touched)), k), own])
@@ -82,11 +83,13 @@ class BestLists:
         order = np.lexsort((ids, -scores, query))
         first = order[np.searchsorted(query[order], np.arange(len(touched)))[:, None] + np.arange(k)]
         self.scores[touched], self.ids[touched] = scores[first], ids[first]
+        if others is not None:
+            self.others[touched] = np.concatenate([self.others[touched].ravel(), others])[first]
 
-    def lists(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Ids and scores of each query without empty places."""
+    def lists(self) -> tuple[list[np.ndarray], ...]:
+        """Ids and scores (and others) of each query without empty places."""
         full = self.scores > self.lowest
-        return [i[f] for i, f in zip(self.ids, full)], [s[f] for s, f in zip(self.scores, full)]
+        return tuple([row[f] for row, f in zip(x, full)] for x in (self.ids, self.scores, self.others) if x is not None)
 
 
 def kth_largest(bounds: np.ndarray, k: int, lowest: float) -> np.ndarray:
@@ -96,26 +99,26 @@ def kth_largest(bounds: np.ndarray, k: int, lowest: float) -> np.ndarray:
 
 
 def merged(lists: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """One list per key (long columns) out of the lists (`ids`, `scores`, best first) of its cells.  A task streams through its sorted keys and merges the lists of
-    one key by a heap, so many at a time, whatever their number."""
+    """One list per key (long columns) out of the lists (`ids`, `scores`, best first, and `others` if there are any) of its cells.  A task streams through its
+    sorted keys and merges the lists of one key by a heap, so many at a time, whatever their number."""
     at_once = 256
-    schema = lists.select(*keys, "ids", "scores").schema
-    scored = pa.list_(pa.float64() if "double" in schema["scores"].dataType.simpleString() else pa.int64())
-    kinds = [*[pa.int64()] * len(keys), pa.list_(pa.int64()), scored]
+    columns = [c for c in ("ids", "scores", "others") if c in lists.columns]
+    schema = lists.select(*keys, *columns).schema
+    kinds = [*[pa.int64()] * len(keys), *[pa.list_(pa.float64() if "double" in schema[c].dataType.simpleString() else pa.int64()) for c in columns]]
 
     def run(batches):
         def rows():
             for batch in batches:
-                yield from zip(zip(*(batch.column(c).to_pylist() for c in keys)), batch.column("ids").to_pylist(), batch.column("scores").to_pylist())
+                yield from zip(zip(*(batch.column(c).to_pylist() for c in keys)), zip(*(batch.column(c).to_pylist() for c in columns)))
 
         def best_of(group):
             best: list[tuple] = []
-            while some := [[(-s, i) for i, s in zip(ids, scores)] for _, ids, scores in islice(group, at_once)]:
+            while some := [[(-s, i, *rest) for i, s, *rest in zip(*entries)] for _, entries in islice(group, at_once)]:
                 best = list(islice(merge(best, *some), k))
-            return [i for _, i in best], [-s for s, _ in best]
+            return [[e[1] for e in best], [-e[0] for e in best], *([e[j] for e in best] for j in range(2, len(columns)))]
 
         found = ((*of, *best_of(group)) for of, group in groupby(rows(), key=lambda x: x[0]))
         while some := list(islice(found, 2_000)):
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*some), kinds)], names=schema.names)
 
-    return lists.select(*keys, "ids", "scores").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return lists.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)

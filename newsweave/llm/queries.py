@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsweave.llm import block_search, byte_bpe, decontaminate, grace_dedup, hamming_dedup, hard_negatives, language_id, license_scan, pii, recurrent_lm, style_tree, token_files
+from newsweave.llm import bag_search, block_search, byte_bpe, decontaminate, grace_dedup, hamming_dedup, hard_negatives, language_id, license_scan, pii, recurrent_lm, style_tree, token_files
 from newsweave.llm.common import crc_column, table
 from newsweave.session import use_utc
 
@@ -115,6 +115,23 @@ def op5(spark, sf_dir):
     return license_scan.scan_licenses(files).select("doc_id", "path", "license", "license_score", "license_from", "license_dir")
 
 
+TERMS = "regexp_extract_all(" + ASCII_LOWERED.format("coalesce(text, '')") + ", '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+
+@query("op11_bag_search", f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {TERMS} AS terms FROM documents),
+i AS (SELECT row_number() OVER () AS q, item_id, unnest(list_distinct({TERMS})) AS term FROM benchmark),
+total AS (SELECT count(*) AS docs, sum(len(terms))::BIGINT AS words FROM d WHERE len(terms) > 0),
+t AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(terms) AS n, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM t, total GROUP BY term, docs),
+f AS (SELECT r, doc_id, term, (1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // words)) AS f FROM t, total),
+s AS (SELECT q, item_id, r, doc_id, sum(w * f)::BIGINT AS score FROM i JOIN f USING (term) JOIN w USING (term) GROUP BY ALL),
+p AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM p WHERE rank <= 50""")
+def op11(spark, sf_dir):
+    return bag_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
 # Finite numbers only, and a vector of them; the pairs meet only for vectors of the same length.
 USABLE_VECTOR = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
 
