@@ -79,7 +79,18 @@ def checkpointed(df: DataFrame, name: str = "stage") -> DataFrame:
     """Cut the lineage through a table in the shared folder: computed once, safe when executors are lost."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._stored_in = path
+    return stored
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of `checkpointed` that nothing reads any more.  Only for tables whose readers have all been stored themselves."""
+    for table in tables:
+        path = getattr(table, "_stored_in", None)
+        if path:
+            folder = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
