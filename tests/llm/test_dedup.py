@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from newsweave.llm import grace_dedup, hamming_dedup
+from newsweave.llm import components, grace_dedup, hamming_dedup
 from newsweave.llm.components import connected_components
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -146,3 +146,17 @@ def test_connected_components(spark):
     got = connected_components(spark.createDataFrame(edges, "a long, b long"))
     assert {r.vertex: r.component for r in got.collect()} == want
     assert connected_components(spark.createDataFrame([], "a long, b long")).agg(F.count("*")).first()[0] == 0
+
+
+@pytest.mark.parametrize("order", ["ascending", "shuffled", "star"])
+def test_long_chains_need_few_rounds(spark, monkeypatch, order):
+    n = 1000
+    ids = list(range(n)) if order != "shuffled" else random.Random(3).sample(range(n), n)
+    edges = [(ids[i], ids[i + 1]) for i in range(n - 1)] if order != "star" else [(n, i) for i in range(n)]
+    stored, gone = [], []
+    keep, drop = components.checkpointed, components.forget
+    monkeypatch.setattr(components, "checkpointed", lambda df, name: stored.append(name) or keep(df, name))
+    monkeypatch.setattr(components, "forget", lambda *tables: gone.extend(tables) or drop(*tables))
+    got = connected_components(spark.createDataFrame(edges, "a long, b long"))
+    assert {r.vertex: r.component for r in got.collect()} == dict.fromkeys({v for e in edges for v in e}, 0)
+    assert stored.count("edges") <= 12 and len(gone) == len(stored) - 1  # only the answer is left
