@@ -9,17 +9,20 @@ pages of the host that have a node (copies of a page count once), two entropies
 importance = (1 - GAMMA) * presentation + GAMMA * (1 - mean content entropy).  Branches of low importance are removed from each page, whether it
 has a main element or not.  Plain markup adds to the statistics:
 
-* elements whose tag, role, class or id says that they are a menu, header, footer, sidebar, notice, advert, form or comment have importance 0;
+* elements whose tag, role, class or id says that they are a menu, header, footer, sidebar, notice, advert, form or comment have importance 0, but a class, an id or `form` counts for
+  nothing on a wrapper in which a main element opens, nor `form` where it holds more than half of the page's text;
 * `article` and `main` are a prior: a node inside is removed below a lower bar, so that texts some pages share stay part of an article, and one
   beside it stays only above a higher bar (on a host with too few pages for a tree, the prior alone decides);
 * inside `article` and `main` the words of a class or id are only evidence: the bar is higher there, and without repetition nothing goes.
-  Only a whole name of an advert or of comments (class="ad") removes its branch at once.
+  Only the whole name of an advert (class="ad") and the words for reader comments (class="comment-list") remove their branch at once.
 
 Only hashes of nodes and texts are shuffled, and partial counts are taken before each shuffle, so a host with a third of all pages is
 spread over its nodes and texts.
 
+Rows meet their removed branches by a hash of address and html, so a second reading in another order gives the same texts.
+
 Defined results: null html counts as empty and gives the empty text; a null url belongs to the host ''; unclosed elements end with their
-parents; repeated rows each get their text; a column of the input named like an output column is replaced; an empty table gives an empty
+parents; a tag that the page ends in is dropped, and a quote that never closes ends with its tag; tags are read in linear time; repeated rows each get their text; a column of the input named like an output column is replaced; an empty table gives an empty
 result."""
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from newsweave.llm.common import slices
-from newsweave.session import checkpointed
+from newsweave.session import broadcast_if_small, checkpointed
 
 GAMMA = 0.9
 MIN_PAGES = 3  # fewer pages of a host say nothing about a node
@@ -57,18 +60,29 @@ BOILERPLATE_WORDS = frozenset(("ad ads adv advert adverts advertisement advertis
                                "subscription social share sharing related recommended comment comments disqus respond reply replies widget widgets login signup search pagination pager toolbar").split())
 # Whole classes or ids that mean boilerplate inside a main element too, and words that mean none there.
 OUTRIGHT = frozenset("ad ads advert adverts advertisement advertisements adsense comment comments disqus".split())
+COMMENT_WORDS = frozenset("comment comments reply replies respond disqus".split())
 KEPT_IN_MAIN = frozenset(["header"])
+NONE = frozenset()
 P_ENDS = BLOCK - frozenset("body head html li dd dt td th tr tbody thead tfoot option optgroup caption legend summary".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "p": ("p",)}
 SCOPES = frozenset("article aside body div footer form header main nav section table ul ol dl blockquote td th html".split())
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+# Tags are read in linear time, one part after the other: blanks, or a name and perhaps a value, quoted or bare; a quote that never closes holds what is left of its tag.
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)", re.S)
+_PART = re.compile(r"[\s/=]+|([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|[\"']([^>]*)|([^\s\"'>][^\s>]*))?)?")
+_MODIFIED = re.compile(r"(?<![a-z])(?:has|no|not|with|without)[-_]+[a-z]+")  # "has-sidebar" says nothing about the element itself
 _WORDS = re.compile(r"[a-z]+")
 
 
-def _attributes(source: str) -> dict[str, str]:
-    return {m[1].lower(): html_library.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(source)} if source.strip(" /\n\t\r") else {}
+def _attributes(source: str, at: int = 0) -> tuple[dict[str, str], int]:
+    """The attributes that begin at a place, and the place after the end of their tag."""
+    found, n = {}, len(source)
+    while at < n and source[at] != ">":
+        m = _PART.match(source, at)
+        at = m.end()
+        if m[1]:
+            found[m[1].lower()] = html_library.unescape(m[2] or m[3] or m[4] or m[5] or "")
+    return found, at + 1
 
 
 def _style(tag: str, attributes: dict[str, str]) -> str:
@@ -80,25 +94,46 @@ def _hash(*parts: object) -> int:
 
 
 class Element:
-    __slots__ = ("tag", "style", "path", "dropped", "main", "named", "holds_main", "children")
+    __slots__ = ("tag", "style", "path", "parent", "names", "words", "hard", "claims", "buried", "opens_main", "size", "dropped", "main", "named", "holds_main", "children")
 
     def __init__(self, tag: str, attributes: dict[str, str], parent: Element | None):
-        self.tag, self.style = tag, _style(tag, attributes)
+        self.tag, self.style, self.parent = tag, _style(tag, attributes), parent
         self.path = _hash(parent.path if parent else 0, self.style)
         self.children: list[str] = []
-        inside_main = parent is not None and parent.main
-        names = (attributes.get("class", "") + " " + attributes.get("id", "")).lower()
-        words = set(_WORDS.findall(names)) & BOILERPLATE_WORDS if tag not in ("body", "html") else set()
-        if inside_main:
-            named = bool(words) and not OUTRIGHT.isdisjoint(names.split()) and (tag not in ("main", "article") or "comment" in words)
-        else:
-            named = bool(words) and tag not in ("main", "article")
-        hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
-        drops = tag in NO_CONTENT or tag == "header" and not inside_main or named or hidden or attributes.get("role", "").lower() in BOILERPLATE_ROLES
-        self.dropped = parent is not None and parent.dropped or drops
-        self.main = inside_main or (tag in ("article", "main") or attributes.get("role", "").lower() == "main") and not self.dropped
-        self.named = parent is not None and parent.named or inside_main and bool(words - KEPT_IN_MAIN) and tag not in ("main", "article")
-        self.holds_main = False
+        self.names, self.words = "", NONE
+        self.hard, self.main = tag in NO_CONTENT and tag != "form", tag in ("article", "main")  # main so far: says that it is one
+        if attributes:
+            names, role = (attributes.get("class", "") + " " + attributes.get("id", "")).lower(), attributes.get("role", "").lower()
+            self.names = _MODIFIED.sub(" ", names) if "-" in names or "_" in names else names
+            self.words = BOILERPLATE_WORDS.intersection(_WORDS.findall(self.names)) if tag not in ("body", "html") else NONE
+            self.main = self.main or role == "main"
+            self.hard = self.hard or "hidden" in attributes or attributes.get("aria-hidden") == "true" or role in BOILERPLATE_ROLES or "display:none" in attributes.get("style", "").replace(" ", "").lower()
+        self.claims = self.main or parent is not None and parent.claims  # lies in what says that it is one
+        self.buried = self.hard or parent is not None and parent.buried
+        self.opens_main = self.holds_main = self.dropped = self.named = False
+        self.size = 0
+
+    def outright(self) -> bool:
+        """Named as an advert or as comments, which goes inside a main element too."""
+        if self.tag in ("main", "article"):
+            return "comment" in self.words and not OUTRIGHT.isdisjoint(self.names.split())
+        return bool(self.words) and not (OUTRIGHT.isdisjoint(self.names.split()) and COMMENT_WORDS.isdisjoint(self.words))
+
+    def may_drop(self) -> bool:
+        """Of an element inside a line: is its text told apart from that of the line?"""
+        return self.hard or (self.outright() if self.parent.claims else bool(self.words))
+
+    def decide(self, size_of_page: int) -> None:
+        """What the element is, once its parent is decided and the whole page is known."""
+        above, says_main = self.parent, self.main
+        inside = above is not None and above.main
+        container = self.tag in ("main", "article")
+        drops = self.outright() if inside else (bool(self.words) or self.tag == "header") and not container and not self.opens_main
+        if self.tag == "form":
+            drops = drops or not (self.opens_main or 2 * self.size > size_of_page)
+        self.dropped = above is not None and above.dropped or self.hard or drops
+        self.main = inside or says_main and not self.dropped
+        self.named = above is not None and above.named or inside and bool(self.words - KEPT_IN_MAIN) and not container
 
 
 class Page:
@@ -113,6 +148,23 @@ class Page:
         self.nodes.append(root)
         self._read(source)
         self._end_block()
+        self._decide()
+
+    def _decide(self) -> None:
+        """Children come after their parents, so one way up gathers what an element holds, and one way down decides."""
+        for text, above in self.blocks:
+            if not above[-1].buried:
+                above[-1].size += len(text)
+        for e in reversed(self.nodes):
+            if e.parent is not None and not e.hard:
+                e.parent.opens_main |= e.main or e.opens_main
+                e.parent.size += e.size
+        for e in self.nodes:
+            e.decide(self.nodes[0].size)
+        for _, above in self.blocks:
+            if above[-1].main and not above[-1].dropped:
+                for e in above:
+                    e.holds_main = True
 
     def _read(self, source: str) -> None:
         at, n = 0, len(source)
@@ -126,16 +178,17 @@ class Page:
             tag = (m["tag"] or "").lower()
             if not tag:
                 continue
+            attributes, at = _attributes(source, at)
             if m["end"]:
                 self._close(tag)
                 continue
             if tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(source, at)
+                end = re.compile(rf"</{re.escape(tag)}\b[^>]*+(?:>|\Z)", re.I).search(source, at)
                 at = end.end() if end else n
             elif tag in ("html", "body", "head") and any(e.tag == tag for e in self.stack[1:]):
                 pass
             else:
-                self._open(tag, _attributes(m["attributes"]))
+                self._open(tag, attributes)
 
     def _characters(self, text: str) -> None:
         if text:
@@ -146,9 +199,6 @@ class Page:
         self._text = []
         if text:
             self.blocks.append((text, tuple(self.stack)))
-            if self.stack[-1].main and not self.stack[-1].dropped:
-                for e in self.stack:
-                    e.holds_main = True
 
     def _open(self, tag: str, attributes: dict[str, str]) -> None:
         if tag == "br":
@@ -166,7 +216,7 @@ class Page:
         if tag == "body":
             self._close_open(("head",))
         element = Element(tag, attributes, self.stack[-1])
-        if tag in BLOCK or element.dropped != self.stack[-1].dropped:
+        if tag in BLOCK or element.may_drop():
             self._end_block()
             self.stack[-1].children.append(element.style)
             self.stack.append(element)
@@ -251,7 +301,8 @@ def node_importance(pages: DataFrame, html_col: str = "html", url_col: str = "ur
 def extract_main_text(pages: DataFrame, html_col: str = "html", url_col: str = "url", out_col: str = "text", min_pages: int = MIN_PAGES, min_importance: float = MIN_IMPORTANCE, markup: bool = True) -> DataFrame:
     """The pages with `text` in place of the html: blocks of the branches that stay, one line each.  Without `markup`, the style trees alone decide."""
     names = [c for c in pages.columns if c not in (html_col, out_col)]
-    rows = pages.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(names)), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), F.monotonically_increasing_id().alias("row"))
+    rows = pages.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(names)), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    rows = rows.withColumn("row", F.unhex(F.sha2(F.concat_ws("\n", F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))).cast("binary"), 256)))
     kept = [f"_{i}" for i in range(len(names))]
     node = T.StructType([T.StructField("path", T.LongType()), T.StructField("kind", T.IntegerType())])
     block = T.StructType([T.StructField("text", T.StringType()), T.StructField("above", T.ArrayType(T.IntegerType()))])
@@ -271,10 +322,13 @@ def extract_main_text(pages: DataFrame, html_col: str = "html", url_col: str = "
     texts = read([*kept, "row"], [T.StructField("blocks", T.ArrayType(block))], lambda _, nodes, blocks: ([{"text": t, "above": a} for t, a in blocks],))
     nodes = read(["row"], [T.StructField("host", T.StringType()), T.StructField("nodes", T.ArrayType(node))], lambda url, nodes, _: (host_of(url), [{"path": p, "kind": k} for p, k in nodes]))
     known = node_importance(pages, html_col, url_col).filter(F.col("pages") >= min_pages).select("host", "path", "importance")
+    known = checkpointed(known, "style-tree")
     places = nodes.select("row", "host", F.posexplode("nodes").alias("place", "node")).select("row", "host", "place", "node.path", "node.kind")
     prior = F.coalesce(*(F.when(F.col("kind") == k, F.lit(v)) for k, v in PRIORS.items()))
-    goes = F.coalesce(F.col("importance") + prior < min_importance, F.col("kind") == BESIDE)
-    removed = places.join(known, ["host", "path"], "left").filter(goes).groupBy("row").agg(F.collect_set("place").alias("removed"))
+    low = known.filter(F.col("importance") < min_importance - min(PRIORS.values()))  # the others, such as the body of a large host, can go nowhere
+    gone = places.filter(F.col("kind") != BESIDE).join(broadcast_if_small(low), ["host", "path"]).filter(F.col("importance") + prior < min_importance)
+    alone = places.filter(F.col("kind") == BESIDE).join(known.filter(F.col("importance") + PRIORS[BESIDE] >= min_importance), ["host", "path"], "left_anti")
+    removed = gone.select("row", "place").unionByName(alone.select("row", "place")).groupBy("row").agg(F.collect_set("place").alias("removed"))
     removed = checkpointed(removed, "removed")  # its size is known now: a small one leaves the texts where they are
     stays = F.filter("blocks", lambda b: ~F.arrays_overlap(b["above"], F.coalesce("removed", F.array().cast("array<int>"))))
     return texts.join(removed, "row", "left").select(*(F.col(k).alias(c) for k, c in zip(kept, names)), F.array_join(F.transform(stays, lambda b: b["text"]), "\n").alias(out_col))
