@@ -3,12 +3,12 @@
 Counting: the words of all training documents are counted in Spark (by 64-bit hash, summed per chunk before the shuffle), and each chunk gets
 the counts of its own words back, as many numbers as it has distinct words.  So what is gathered grows with the corpus.
 
-Model: a GRU reads the documents word by word.  Its vocabulary is the `vocabulary` most frequent words, the end sign and one sign for
-all other words.  The output is P(class | state) * P(word | class, state): frequent words form classes of 32 in order of frequency; another word is
+Model: a GRU reads the documents word by word.  Its vocabulary is the most frequent words (six times the square root of the number of distinct words, so it grows with the corpus), the end sign and
+one sign for all other words.  The output is P(class | state) * P(word | class, state): words form classes in order of frequency, about as many as a class has words; another word is
 drawn from the class of all others by its smoothed count.  The output starts at the unigram distribution.  Training is truncated
-backpropagation in numpy, with the state carried over windows: every partition trains on its documents (those training documents whose crc32 by 7, rounded down,
-leaves 0 by `train_every`, a share that grows with the corpus), and the weights are averaged by tokens after each
-round.
+backpropagation in numpy.  Every training document is learned once: by hash the documents fall to `rounds` parts, every partition trains on its documents of the part, and weights and
+step sizes are averaged by tokens after each round.  Documents run side by side in lanes; a lane takes the next document when one ends, and the state is carried
+from window to window through the whole document.
 
 Scoring: documents run side by side in lanes, windows follow each other with the state carried, and the state is cleared where a document
 begins, so the log-likelihood covers complete documents.
@@ -18,6 +18,8 @@ each on their own; an empty table gives an empty result; columns of the input ot
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +32,12 @@ from newsweave.llm.common import NOT_SPACE, crc_column, hash_words, text_bytes
 from newsweave.session import checkpointed
 
 CHUNK = 16 << 20
-CLASS = 32
 HIDDEN = 24
 LANES, WINDOW = 128, 16  # of training
 SCORE_LANES, SCORE_WINDOW = 256, 64
-SEGMENT = 512  # words of a training text before the state is cleared
+LONG = 2_048  # words; longer documents start first, so that no lane is left with one at the end
+LEAST_VOCABULARY, MOST_VOCABULARY = 1_024, 65_536  # the most are reached at 120 million distinct words
+DOCUMENTS_PER_BUCKET = 200_000  # of the counts: a bucket holds a part of the words of that many documents
 RATE, FIRST_SQUARE = 0.05, 1e-6
 AVERAGERS = 16
 
@@ -53,7 +56,8 @@ class Vocabulary:
         self.ends = ends
         self.total, self.distinct = total + ends, distinct + (ends > 0)  # of all tokens, the end included
         self.other_norm = total - int(self.counts.sum()) + distinct - len(words) + 1
-        self.classes = -(-len(words) // CLASS)  # then the end, then all others
+        self.size = max(8, round(len(words) ** 0.5 / 8) * 8)  # words of a class
+        self.classes = -(-len(words) // self.size)  # then the end, then all others
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         if not self.end:
@@ -65,11 +69,11 @@ class Vocabulary:
 def start_weights(v: Vocabulary) -> Weights:
     rng, size, classes = np.random.default_rng(17), v.other + 1, v.classes + 2
     small = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
-    words = np.full(v.classes * CLASS, -1e4, np.float32)
+    words = np.full(v.classes * v.size, -1e4, np.float32)
     words[: v.end] = np.log(v.counts + 1)
-    mass = [*(np.exp(words.astype(np.float64)).reshape(v.classes, CLASS).sum(axis=1)), v.ends + 1, v.other_norm]
+    mass = [*(np.exp(words.astype(np.float64)).reshape(v.classes, v.size).sum(axis=1)), v.ends + 1, v.other_norm]
     return {"input": small(size, 3 * HIDDEN), "bias": np.zeros(3 * HIDDEN, np.float32), "state": small(HIDDEN, 3 * HIDDEN), "class": np.zeros((HIDDEN, classes), np.float32),
-            "class_bias": np.log(np.array(mass)).astype(np.float32), "word": np.zeros((v.classes, HIDDEN, CLASS), np.float32), "word_bias": words.reshape(v.classes, CLASS)}
+            "class_bias": np.log(np.array(mass)).astype(np.float32), "word": np.zeros((v.classes, HIDDEN, v.size), np.float32), "word_bias": words.reshape(v.classes, v.size)}
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -89,14 +93,14 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
 
 
-def class_of(ids: np.ndarray, v_end: int, classes: int) -> np.ndarray:
-    return np.where(ids < v_end, ids // CLASS, classes + (ids > v_end))
+def class_of(ids: np.ndarray, v_end: int, classes: int, size: int) -> np.ndarray:
+    return np.where(ids < v_end, ids // size, classes + (ids > v_end))
 
 
 def output_log_probability(w: Weights, states: np.ndarray, targets: np.ndarray, v_end: int, gradient: Weights | None = None):
     """Natural log of P(class) * P(word | class) of each target; with `gradient`, adds to it and returns the gradient by the states of the negative sum."""
-    classes = len(w["word"])
-    kinds = class_of(targets, v_end, classes)
+    classes, _, size = w["word"].shape
+    kinds = class_of(targets, v_end, classes, size)
     rows = np.arange(len(targets))
     logs = _log_softmax(states @ w["class"] + w["class_bias"])
     out = logs[rows, kinds].astype(np.float64)
@@ -113,7 +117,7 @@ def output_log_probability(w: Weights, states: np.ndarray, targets: np.ndarray,
         some = order[cuts[k] : cuts[k + 1]]
         if len(some):
             logs = _log_softmax(states[some] @ w["word"][k] + w["word_bias"][k])
-            places = targets[some] - k * CLASS
+            places = targets[some] - k * size
             out[some] += logs[np.arange(len(some)), places]
             if gradient is not None:
                 error = np.exp(logs)
@@ -124,12 +128,11 @@ def output_log_probability(w: Weights, states: np.ndarray, targets: np.ndarray,
     return out, back
 
 
-def _lanes(documents: list[np.ndarray], end: int, lanes: int, mixed: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _lanes(documents: list[np.ndarray], end: int, lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Documents (ids with the end) dealt to lanes of about equal length, longest lane first: targets (time x lane), owner of each (or -1), whether a document
-    begins, and the lengths of the lanes.  Long documents go first, or, `mixed`, any."""
+    begins, and the lengths of the lanes.  Long documents go first."""
     loads, places = np.zeros(lanes, np.int64), []
-    order = np.random.default_rng(len(documents)).permutation(len(documents)) if mixed else np.argsort([-len(x) for x in documents], kind="stable")
-    for d in order:
+    for d in np.argsort([-len(x) for x in documents], kind="stable"):
         lane = int(loads.argmin())
         places.append((int(d), lane, int(loads[lane])))
         loads[lane] += len(documents[d])
@@ -145,9 +148,29 @@ def _lanes(documents: list[np.ndarray], end: int, lanes: int, mixed: bool = Fals
     return targets, owner, begins, np.sort(loads)[::-1]
 
 
-def _segments(documents: list[np.ndarray]) -> list[np.ndarray]:
-    """Training texts in parts of bounded length, so that lanes stay about equal; a part starts with a cleared state."""
-    return [d[at : at + SEGMENT] for d in documents for at in range(0, len(d), SEGMENT)]
+def _windows(documents: Iterable[np.ndarray], end: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Windows over lanes that each take the next document when one ends: the lanes that go on, and (time x lane) targets, whether a document begins, and whether there is a token."""
+    queue = iter(documents)
+    rest, starts, more = [np.zeros(0, np.int32)] * LANES, [np.zeros(0, bool)] * LANES, True
+    while True:
+        for i in range(LANES):
+            while more and len(rest[i]) < WINDOW:
+                document = next(queue, None)
+                if document is None:
+                    more = False
+                    break
+                first = np.zeros(len(document), bool)
+                first[0] = True
+                rest[i], starts[i] = np.concatenate((rest[i], document)), np.concatenate((starts[i], first))
+        live = np.flatnonzero([len(x) for x in rest])
+        if not len(live):
+            return
+        targets, begins, used = np.full((WINDOW, len(live)), end, np.int32), np.zeros((WINDOW, len(live)), bool), np.zeros((WINDOW, len(live)), bool)
+        for j, i in enumerate(live):
+            n = min(WINDOW, len(rest[i]))
+            targets[:n, j], begins[:n, j], used[:n, j] = rest[i][:n], starts[i][:n], True
+            rest[i], starts[i] = rest[i][n:], starts[i][n:]
+        yield live, targets, begins, used
 
 
 def _update(w: np.ndarray, squares: np.ndarray, g: np.ndarray, at=slice(None)) -> None:
@@ -160,32 +183,28 @@ def start_squares(w: Weights) -> Weights:
     return {k: np.full_like(x, FIRST_SQUARE) for k, x in w.items()}
 
 
-def train(w: Weights, documents: list[np.ndarray], v_end: int, squares: Weights) -> int:
+def train(w: Weights, documents: Iterable[np.ndarray], v_end: int, squares: Weights) -> int:
     """One pass of truncated backpropagation over the documents; changes the weights in place and returns the number of tokens."""
-    documents = _segments(documents)
-    if not documents:
-        return 0
-    targets, owner, begins, loads = _lanes(documents, v_end, min(LANES, len(documents)), mixed=True)
-    steps, lanes = targets.shape
-    h, before = np.zeros((lanes, HIDDEN), np.float32), np.full(lanes, v_end, np.int32)
-    for at in range(0, steps, WINDOW):
-        n, width = min(WINDOW, steps - at), int(np.searchsorted(-loads, -at, side="left"))  # lanes that go on past this point
-        h, before = h[:width], before[:width]
+    state, last, tokens, n = np.zeros((LANES, HIDDEN), np.float32), np.full(LANES, v_end, np.int32), 0, WINDOW
+    scale = 1 / (LANES * WINDOW)  # few lanes make a small step
+    for live, targets, begins, used in _windows(documents, v_end):
+        width, used = len(live), used.ravel()
+        h, before = state[live], last[live]
         table, kept, inputs, states = w["input"] + w["bias"], [], [], []
-        for t in range(at, at + n):
-            fresh = begins[t, :width]
+        for t in range(n):
+            fresh = begins[t]
             ids = np.where(fresh, v_end, before)
             h = h * ~fresh[:, None]
             h, parts = _step(w, table, ids, h)
             kept.append((*parts, fresh))
             inputs.append(ids)
             states.append(h)
-            before = targets[t, :width]
-        used = (owner[at : at + n, :width] >= 0).ravel()
-        scale = 1 / (LANES * WINDOW)  # few lanes make a small step
+            before = targets[t]
+        state[live], last[live] = h, before
+        tokens += int(used.sum())
         gradient = {k: np.zeros_like(w[k]) for k in ("class", "class_bias", "word", "word_bias")}
         back = np.zeros((n * width, HIDDEN), np.float32)
-        _, back[used] = output_log_probability(w, np.concatenate(states)[used], targets[at : at + n, :width].ravel()[used], v_end, gradient)
+        _, back[used] = output_log_probability(w, np.concatenate(states)[used], targets.ravel()[used], v_end, gradient)
         back = back.reshape(n, width, HIDDEN)
         carried, inner, outer = np.zeros((width, HIDDEN), np.float32), np.empty((n, width, 3 * HIDDEN), np.float32), np.empty((n, width, 3 * HIDDEN), np.float32)
         turned = w["state"].T.copy()
@@ -208,7 +227,7 @@ def train(w: Weights, documents: list[np.ndarray], v_end: int, squares: Weights)
         _update(w["input"], squares["input"], np.add.reduceat(inner[order], first, axis=0) * scale, rows)
         for k, g in gradient.items():
             _update(w[k], squares[k], g * scale)
-    return int((owner >= 0).sum())
+    return tokens
 
 
 def score(w: Weights, documents: list[np.ndarray], v_end: int) -> np.ndarray:
@@ -269,7 +288,7 @@ def _count(buckets: int):
     return run
 
 
-def _sum_counts(top: int):
+def _sum_counts(vocabulary: int | None, buckets: int):
     """Blocks of a bucket -> the summed counts for each block; and, as chunk -1, the bucket's totals and most frequent words."""
 
     def run(batches):
@@ -283,8 +302,9 @@ def _sum_counts(top: int):
             total = np.zeros(len(words), np.int64)
             np.add.at(total, inverse, np.concatenate([p[1] for p in parts]))
             ends = np.cumsum([p.shape[1] for p in parts])
-            answers = [_pack(total[inverse[e - p.shape[1] : e]].astype("<u4") if total.max() < 1 << 32 else total[inverse[e - p.shape[1] : e]]) for p, e in zip(parts, ends)]
-            best = np.lexsort((words, -total))[:top]
+            kind = "<u4" if total.max() < 1 << 32 else "<i8"
+            answers = [kind.encode() + _pack(total[inverse[e - p.shape[1] : e]].astype(kind)) for p, e in zip(parts, ends)]
+            best = np.lexsort((words, -total))[: vocabulary or 2 * vocabulary_size(buckets * len(words))]  # a bucket is a sample by hash: at least the whole vocabulary
             best = best[total[best] > 0]
             summary = np.concatenate(([int((total > 0).sum()), int(total.sum())], np.stack((words[best], total[best]), axis=1).ravel()))
             yield pa.RecordBatch.from_arrays([pa.array([b] * (len(some) + 1), pa.int32()), pa.array([c for c, _ in some] + [-1], pa.int64()), pa.array([*answers, _pack(summary)], pa.binary())], names=["bucket", "chunk", "payload"])
@@ -304,22 +324,25 @@ def _summaries(words: bool):
 
 
 def _train_part(shared, v: Vocabulary):
-    """Documents of a partition -> weights trained on them, times their tokens."""
+    """Documents of a partition -> weights trained on them and their step sizes, times their tokens."""
 
     def run(batches):
-        w = {k: x.copy() for k, x in shared.value.items()}
-        squares, tokens = start_squares(w), 0
-        for _, held in text_chunks(batches, CHUNK // 4):
-            documents = [np.append(v.ids(h), v.end).astype(np.int32) for batch in held for h, _, _ in hash_words(text_bytes(batch.column("text")), NOT_SPACE)]
-            tokens += train(w, documents, v.end, squares)
+        w, squares = ({k: x.copy() for k, x in some.items()} for some in shared.value)
+
+        def documents():
+            for _, held in text_chunks(batches, CHUNK // 4):
+                some = [np.append(v.ids(h), v.end).astype(np.int32) for batch in held for h, _, _ in hash_words(text_bytes(batch.column("text")), NOT_SPACE)]
+                yield from sorted(some, key=lambda d: -len(d) if len(d) > LONG else 0)
+
+        tokens = train(w, documents(), v.end, squares)
         if tokens:
-            yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([_flat(w, tokens)], pa.binary())], names=["tokens", "weights"])
+            yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([_flat(w, squares, tokens)], pa.binary())], names=["tokens", "weights"])
 
     return run
 
 
-def _flat(w: Weights, times: int = 1) -> bytes:
-    return (np.concatenate([x.ravel() for x in w.values()]).astype(np.float64) * times).tobytes()
+def _flat(w: Weights, squares: Weights, times: int) -> bytes:
+    return (np.concatenate([x.ravel() for some in (w, squares) for x in some.values()]).astype(np.float64) * times).tobytes()
 
 
 def _add_weights(batches):
@@ -332,19 +355,21 @@ def _add_weights(batches):
         yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["tokens", "weights"])
 
 
-def fit(documents: DataFrame, v: Vocabulary, rounds: int) -> Weights:
-    """Averaged weights after some rounds over the documents (column text)."""
-    w, spark = start_weights(v), documents.sparkSession
-    for _ in range(rounds):
-        shared = spark.sparkContext.broadcast(w)
+def fit(parts: list[DataFrame], v: Vocabulary) -> Weights:
+    """Averaged weights after a round over each of the parts (column text)."""
+    w = start_weights(v)
+    squares = start_squares(w)
+    for documents in parts:
+        shared = documents.sparkSession.sparkContext.broadcast((w, squares))
         trained = documents.mapInArrow(_train_part(shared, v), "tokens long, weights binary")
         sums = trained.repartition(AVERAGERS).mapInArrow(_add_weights, trained.schema).collect()  # 16 rows at most
         if sums:
             mean, at = sum(np.frombuffer(r.weights) for r in sums) / sum(r.tokens for r in sums), 0
-            w = dict(w)
-            for k, x in w.items():
-                w[k] = mean[at : at + x.size].reshape(x.shape).astype(np.float32)
-                at += x.size
+            w, squares = dict(w), dict(squares)
+            for some in (w, squares):
+                for k, x in some.items():
+                    some[k] = mean[at : at + x.size].reshape(x.shape).astype(np.float32)
+                    at += x.size
     return w
 
 
@@ -355,8 +380,7 @@ def _score_chunk(buckets: int, v: Vocabulary, shared, arrow: pa.Schema):
         words = _in_order(np.concatenate([np.zeros(0, np.uint64), *hashes]), buckets)
         counts = [np.zeros(0, np.int64)]
         for _, payload in sorted(zip(answers.column("bucket").to_pylist(), answers.column("payload").to_pylist())):
-            raw = zstandard.decompress(payload)
-            counts.append(np.frombuffer(raw, "<u4").astype(np.int64))
+            counts.append(np.frombuffer(zstandard.decompress(payload[3:]), payload[:3].decode()).astype(np.int64))
         counts = np.concatenate(counts)
         if len(counts) != len(words):
             raise RuntimeError("a second reading of the documents gave other rows; pass stored=True")
@@ -375,23 +399,30 @@ def _score_chunk(buckets: int, v: Vocabulary, shared, arrow: pa.Schema):
     return run
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, vocabulary: int = 1024, train_every: int = 6, rounds: int = 2, stored: bool = False) -> DataFrame:
+def vocabulary_size(distinct: int) -> int:
+    """Words that the network tells apart: six times the square root of the number of distinct words."""
+    return min(MOST_VOCABULARY, max(LEAST_VOCABULARY, 6 * math.isqrt(distinct)))
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, vocabulary: int | None = None, rounds: int = 2, stored: bool = False) -> DataFrame:
     """One row per document: the id, `held_out` (crc32 of the id as text, modulo `folds`, is `held_fold`), `n_tokens`, `n_known`, `train_tokens`, `base_score` (smoothed unigram) and `score`
     (log10 probability of the text under the model)."""
     spark = docs.sparkSession
     crc = crc_column(id_col)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), (crc % folds == held_fold).alias("held_out"), (F.floor(crc / folds) % train_every == 0).alias("sampled"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), (crc % folds == held_fold).alias("held_out"), (F.floor(crc / folds) % rounds).alias("round"))
     if stored:
         rows = checkpointed(rows, "documents")
     scored = rows.select("id", "text", "held_out")
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    learned = rows.filter("not held_out")
+    n_learned = learned.count()
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1, -(-n_learned // DOCUMENTS_PER_BUCKET))
     counted = scored.select("text", "held_out").mapInArrow(_count(buckets), "bucket int, chunk long, payload binary")
-    answers = checkpointed(counted.repartition(F.col("bucket")).mapInArrow(_sum_counts(vocabulary), counted.schema), "counts")
+    answers = checkpointed(counted.repartition(F.col("bucket")).mapInArrow(_sum_counts(vocabulary, buckets), counted.schema), "counts")
     summaries = answers.filter("chunk = -1").select("payload")
     totals = summaries.mapInArrow(_summaries(False), "a long, b long").agg(F.coalesce(F.sum("a"), F.lit(0)).alias("distinct"), F.coalesce(F.sum("b"), F.lit(0)).alias("total")).first()
-    words = summaries.mapInArrow(_summaries(True), "a long, b long").orderBy(F.desc("b"), "a").limit(vocabulary).collect()
-    v = Vocabulary([(r.a, r.b) for r in words], rows.filter("not held_out").count(), totals.total, totals["distinct"])
-    shared = spark.sparkContext.broadcast(fit(rows.filter("not held_out and sampled").select("text"), v, rounds))
+    words = summaries.mapInArrow(_summaries(True), "a long, b long").orderBy(F.desc("b"), "a").limit(vocabulary or vocabulary_size(totals["distinct"])).collect()
+    v = Vocabulary([(r.a, r.b) for r in words], n_learned, totals.total, totals["distinct"])
+    shared = spark.sparkContext.broadcast(fit([learned.filter(F.col("round") == r).select("text") for r in range(rounds)], v))
     schema = f"id {rows.schema['id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     arrow = pa.schema([("id", _arrow_type(rows, "id")), ("held_out", pa.bool_()), *((n, pa.int64()) for n in ("n_tokens", "n_known", "train_tokens")), ("base_score", pa.float64()), ("score", pa.float64())])
     packed = scored.mapInArrow(packed_documents(CHUNK), "chunk long, part int, payload binary")

@@ -94,7 +94,7 @@ def test_language_model(documents, odd):
     docs = {r.doc_id: re.findall(r"[^\x20\x09-\x0D]+", (r.text or "").translate(LOWER)) + [None] for r in documents.collect()}
     learned = Counter(w for i, words in docs.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in words)
     n, v = sum(learned.values()), len(learned)
-    found = recurrent_lm.score_documents(documents, train_every=1).collect()
+    found = recurrent_lm.score_documents(documents).collect()
     assert len(found) == len(docs)
     for r in found:
         words = docs[r.doc_id]
@@ -135,3 +135,36 @@ def test_state_is_carried_and_gradients_are_right():
         moved[1][i, j] -= eps
         up, down = (-recurrent_lm.output_log_probability(trained, m, targets, v.end)[0].sum() for m in moved)
         assert abs((up - down) / (2 * eps) - back[i, j]) < 1e-2
+
+
+def test_training_takes_every_token_once_and_carries_the_state():
+    rng = np.random.default_rng(1)
+    documents = [np.append(rng.integers(0, 40, n), 40).astype(np.int32) for n in (0, 3_000, 5, 17, 900, *rng.integers(0, 60, 400))]
+    seen, running = [], {}
+    for live, targets, begins, used in recurrent_lm._windows(iter(documents), 40):
+        assert targets.shape == begins.shape == used.shape == (recurrent_lm.WINDOW, len(live))
+        for j, lane in enumerate(live):
+            for t, first, here in zip(targets[:, j].tolist(), begins[:, j].tolist(), used[:, j].tolist()):
+                if here:
+                    if first:
+                        seen.append(running.pop(lane, []))
+                    running.setdefault(lane, []).append(t)
+    seen += running.values()
+    assert sorted(map(tuple, filter(len, seen))) == sorted(tuple(d.tolist()) for d in documents)  # a document stays in its lane, whole and in order
+    v = recurrent_lm.Vocabulary([(i * 7919 + 1, 50 - i) for i in range(40)], 10, 1900, 60)
+    w = recurrent_lm.start_weights(v)
+    assert recurrent_lm.train(w, documents, v.end, recurrent_lm.start_squares(w)) == sum(map(len, documents))
+
+
+def test_large_counts_keep_their_width():
+    import pyarrow as pa
+    import zstandard
+
+    words = np.array([5, 9], np.int64)
+    block = lambda counts: recurrent_lm._pack(np.concatenate((words, np.array(counts, np.int64))))
+    for counts in ([3, 4], [1 << 40, 7]):
+        batch = pa.RecordBatch.from_pydict({"bucket": pa.array([0, 0], pa.int32()), "chunk": [0, 1], "payload": [block(counts), block([1, 1])]})
+        out = next(recurrent_lm._sum_counts(None, 1)(iter([batch])))
+        for payload in out.column("payload").to_pylist()[:2]:
+            assert np.frombuffer(zstandard.decompress(payload[3:]), payload[:3].decode()).tolist() == [counts[0] + 1, counts[1] + 1]
+    assert recurrent_lm.vocabulary_size(10) == 1_024 and recurrent_lm.vocabulary_size(4_000_000) == 12_000
