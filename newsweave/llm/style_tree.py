@@ -322,7 +322,7 @@ def extract_main_text(pages: DataFrame, html_col: str = "html", url_col: str = "
     texts = read([*kept, "row"], [T.StructField("blocks", T.ArrayType(block))], lambda _, nodes, blocks: ([{"text": t, "above": a} for t, a in blocks],))
     nodes = read(["row"], [T.StructField("host", T.StringType()), T.StructField("nodes", T.ArrayType(node))], lambda url, nodes, _: (host_of(url), [{"path": p, "kind": k} for p, k in nodes]))
     known = node_importance(pages, html_col, url_col).filter(F.col("pages") >= min_pages).select("host", "path", "importance")
-    known = checkpointed(known, "style-tree")
+    known, nodes = checkpointed(known, "style-tree"), checkpointed(nodes, "style-nodes")  # both are read twice
     places = nodes.select("row", "host", F.posexplode("nodes").alias("place", "node")).select("row", "host", "place", "node.path", "node.kind")
     prior = F.coalesce(*(F.when(F.col("kind") == k, F.lit(v)) for k, v in PRIORS.items()))
     low = known.filter(F.col("importance") < min_importance - min(PRIORS.values()))  # the others, such as the body of a large host, can go nowhere
