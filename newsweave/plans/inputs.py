@@ -44,6 +44,19 @@ def stored(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataF
     return spark.read.parquet(_STORED[key])
 
 
+def arriving(spark: SparkSession, sf_dir: str, name: str, rows: DataFrame, file: Column, pieces: int, last: Callable[[DataFrame, str], None]) -> str:
+    """Folder of the rows dealt to numbered files, written in the order of their numbers, `pieces` parts each, as they would arrive; `last` adds what closes the stream."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        path = scratch_path(spark, name)
+        dealt = rows.withColumn("_file", file)
+        for r in dealt.select("_file").distinct().orderBy("_file").collect():  # one row per file
+            dealt.where(F.col("_file") == r["_file"]).drop("_file").repartition(pieces).write.mode("append").parquet(path)
+        last(rows, path)
+        _STORED[key] = path
+    return _STORED[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
