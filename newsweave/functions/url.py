@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from newsweave import constants as K
 from newsweave.functions.binding import let
+from newsweave.functions.hosts import with_ascii_host
 
 # scheme, user info, host, port, path, query, fragment
 PARTS = r"^([A-Za-z][A-Za-z0-9+.\-]*)://(?:([^/?#@]*)@)?(\[[^\]]*\]|[^:/?#]*)(?::([0-9]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
@@ -90,8 +91,8 @@ def _clean_query(query: Column) -> Column:
 
 def canonical_url(url: Column) -> Column:
     """One spelling per address: no fragment, no tracking parameters, parameters sorted by name, no trailing
-    slash (unless the path is `/`), percent-encoded path, lower-case host, no default port.  Null when the text is no absolute URL."""
-    return let(parts(F.trim(url)), _canonical)
+    slash (unless the path is `/`), percent-encoded path, lower-case host in ASCII form, no default port.  Null when the text is no absolute URL."""
+    return let(parts(with_ascii_host(F.trim(url))), _canonical)
 
 
 def _port_suffix(p: Column) -> Column:
@@ -150,7 +151,7 @@ def _rejection(p: Column, host_name: Column) -> Column:
         .when(x["p"]["scheme"] != "https", "not_https")
         .when(x["p"]["credentials"] != "", "credentials")
         .when(x["p"]["port"] != "", "port")
-        .when(F.contains(x["h"], F.lit(":")) | x["h"].rlike(r"^[0-9.]+$"), "ip_literal")
+        .when(F.contains(x["h"], F.lit(":")) | x["h"].rlike(r"(?:^|\.)(?:[0-9]+|0x[0-9a-f]*)$"), "ip_literal")
         .when(~F.contains(x["h"], F.lit(".")), "no_dot")
         .when(x["h"].rlike(K.LOCAL_SUFFIX), "local_suffix")
         .when(x["h"].rlike(K.REBINDING_HOST), "rebinding_suffix")

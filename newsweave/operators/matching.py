@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from newsweave import constants as K
 from newsweave.functions import text, url
 from newsweave.functions.binding import let
+from newsweave.functions.hosts import with_ascii_host
 from newsweave.session import broadcast_if_small
 
 _SYMBOL = rf"[^\p{{L}}\p{{M}}\p{{N}}{K.WS_CLASS}]"
@@ -73,14 +74,14 @@ def publisher_resolve(links: DataFrame, sources: DataFrame, link: str = "url",
                       alias_domains: Iterable[tuple[str, str]] = K.ALIAS_DOMAINS) -> DataFrame:
     """Monitored publisher of each address: the source whose host is the address's host or a parent domain of
     it; the first by source name.  Every parent domain of the host is an equi-join key."""
-    own = url.publisher_host(F.col("url"))
+    own = url.publisher_host(with_ascii_host(F.col("url")))
     others = [F.when(F.col("domain") == a, F.lit(b)) for a, b in alias_domains]
     domains = sources.where("enabled").select("source_id", F.col("name").alias("source_name"), own.alias("domain")).withColumn(
         "domain", F.explode(F.array_compact(F.array("domain", *others))))
     first = domains.groupBy("domain").agg(F.min(F.struct("source_name", "source_id")).alias("source"))
     suffixes = lambda h: let(F.split(h, r"\."), lambda p: F.transform(
         F.sequence(F.lit(1), F.greatest(F.size(p) - 1, F.lit(1))), lambda i: F.array_join(F.slice(p, i, F.size(p)), ".")))
-    hosts = links.select(link).where(url.is_public_url(F.col(link))).distinct().withColumn("_host", F.regexp_replace(url.host(F.col(link)), r"^www\.", ""))
+    hosts = links.select(link).where(url.is_public_url(F.col(link))).distinct().withColumn("_host", F.regexp_replace(url.host(with_ascii_host(F.col(link))), r"^www\.", ""))
     # hosts are resolved once each; a single label such as `com` is no publisher and would be a hot key
     keyed = hosts.select("_host").distinct().withColumn("domain", F.explode(suffixes(F.col("_host"))))
     best = keyed.join(first, "domain").groupBy("_host").agg(F.min("source").alias("source"))

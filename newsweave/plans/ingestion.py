@@ -243,12 +243,14 @@ def manifest_verify(spark, sf):
     return snapshots.manifest_verify(stored, manifest, base + F.expr("INTERVAL 30 SECOND")).select("snapshot_id", "status")
 
 
-@registered("seal_roundtrip", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE sha256(text) END AS opened_sha FROM documents")
+@registered("seal_roundtrip", """
+    SELECT doc_id, CASE WHEN doc_id % 4 = 0 OR doc_id % 4 = 1 AND doc_id % 8 = 1 THEN NULL ELSE sha256(text) END AS opened_sha, length(text) >= 1000 AS long_text, length(text) >= 1000 AS is_smaller FROM documents""")
 def seal_roundtrip(spark, sf):
+    """Payloads compressed and sealed; every fourth is opened with a wrong key, every eighth has been tampered with."""
     key = F.unhex(F.sha2(F.col("source"), 256))
-    sealed = inputs.documents(spark, sf).select("doc_id", "source", snapshots.seal(F.col("text"), key, "coverage").alias("sealed"))
-    # every fourth payload is opened with a wrong key
+    sealed = inputs.documents(spark, sf).select("doc_id", "source", "text", snapshots.pack_and_seal(F.col("text"), key, "coverage").alias("sealed"))
     used = F.when(F.col("doc_id") % 4 == 0, F.unhex(F.sha2(F.concat("source", F.lit("x")), 256))).otherwise(key)
-    return sealed.select("doc_id", F.sha2(snapshots.unseal(F.col("sealed"), used, "coverage"), 256).alias("opened_sha"))
-
-
+    touched = F.when(F.col("doc_id") % 8 == 1, F.concat(F.expr("substring(sealed, 1, length(sealed) - 1)"), F.lit(b"\x00\x01"))).otherwise(F.col("sealed"))
+    long_text = F.length("text") >= 1_000
+    return sealed.select("doc_id", F.sha2(snapshots.unseal_and_unpack(touched, used, "coverage"), 256).alias("opened_sha"), long_text.alias("long_text"),
+                         (long_text & (F.length("sealed") < F.octet_length("text"))).alias("is_smaller"))

@@ -181,13 +181,21 @@ def page_links(spark, sf):
 @registered("url_canonical", S.with_views("items", f"""
     SELECT page_id, {S.canonical('url')} AS canonical FROM pages
     UNION ALL SELECT -1 - item_id AS page_id, {S.canonical('url')} AS canonical FROM items
-    UNION ALL SELECT -1000000000 - page_id, 'https://h.example.com/%E0%AE%9A%C3%A9%F0%9F%98%80/a%20b/' || page_id FROM pages, (VALUES (1), (2)) spellings"""))
+    UNION ALL SELECT -1000000000 - page_id, 'https://h.example.com/%E0%AE%9A%C3%A9%F0%9F%98%80/a%20b/' || page_id FROM pages, (VALUES (1), (2)) spellings
+    UNION ALL SELECT -2000000000 - page_id, 'https://xn--bcher-kva.example.com/' || page_id FROM pages, (VALUES (1), (2), (3)) spellings
+    UNION ALL SELECT -3000000000 - page_id, 'https://8.8.8.' || (page_id % 256) || '/x' FROM pages, (VALUES (1), (2), (3)) spellings"""))
 def url_canonical(spark, sf):
     urls = inputs.pages(spark, sf).select("page_id", "url").unionByName(inputs.items(spark, sf).select((-1 - F.col("item_id")).alias("page_id"), "url"))
     # both spellings of a path in other letters are one address
     spelled = [F.concat(F.lit(f"https://H.example.com/{p}/"), F.col("page_id").cast("string")) for p in ("\u0b9a\u00e9\U0001f600/a b", "%E0%AE%9A%C3%A9%F0%9F%98%80/a%20b")]
     both = inputs.pages(spark, sf).select((-1_000_000_000 - F.col("page_id")).alias("page_id"), F.explode(F.array(*spelled)).alias("url"))
-    return urls.unionByName(both).select("page_id", url.canonical_url(F.col("url")).alias("canonical"))
+    # so are both spellings of a host, and the ways to write a numeric one
+    p, last = inputs.pages(spark, sf), F.col("page_id") % 256
+    hosts = [F.concat(F.lit(f"https://{h}.Example.com/"), F.col("page_id").cast("string")) for h in ("b\u00fccher", "xn--bcher-kva", "B%C3%9Ccher")]
+    named = p.select((-2_000_000_000 - F.col("page_id")).alias("page_id"), F.explode(F.array(*hosts)).alias("url"))
+    numbers = [F.concat(F.lit("https://0x8.010.8."), last.cast("string"), F.lit("/x")), F.concat(F.lit("https://8.8."), (2_048 + last).cast("string"), F.lit("/x")), F.concat(F.lit("https://"), (134_744_064 + last).cast("string"), F.lit("/x/"))]
+    numeric = p.select((-3_000_000_000 - F.col("page_id")).alias("page_id"), F.explode(F.array(*numbers)).alias("url"))
+    return urls.unionByName(both).unionByName(named).unionByName(numeric).select("page_id", url.canonical_url(F.col("url")).alias("canonical"))
 
 
 @registered("url_host", f"SELECT page_id, {S.host('url')} AS host, regexp_replace({S.host('url')}, '^(www|feeds?|rss)[.]', '') AS publisher_host FROM pages")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsweave import constants as K
 from newsweave.operators.matching import entity_match
@@ -47,6 +50,32 @@ def unseal(sealed: Column, key: Column, aad: str) -> Column:
     return F.try_aes_decrypt(sealed, key, F.lit("GCM"), F.lit("DEFAULT"), F.lit(aad)).cast("string")
 
 
+@F.pandas_udf(T.BinaryType())
+def _compress(payloads: pd.Series) -> pd.Series:
+    return payloads.map(lambda text: zstandard.compress(text.encode(), 3), na_action="ignore")
+
+
+@F.pandas_udf(T.StringType())
+def _decompress(packed: pd.Series) -> pd.Series:
+    def text(raw: bytes) -> str | None:
+        try:
+            return zstandard.ZstdDecompressor().decompressobj().decompress(bytes(raw)).decode()
+        except (zstandard.ZstdError, UnicodeDecodeError):
+            return None
+
+    return packed.map(text, na_action="ignore")
+
+
+def pack_and_seal(payload: Column, key: Column, aad: str) -> Column:
+    """Compress a payload, then encrypt it: encrypted bytes do not compress, so this comes first."""
+    return seal(_compress(payload.cast("string")), key, aad)
+
+
+def unseal_and_unpack(sealed: Column, key: Column, aad: str) -> Column:
+    """Payload text; null when the key, the additional data or the bytes are wrong, or hold no compressed text."""
+    return _decompress(F.try_aes_decrypt(sealed, key, F.lit("GCM"), F.lit("DEFAULT"), F.lit(aad)))
+
+
 def manifest_retain(manifest: DataFrame, added: DataFrame, keep: int = K.SNAPSHOTS_KEPT, stream: str = "stream_id") -> DataFrame:
     """Manifest rows after an append, each marked `kept` or expired.  A row with the same id replaces the old
     one; the newest `keep` ids per stream stay."""

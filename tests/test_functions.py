@@ -183,3 +183,16 @@ def test_vectors(spark):
     assert [r.r for r in df.select(vectors.cosine(F.col("a"), F.col("b")).alias("r")).collect()] == [1.0, 0.0, 0.0, 0.0]
     df = spark.createDataFrame([([1.0],), ([],), (None,), ([float("nan")],), ([float("inf")],)], "v array<float>")
     assert [r.r for r in df.select(vectors.vector_valid(F.col("v")).alias("r")).collect()] == [True, False, False, False, False]
+
+
+def test_hosts_have_one_spelling(spark):
+    from newsweave.functions.hosts import ascii_host
+
+    known = {"münchen.de": "xn--mnchen-3ya.de", "MÜNCHEN.de": "xn--mnchen-3ya.de", "例え。jp": "xn--r8jz45g.jp", "b%C3%BCcher.example": "xn--bcher-kva.example", "ｅｘａｍｐｌｅ.com": "example.com", "exa­mple.com": "example.com",
+             "2130706433": "127.0.0.1", "0x7f.1": "127.0.0.1", "0177.0.0.01": "127.0.0.1", "1.2.3.": "1.2.0.3", "256.1": None, "1.2.3.4.5": None, "0x": "0.0.0.0", "1.2.3.08": None, "4294967296": None, "a b.com": None, "%2f.com": None, "a.b1": "a.b1", "1.com": "1.com", "%31.1": "1.0.0.1"}
+    assert {h: ascii_host(h) for h in known} == known
+    rows = [("http://MÜNCHEN.de:80/a/", "http://xn--mnchen-3ya.de/a"), ("https://user@2130706433:8443/x", "https://user@127.0.0.1:8443/x"), ("https://1.2.3.4.5/", None), ("https://a.example/%20", "https://a.example/%20"), (None, None), ("nonsense", None), ("https://[::1]/", "https://[::1]/")]
+    got = spark.createDataFrame(rows, "u string, want string").select("u", "want", url.canonical_url(F.col("u")).alias("got"), url.url_rejection(F.col("u")).alias("why")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
+    odd = spark.createDataFrame([("https://0x7f.1/",), ("https://a.0x7F/",), ("https://news.example.com2/",)], "u string").select(url.url_rejection(F.col("u")).alias("why")).collect()
+    assert [r.why for r in odd] == ["ip_literal", "ip_literal", None]
