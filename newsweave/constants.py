@@ -159,3 +159,7 @@ PAGE_SIZE = 12
 ENRICH_MAX_FAILURES = 3
 MIN_ALIAS_CHARS = 2
 FUTURE_SKEW_SECONDS = 60
+
+# --- fixed values: answers -------------------------------------------------------
+EXTRACTIVE_ANSWER = "Relevant source excerpts are listed below. These are retrieval results, not a synthesized or verified answer."
+EXTRACTIVE_WARNING = "AI answer validation or generation failed; supporting excerpts are shown instead."

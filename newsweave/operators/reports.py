@@ -112,6 +112,15 @@ def source_health(sources: DataFrame) -> DataFrame:
     )
 
 
+def zone_health(sources: DataFrame) -> DataFrame:
+    """Sources per zone, empty zones included: how many, how many of the enabled ones are healthy, failed or not fetched yet, and their languages and publishers."""
+    zones = sources.sparkSession.createDataFrame([(z,) for z in [*(z for z, _ in K.ZONE_REGIONS), K.DEFAULT_ZONE]], "zone string").distinct()
+    live = lambda s: _count_if(F.col("enabled") & (F.col("status") == s)).alias(s)
+    counted = sources.withColumn("zone", zone_of(F.col("region"))).groupBy("zone").agg(
+        F.count(F.lit(1)).alias("sources"), live("healthy"), live("error"), live("unfetched"), _count_if(~F.col("enabled")).alias("paused"), F.countDistinct("language").alias("languages"), F.countDistinct("publisher").alias("publishers"))
+    return zones.join(counted, "zone", "left").na.fill(0)
+
+
 def error_taxonomy(failures: DataFrame, message: str = "error") -> DataFrame:
     """Failures by category with the suggested action."""
     category = text.classify(F.col(message), K.FAILURE_RULES, K.DEFAULT_FAILURE)

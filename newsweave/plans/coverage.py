@@ -205,6 +205,16 @@ def source_health(spark, sf):
     return reports.source_health(inputs.sources(spark, sf).withColumn("publisher", F.coalesce("publisher", "url")))
 
 
+@registered("zone_health", S.with_views("sources", f"""
+    , z AS (SELECT DISTINCT unnest({S.sql_list([*(z for z, _ in K.ZONE_REGIONS), K.DEFAULT_ZONE])}) AS zone),
+    s AS (SELECT *, {S.zone('region')} AS zone, coalesce(publisher, url) AS p FROM sources)
+    SELECT z.zone, count(source_id) AS sources, count(*) FILTER (WHERE enabled AND status = 'healthy') AS healthy, count(*) FILTER (WHERE enabled AND status = 'error') AS error,
+      count(*) FILTER (WHERE enabled AND status = 'unfetched') AS unfetched, count(*) FILTER (WHERE NOT enabled) AS paused, count(DISTINCT language) AS languages, count(DISTINCT p) AS publishers
+    FROM z LEFT JOIN s ON s.zone = z.zone GROUP BY z.zone"""))
+def zone_health(spark, sf):
+    return reports.zone_health(inputs.sources(spark, sf).withColumn("publisher", F.coalesce("publisher", "url")))
+
+
 @registered("error_taxonomy", S.with_views("runs", f"""
     SELECT {S.rule_case('error', K.FAILURE_RULES, K.DEFAULT_FAILURE)} AS category, count(*) AS n,
       CASE {' '.join(f"WHEN {S.rule_case('any_value(error)', K.FAILURE_RULES, K.DEFAULT_FAILURE)} = {S.q(c)} THEN {S.q(a)}" for c, a in K.FAILURE_ACTIONS.items())} END AS action
