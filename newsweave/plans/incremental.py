@@ -68,6 +68,21 @@ def snapshot_sync(spark, sf):
     return store.runs().select("snapshot_id", "source_id", "status", "scanned", "matched", "inserted", "duplicates").join(state, "source_id")
 
 
+@registered("sync_backlog", S.with_views("items sources", f"""
+    , e AS (SELECT n, item_id // {PART_ITEMS * SNAPSHOTS} AS part FROM (SELECT *, unnest(CASE WHEN item_id % 3 = 0 THEN [item_id % {SNAPSHOTS}, (item_id + 1) % {SNAPSHOTS}] ELSE [item_id % {SNAPSHOTS}] END) AS n FROM items)),
+    l AS (SELECT count(DISTINCT part) AS n_parts FROM e WHERE n = 0), c AS (SELECT CASE WHEN n_parts > 2 THEN 0 ELSE 1 END AS n, CASE WHEN n_parts > 2 THEN 2 ELSE 0 END AS first FROM l)
+    SELECT any_value({SNAPSHOTS} - c.n)::BIGINT AS pending_snapshots, count(DISTINCT part) AS pending_parts, 2 * count(*) AS pending_records,
+      (SELECT count(*) FROM sources WHERE enabled AND CASE WHEN (SELECT n FROM c) = 1 AND source_id IN (SELECT source_id FROM items WHERE item_id % 3 = 0) THEN CAST(substr(source_id, 4) AS INT) % 5 = 3 ELSE status = 'error' END) AS failed_sources
+    FROM e, c WHERE e.n = c.n AND part >= c.first"""))
+def sync_backlog(spark, sf):
+    """What waits after the first step of the synchronisation, which takes two parts."""
+    sources, companies = inputs.sources(spark, sf), inputs.watchlist(spark, sf)
+    manifest, parts, results = _published(spark, sf)
+    store = sync.snapshot_sync(spark, scratch_path(spark, "sync"), manifest, parts, results, sources, companies, sources.where("source_id <> 'src2'").select("source_id", "url"), companies,
+                               max_steps=1, now=F.lit("2024-12-31 00:00:00").cast("timestamp"), parts_per_step=2, event_rules=inputs.EVENT_RULES, tone_rules=inputs.TONE_RULES)
+    return sync.backlog(store, manifest, parts, sources).drop("last_finished_at")
+
+
 @registered("counter_steps", """
     SELECT 'src' || (user_id % 20) AS source_id, count(*) FILTER (WHERE event_type <> 'view') AS inserted, count(*) FILTER (WHERE event_type = 'view') AS duplicates FROM events GROUP BY ALL""")
 def counter_steps(spark, sf):

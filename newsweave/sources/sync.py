@@ -203,3 +203,18 @@ def snapshot_sync(spark: SparkSession, folder: str, *tables: DataFrame, max_step
         if max_steps and n >= max_steps:
             break
     return SyncStore(spark, folder.rstrip("/"))
+
+
+def backlog(store: SyncStore, manifest: DataFrame, parts: DataFrame, sources: DataFrame) -> DataFrame:
+    """One row: snapshots that are not finished, parts and records of the one at work that wait, enabled sources whose last result is an error, and when the last finished snapshot ended."""
+    last = store.cursor()
+    waiting = manifest.select("snapshot_id").distinct()
+    if last:
+        waiting = waiting.where(F.col("snapshot_id") > last.snapshot_id) if last.done else waiting.where(F.col("snapshot_id") >= last.snapshot_id)
+    current = waiting.agg(F.min("snapshot_id").alias("current"), F.count(F.lit(1)).alias("pending_snapshots"))  # one row
+    done = last.next_part if last and not last.done else 0
+    entries = F.size(F.from_json("payload", "array<struct<url:string>>")).cast("long")
+    left = parts.where(F.col("part") >= done).join(current.select(F.col("current").alias("snapshot_id")), "snapshot_id").agg(F.count(F.lit(1)).alias("pending_parts"), F.coalesce(F.sum(entries), F.lit(0)).alias("pending_records"))
+    failed = store.source_state(sources).join(sources.where("enabled").select("source_id"), "source_id", "left_semi").agg(F.coalesce(F.sum((F.col("status") == "error").cast("long")), F.lit(0)).alias("failed_sources"))
+    finished = store.runs().agg(F.max("finished_at").alias("last_finished_at"))
+    return current.drop("current").crossJoin(left).crossJoin(failed).crossJoin(finished)
