@@ -313,17 +313,35 @@ def _sum_counts(vocabulary: int | None, buckets: int):
     return run
 
 
-def _summaries(words: bool):
+def _summaries(kind: str, least: int = 0):
+    """Of the buckets' summaries: their totals; how many of their words have a count of 1, 2 to 3, 4 to 7, ..; or the words with `least` or more."""
+
     def run(batches):
         for batch in batches:
             for payload in batch.column("payload").to_pylist():
                 numbers = np.frombuffer(zstandard.decompress(payload), np.int64)
-                pairs = numbers[2:].reshape(-1, 2) if words else numbers[None, :2]
+                pairs = numbers[2:].reshape(-1, 2)
+                if kind == "totals":
+                    pairs = numbers[None, :2]
+                elif kind == "levels":
+                    pairs = np.stack(np.unique(np.frexp(pairs[:, 1].astype(np.float64))[1] - 1, return_counts=True), axis=1).astype(np.int64)
+                else:
+                    pairs = pairs[pairs[:, 1] >= least]
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     return run
 
 
+def _least_count(levels: list[tuple[int, int]], size: int) -> int:
+    """The largest power of two that at least `size` words reach (1 if there are fewer words)."""
+    total = 0
+    for level, n in sorted(levels, reverse=True):
+        total += n
+        if total >= size:
+            return 1 << level
+    return 1
+
+
 def _train_part(shared, v: Vocabulary):
     """Documents of a partition -> weights trained on them and their step sizes, times their tokens."""
 
@@ -421,8 +439,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counted = scored.select("text", "held_out").mapInArrow(_count(buckets), "bucket int, chunk long, payload binary")
     answers = checkpointed(counted.repartition(F.col("bucket")).mapInArrow(_sum_counts(vocabulary, buckets), counted.schema), "counts")
     summaries = answers.filter("chunk = -1").select("payload")
-    totals = summaries.mapInArrow(_summaries(False), "a long, b long").agg(F.coalesce(F.sum("a"), F.lit(0)).alias("distinct"), F.coalesce(F.sum("b"), F.lit(0)).alias("total")).first()
-    words = summaries.mapInArrow(_summaries(True), "a long, b long").orderBy(F.desc("b"), "a").limit(vocabulary or vocabulary_size(totals["distinct"])).collect()
+    totals = summaries.mapInArrow(_summaries("totals"), "a long, b long").agg(F.coalesce(F.sum("a"), F.lit(0)).alias("distinct"), F.coalesce(F.sum("b"), F.lit(0)).alias("total")).first()
+    size = vocabulary or vocabulary_size(totals["distinct"])
+    levels = summaries.mapInArrow(_summaries("levels"), "a long, b long").groupBy("a").agg(F.sum("b").alias("b")).collect()  # 63 rows at most
+    least = _least_count([(r.a, r.b) for r in levels], size)
+    words = summaries.mapInArrow(_summaries("words", least), "a long, b long").orderBy(F.desc("b"), "a").limit(size).collect()
     v = Vocabulary([(r.a, r.b) for r in words], n_learned, totals.total, totals["distinct"])
     shared = spark.sparkContext.broadcast(fit([learned.filter(F.col("round") == r).select("text") for r in range(rounds)], v))
     schema = f"id {rows.schema['id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

@@ -168,3 +168,16 @@ def test_large_counts_keep_their_width():
         for payload in out.column("payload").to_pylist()[:2]:
             assert np.frombuffer(zstandard.decompress(payload[3:]), payload[:3].decode()).tolist() == [counts[0] + 1, counts[1] + 1]
     assert recurrent_lm.vocabulary_size(10) == 1_024 and recurrent_lm.vocabulary_size(4_000_000) > recurrent_lm.vocabulary_size(400_000) > 3_000
+
+
+def test_vocabulary_rows_come_from_few_words():
+    import pyarrow as pa
+
+    counts = np.array([1, 1, 2, 3, 3, 4, 7, 8, 1 << 40, 1 << 33])
+    pairs = np.stack((np.arange(10), counts), axis=1)
+    batch = pa.RecordBatch.from_pydict({"payload": [recurrent_lm._pack(np.concatenate(([10, int(counts.sum())], pairs.ravel())).astype(np.int64))]})
+    rows = lambda *how: [(a, b) for x in recurrent_lm._summaries(*how)(iter([batch])) for a, b in zip(*x.to_pydict().values())]
+    assert rows("totals") == [(10, int(counts.sum()))] and rows("levels") == [(0, 2), (1, 3), (2, 2), (3, 1), (33, 1), (40, 1)]
+    for size in range(1, 12):
+        least = recurrent_lm._least_count(rows("levels"), size)
+        assert sorted(b for _, b in rows("words", least))[-size:] == sorted(counts.tolist())[-size:]
