@@ -28,6 +28,7 @@ COUNTERS = "map<string,struct<inserted:bigint,duplicates:bigint>>"
 CURSOR = f"step long, snapshot_id string, next_part int, done boolean, inserted long, counters {COUNTERS}, finished_at timestamp"
 STATE = "source_id string, status string, error string, last_fetched_at timestamp"
 RUN = "run_id string, snapshot_id string, source_id string, started_at timestamp, finished_at timestamp, status string, scanned long, matched long, inserted long, duplicates long, error string"
+SNAPSHOT_STEPS = 16
 TRUNCATED = "Snapshot size limit reached; some matching items were omitted."
 
 
@@ -115,22 +116,25 @@ class SyncStore:
         return given.join(stored, "source_id", "left").select("source_id", *[F.when(F.col("s").isNotNull(), F.col(f"s.{c}")).otherwise(F.col(c)).alias(c) for c in ("status", "error", "last_fetched_at")])
 
 
-def _verified(parts: DataFrame, manifest: DataFrame, target, now: Column) -> int:
-    """Number of parts of a snapshot; every one must be there with its hash, and the header must agree."""
+def _verified(parts: DataFrame, manifest: DataFrame, target, now: Column, first: int = 0, last: int | None = None) -> tuple[int, object]:
+    """Number of parts of a snapshot and its header; every part must be listed and there, the header must agree, and the parts from `first` to `last` must have their hash."""
+    chosen = F.col("part").between(first, last) if last is not None else F.col("part") >= first
     listed = manifest.where(F.col("snapshot_id") == target.snapshot_id).select("part", "sha256", F.col("finished_at").alias("_finished"))
-    stored = parts.where(F.col("snapshot_id") == target.snapshot_id).select("part", part_hash(F.col("payload")).alias("_sha"), "finished_at")
+    stored = parts.where(F.col("snapshot_id") == target.snapshot_id).select("part", F.lit(True).alias("_there"), F.when(chosen, part_hash(F.col("payload"))).alias("_sha"), "started_at", "finished_at", "truncated")
+    good = F.col("_there") & F.col("sha256").isNotNull() & (~chosen | (F.col("sha256") == F.col("_sha")))
     checked = listed.join(stored, "part", "full_outer").agg(
         F.count(F.lit(1)).alias("n"), F.min("part").alias("first"), F.max("part").alias("last"),
-        F.bool_and(F.coalesce(F.col("sha256") == F.col("_sha"), F.lit(False))).alias("hashes"),
+        F.bool_and(F.coalesce(good, F.lit(False))).alias("hashes"),
         F.bool_and(F.coalesce(F.col("finished_at") == F.col("_finished"), F.lit(False))).alias("header"),
-        F.bool_or(F.col("finished_at") > now + F.expr(f"INTERVAL {K.FUTURE_SKEW_SECONDS} SECOND")).alias("future")).first()
+        F.bool_or(F.col("finished_at") > now + F.expr(f"INTERVAL {K.FUTURE_SKEW_SECONDS} SECOND")).alias("future"),
+        F.min("started_at").alias("started_at"), F.max("finished_at").alias("finished_at"), F.bool_or("truncated").alias("truncated")).first()
     if not checked.hashes:
         raise SnapshotRejected(f"{target.snapshot_id}: a part is missing, is not listed or has another hash")
     if not checked.header or checked.first != 0 or checked.last != checked.n - 1:
         raise SnapshotRejected(f"{target.snapshot_id}: does not match its manifest")
     if checked.future:
         raise SnapshotRejected(f"{target.snapshot_id}: finishes in the future")
-    return checked.n
+    return checked.n, checked
 
 
 def sync_steps(spark: SparkSession, folder: str, manifest: DataFrame, parts: DataFrame, results: DataFrame, sources: DataFrame, companies: DataFrame, seed_sources: DataFrame, seed_companies: DataFrame,
@@ -139,7 +143,8 @@ def sync_steps(spark: SparkSession, folder: str, manifest: DataFrame, parts: Dat
 
     `manifest`: snapshot_id, part, sha256, finished_at; `parts`: snapshot_id, part, payload, started_at, finished_at, truncated; `results`: snapshot_id, source_id, status, error, scanned,
     matched; `sources`: source_id, url, enabled, status, error, last_fetched_at.  Snapshots are taken in the order of their ids.  An entry goes in if its source is enabled
-    and public, its company is public, its address is public, and the company is named in it.  With `stories`, new articles are assigned to stories in `folder`/stories."""
+    and public, its company is public, its address is public, and the company is named in it.  A step takes `parts_per_step` parts, or more where a snapshot would need over SNAPSHOT_STEPS
+    steps: every step looks at the stored keys, so the number of steps must not grow with the snapshot.  With `stories`, new articles are assigned to stories in `folder`/stories."""
     store = SyncStore(spark, folder.rstrip("/"))
     while True:
         last = store.cursor()
@@ -153,9 +158,10 @@ def sync_steps(spark: SparkSession, folder: str, manifest: DataFrame, parts: Dat
         if not waiting.n:
             return
         offset = last.next_part if resumed else 0
-        n_parts = _verified(parts, manifest, waiting, now)
-        mine = parts.where((F.col("snapshot_id") == waiting.snapshot_id) & F.col("part").between(offset, offset + parts_per_step - 1))
-        header = parts.where(F.col("snapshot_id") == waiting.snapshot_id).agg(F.min("started_at").alias("started_at"), F.max("finished_at").alias("finished_at"), F.bool_or("truncated").alias("truncated")).first()
+        size = max(parts_per_step, -(-manifest.where(F.col("snapshot_id") == waiting.snapshot_id).count() // SNAPSHOT_STEPS))
+        # the first step of a snapshot checks all of its parts, later ones those that they take
+        n_parts, header = _verified(parts, manifest, waiting, now, offset, offset + size - 1 if resumed else None)
+        mine = parts.where((F.col("snapshot_id") == waiting.snapshot_id) & F.col("part").between(offset, offset + size - 1))
 
         entries = mine.select("part", F.posexplode(F.from_json("payload", f"array<{ENTRY}>")).alias("pos", "entry")).select(
             F.format_string("%s-%08d-%08d", F.lit(waiting.snapshot_id), F.col("part"), F.col("pos")).alias("entry_id"), "entry.*")
@@ -169,11 +175,11 @@ def sync_steps(spark: SparkSession, folder: str, manifest: DataFrame, parts: Dat
         if stories:
             cluster_increment(spark, f"{store.folder}/stories", store._articles(step).join(items.select("item_id"), "item_id", "left_semi"), step)
 
-        done = offset + parts_per_step >= n_parts
+        done = offset + size >= n_parts
         earlier = spark.createDataFrame([(last.counters if resumed else None,)], f"earlier {COUNTERS}")
         found = count_outcomes(marked, []).select("counters")
         counters = earlier.crossJoin(found).select(merge_counters(F.col("earlier"), F.col("counters")).alias("counters"))  # one row each
-        row = counters.select(F.lit(waiting.snapshot_id).alias("snapshot_id"), F.lit(min(offset + parts_per_step, n_parts)).cast("int").alias("next_part"), F.lit(done).alias("done"),
+        row = counters.select(F.lit(waiting.snapshot_id).alias("snapshot_id"), F.lit(min(offset + size, n_parts)).cast("int").alias("next_part"), F.lit(done).alias("done"),
                               F.lit(marked.where("is_new").count()).cast("long").alias("inserted"), "counters", F.lit(header.finished_at).alias("finished_at"))
         row = checkpointed(row, "sync-cursor")
         if done:
