@@ -132,7 +132,7 @@ def dedupe_url_anti(spark, sf):
 def coverage_by_company(spark, sf):
     companies = inputs.watchlist(spark, sf).select("company_id", "name")
     extra = companies.limit(1).select(F.lit("none").alias("company_id"), F.lit("zz no coverage").alias("name"))
-    report = reports.coverage_by_company(inputs.articles(spark, sf), companies.unionByName(extra))
+    report = reports.coverage_by_company(inputs.article_index(spark, sf), companies.unionByName(extra))
     return report.withColumn("earliest", _ts("earliest")).withColumn("latest", _ts("latest"))
 
 
@@ -343,7 +343,7 @@ def scan_runs_latest(spark, sf):
 
 @registered("latest_per_company", S.with_views("articles", "SELECT company_id, article_id, CAST(row_number() OVER (PARTITION BY company_id ORDER BY event_time DESC, article_id) AS INTEGER) AS rank FROM articles QUALIFY rank <= 25"))
 def latest_per_company(spark, sf):
-    rows = inputs.articles(spark, sf).select("company_id", "article_id", ranking.newest(clustering.event_time()).alias("t"))
+    rows = inputs.article_index(spark, sf).select("company_id", "article_id", ranking.newest(clustering.event_time()).alias("t"))
     return ranking.top_k(rows, ["company_id"], [F.col("t"), F.col("article_id")], 25).select("company_id", "article_id", "rank")
 
 
@@ -409,7 +409,7 @@ def date_eligibility(spark, sf):
     WHERE (a.mode <> 'model' OR e.vec_id IS NULL OR e.vec_id % 2 <> 0) AND coalesce(f.failures, 0) < 3"""))
 def enrich_backlog(spark, sf):
     vectors = inputs.table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding", F.when(F.col("vec_id") % 2 == 0, "m1").otherwise("m2").alias("embedding_model"))
-    base = inputs.articles(spark, sf)
+    base = inputs.article_index(spark, sf)
     failures = base.where("item_id % 3 = 0").select("article_id", (F.col("item_id") % 5).alias("failures"))
     return filters.enrich_backlog(base.join(vectors, "item_id", "left"), failures, model="m1", limit=None).select("article_id")
 

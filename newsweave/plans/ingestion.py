@@ -139,7 +139,7 @@ def excerpt_import(spark, sf):
         F.col("item_id").alias("row_id"), F.concat(F.lit("c"), (F.col("item_id") % 3 + 1).cast("string")).alias("company_id"),
         F.when(F.col("item_id") % 19 == 0, "").otherwise(F.col("title")).alias("title"), "text",
         F.when(F.col("item_id") % 23 == 0, "http://insecure.example.com/").otherwise(F.col("url")).alias("url"))
-    existing = inputs.articles(spark, sf).where("item_id % 2 = 0").select("company_id", "url")
+    existing = inputs.article_index(spark, sf).where("item_id % 2 = 0").select("company_id", "url")
     return admission.excerpt_import(rows, inputs.watchlist(spark, sf), existing).select("row_id", "outcome")
 
 

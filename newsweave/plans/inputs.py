@@ -166,14 +166,33 @@ def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, "matches", lambda: entity_match(items(spark, sf_dir), watchlist(spark, sf_dir)))
 
 
+def _mode() -> Column:
+    return F.when(F.col("item_id") % 4 == 0, "model").otherwise("baseline")
+
+
+def chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored (company_id, url, item_id) of the articles, which need no analysis."""
+    return stored(spark, sf_dir, "chosen", lambda: build.choose_items(items(spark, sf_dir), watchlist(spark, sf_dir), matches(spark, sf_dir)))
+
+
+def article_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The articles without what is computed from their texts, for jobs that need keys, dates and state only."""
+
+    def make() -> DataFrame:
+        known = items(spark, sf_dir).select("item_id", "source_id", "region", "published_at", "fetched_at")
+        return chosen(spark, sf_dir).join(known, "item_id").select(
+            build.article_id().alias("article_id"), "company_id", "item_id", "source_id", "url", "region", "published_at", "fetched_at", F.struct(_mode().alias("mode")).alias("analysis"), F.lit(False).alias("demo"))
+
+    return stored(spark, sf_dir, "article_index", make)
+
+
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored articles without their cluster; every fourth counts as enriched by a model."""
 
     def make() -> DataFrame:
         rows = build.build_articles(items(spark, sf_dir), watchlist(spark, sf_dir), event_rules=EVENT_RULES, tone_rules=TONE_RULES,
-                                    pairs=matches(spark, sf_dir))
-        mode = F.when(F.col("item_id") % 4 == 0, "model").otherwise("baseline")
-        return rows.withColumn("analysis", let(F.col("analysis"), lambda a: a.withField("mode", mode))).withColumn(
+                                    chosen=chosen(spark, sf_dir))
+        return rows.withColumn("analysis", let(F.col("analysis"), lambda a: a.withField("mode", _mode()))).withColumn(
             "publisher", F.regexp_replace(url.host(F.col("url")), "^www[.]", ""))
 
     return stored(spark, sf_dir, "articles", make)
@@ -196,4 +215,4 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Derived tables that several queries share, in the order they build on each other.
-SHARED = {"watchlist": watchlist, "matches": matches, "articles": articles, "clustered": clustered}
+SHARED = {"watchlist": watchlist, "matches": matches, "chosen": chosen, "article_index": article_index, "articles": articles, "clustered": clustered}
