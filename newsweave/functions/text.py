@@ -18,7 +18,10 @@ from newsweave.functions.binding import let
 
 WS = f"[{K.WS_CLASS}]"
 # A run of white space that is not a single plain space already.
-_UNEVEN_WS = f"[{K.WS_CLASS.replace(' ', '')}]{WS}*| {WS}+"
+# The look-ahead passes over printable ASCII.
+_UNEVEN_WS = f"(?![!-~])(?:[{K.WS_CLASS.replace(' ', '')}]{WS}*| {WS}+)"
+# Characters in which a lead sentence is looked for first.
+LEAD_CHARS = 1_000
 
 
 def _as_class(points: list[int]) -> str:
@@ -56,10 +59,15 @@ def is_ascii(text: Column) -> Column:
     return F.length(text) == F.octet_length(text)
 
 
+def beyond_ascii(text: Column) -> Column:
+    """The characters outside ASCII: what a search for one of them has to read."""
+    return F.regexp_replace(text, r"[\x00-\x7F]+", "")
+
+
 def nfkc(text: Column) -> Column:
     """Unicode NFKC.  Spark has no such built-in, so the rows that hold a character NFKC can touch go
     through Arrow; every other row sends a null and keeps its own value."""
-    return F.coalesce(_nfkc(F.when(~is_ascii(text) & text.rlike(_nfkc_sensitive()), text)), text)
+    return F.coalesce(_nfkc(F.when(~is_ascii(text) & beyond_ascii(text).rlike(_nfkc_sensitive()), text)), text)
 
 
 def collapse_ws(text: Column) -> Column:
@@ -98,7 +106,8 @@ def token_set(text: Column) -> Column:
 
 def detect_language(text: Column, fallback: Column) -> Column:
     """Language of the first script present, in fixed priority; otherwise the caller's language."""
-    return let(F.struct(text.alias("text"), fallback.alias("fallback")), lambda p: _script_language(p["text"], p["fallback"]))
+    foreign = F.when(is_ascii(text), "").otherwise(beyond_ascii(text))
+    return let(F.struct(foreign.alias("text"), fallback.alias("fallback")), lambda p: _script_language(p["text"], p["fallback"]))
 
 
 def _script_language(text: Column, fallback: Column) -> Column:
@@ -107,7 +116,7 @@ def _script_language(text: Column, fallback: Column) -> Column:
         value = F.when(fallback == shared, shared).otherwise(code) if shared else F.lit(code)
         out = F.when(text.rlike(pattern), value) if out is None else out.when(text.rlike(pattern), value)
     listed = "|".join(pattern for pattern, _, _ in K.SCRIPT_LANGUAGES)
-    return F.when(is_ascii(text) | ~text.rlike(listed), fallback).otherwise(out.otherwise(fallback))
+    return F.when((text == "") | ~text.rlike(listed), fallback).otherwise(out.otherwise(fallback))
 
 
 def fingerprint(text: Column) -> Column:
@@ -121,9 +130,14 @@ def jaccard(left: Column, right: Column) -> Column:
 
 
 def lead_sentence(text: Column) -> Column:
+    def first(sentences: Column) -> Column:
+        return F.get(F.filter(F.transform(sentences, trim_ws), lambda s: F.length(s) > K.MIN_SENTENCE_CHARS), F.lit(0))
+
     def choose(value: Column) -> Column:
-        sentences = F.transform(F.split(value, rf"(?<=[.!?।]){WS}+"), trim_ws)
-        return F.coalesce(F.get(F.filter(sentences, lambda s: F.length(s) > K.MIN_SENTENCE_CHARS), F.lit(0)), trim_ws(value))
+        split = lambda c: F.split(c, rf"(?<=[.!?।]){WS}+")
+        # all sentences of the head but its last are whole ones; only a text without a long one among them is split as a whole
+        early = let(split(F.substring(value, 1, LEAD_CHARS)), lambda s: first(F.slice(s, F.lit(1), F.size(s) - 1)))
+        return F.coalesce(early, first(split(value)), trim_ws(value))
 
     return let(text, choose)
 
@@ -131,15 +145,23 @@ def lead_sentence(text: Column) -> Column:
 def java_pattern(pattern: str) -> str:
     r"""Give `\b` and `\w` their ASCII meaning in Java regexes, ignoring case as Unicode does.
 
-    Around a list of plain words one look-around per side is enough; any other `\b` gets the full definition."""
+    Around a list of words one look-around per side is enough, and a look at the first letter passes over most places; any other `\b` gets the full definition."""
     word = "A-Za-z0-9_"
     plain = re.compile(f"[{word}]")
 
     def word_list(found: re.Match) -> str:
         options = found[1].split("|")
-        if all(plain.match(o) and (plain.match(o.rstrip("?+")[-1]) or o.endswith(r"\w+")) for o in options):
-            return f"(?<![{word}])({found[1]})(?![{word}])"
-        return found[0]
+        ends = [o.rstrip("?+")[-1:] for o in options]
+        foreign = lambda c: c.isalpha() and not any(x.isascii() for x in c.lower() + c.upper())
+        # an end is a word character, or a letter that is none in any case; the first letter is there for sure
+        if not all((plain.match(o) or foreign(o[:1])) and o[1:2] not in ("?", "*", "{") and (plain.match(e) or foreign(e) or o.endswith(r"\w+")) for o, e in zip(options, ends)):
+            return found[0]
+        groups: dict[tuple[str, str], list[str]] = {}
+        for o, e in zip(options, ends):
+            left = f"(?<![{word}])" if plain.match(o) else f"(?<=[{word}])"
+            right = f"(?![{word}])" if plain.match(e) or o.endswith(r"\w+") else f"(?=[{word}])"
+            groups.setdefault((left, right), []).append(o)
+        return "(?:" + "|".join(f"(?=[{''.join(sorted({o[0] for o in listed}))}]){left}({'|'.join(listed)}){right}" for (left, right), listed in groups.items()) + ")"
 
     edge = f"(?:(?<![{word}])(?=[{word}])|(?<=[{word}])(?![{word}]))"
     out = re.sub(r"\\b\(([^()]*)\)\\b", word_list, pattern)

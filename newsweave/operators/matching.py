@@ -21,7 +21,7 @@ def alias_anchors(companies: DataFrame, name: str = "name", aliases: str = "alia
 
     A bounded occurrence of an alias implies that every run of letters in it is a whole run of the text, so the
     longest run serves as equi-join key.  An alias without letters is found by its first symbol."""
-    edge_left, edge_right = r"(?:^|[^\p{L}\p{M}\p{N}])", r"(?=$|[^\p{L}\p{M}\p{N}])"
+    edge_left, edge_right = r"(?<![\p{L}\p{M}\p{N}])", r"(?![\p{L}\p{M}\p{N}])"
     spelled = companies.select(
         "company_id",
         F.explode(F.array_distinct(F.concat(F.array(F.col(name)), F.coalesce(F.col(aliases), F.array().cast("array<string>"))))).alias("alias"),
@@ -36,6 +36,7 @@ def alias_anchors(companies: DataFrame, name: str = "name", aliases: str = "alia
         .select(
             "company_id",
             "anchor",
+            "needle",
             F.when(~((F.col("needle") == F.col("anchor")) & F.col("needle").rlike(f"^{K.WORD_RUN}$")),
                    F.concat(F.lit(edge_left), escaped, F.lit(edge_right))).alias("pattern"),
         )
@@ -43,9 +44,10 @@ def alias_anchors(companies: DataFrame, name: str = "name", aliases: str = "alia
     )
 
 
-def text_keys(folded: Column) -> Column:
-    """Distinct letter runs and symbols of a lower-case text, in one pass: everything an alias can be anchored on."""
-    return F.array_distinct(F.regexp_extract_all(folded, F.lit(f"{K.WORD_RUN}|{_SYMBOL}"), F.lit(0)))
+def text_keys(folded: Column, shortest: int = 1, symbols: bool = True) -> Column:
+    """Distinct letter runs of at least `shortest` characters, and symbols, of a lower-case text, in one pass: everything an alias can be anchored on."""
+    runs = K.WORD_RUN if shortest < 2 else f"{K.WORD_RUN.removesuffix('+')}{{{shortest},}}"
+    return F.array_distinct(F.regexp_extract_all(folded, F.lit(f"{runs}|{_SYMBOL}" if symbols else runs), F.lit(0)))
 
 
 def entity_match(items: DataFrame, companies: DataFrame, key: str = "item_id", body: Column | None = None,
@@ -58,14 +60,16 @@ def entity_match(items: DataFrame, companies: DataFrame, key: str = "item_id", b
     same_company = (F.col("company_id") == F.col(scope)) if scope and scope != "company_id" else F.lit(True)
     join_on = ["anchor", "company_id"] if scope == "company_id" else ["anchor"]
     # only keys are exploded; a text joins back once, to the candidates of its item that need the boundary check.  Keys hold no white space, so it is not collapsed for them
-    keyed = items.select(*wanted, F.explode(text_keys(F.lower(text.nfkc(body)))).alias("anchor"))
-    candidates = keyed.join(broadcast_if_small(alias_anchors(companies)), join_on).where(same_company)
-    found = candidates.groupBy(key).agg(F.collect_set(F.struct("company_id", "pattern")).alias("found"))  # one entry per alias at most
+    anchors = checkpointed(alias_anchors(companies), "anchors")  # read three times
+    kinds = anchors.agg(F.min(F.when(F.col("anchor").rlike(K.WORD_RUN), F.length("anchor"))).alias("shortest"), F.count_if(~F.col("anchor").rlike(K.WORD_RUN)).alias("symbols")).first()
+    keyed = items.select(*wanted, F.explode(text_keys(F.lower(text.nfkc(body)), kinds["shortest"] or 1, kinds["symbols"] > 0)).alias("anchor"))
+    candidates = keyed.join(broadcast_if_small(anchors), join_on).where(same_company)
+    found = candidates.groupBy(key).agg(F.collect_set(F.struct("company_id", "needle", "pattern")).alias("found"))  # one entry per alias at most
     sure = F.transform(F.filter("found", lambda f: f["pattern"].isNull()), lambda f: f["company_id"])
     open_ = F.filter("found", lambda f: f["pattern"].isNotNull() & ~F.array_contains(F.col("sure"), f["company_id"]))
     split = checkpointed(found.withColumn("sure", sure).select(key, "sure", open_.alias("open")), "candidates")  # read twice; ids and patterns only
     texts = items.select(key, body.alias("_body"))
-    confirmed = let(text.normalize(F.col("_body")), lambda norm: F.filter("open", lambda f: F.rlike(norm, f["pattern"])))  # normalised once for all of its patterns
+    confirmed = let(text.normalize(F.col("_body")), lambda norm: F.filter("open", lambda f: F.contains(norm, f["needle"]) & F.rlike(norm, f["pattern"])))  # normalised once for all of its patterns
     checked = split.where(F.size("open") > 0).select(key, "open").join(texts, key).select(key, F.explode(confirmed).alias("f")).select(key, F.col("f.company_id").alias("company_id"))
     return split.select(key, F.explode("sure").alias("company_id")).unionByName(checked).distinct()
 
