@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 1 << 19  # texts are hashed in slices of about this many bytes; a longer text is cut between words
+SLICE_BYTES = 1 << 17  # texts are hashed in slices of about this many bytes; a longer text is cut between words
 _RNG = np.random.default_rng(20240607)
 _TABLE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _RADIX = 0x9E3779B97F4A7C15

@@ -34,11 +34,15 @@ CHUNK = 16 << 20
 HIDDEN = 24
 LANES, WINDOW = 128, 16  # of training
 SCORE_LANES, SCORE_WINDOW = 256, 64
+BLOCK = 2_048  # tokens whose probabilities are computed at once
+STEPS = 8  # whose inputs are looked up at once
 LONG = 2_048  # words; longer documents start first, so that no lane is left with one at the end
 LEAST_VOCABULARY = 1_024
 DOCUMENTS_PER_BUCKET = 200_000  # of the counts: a bucket holds a part of the words of that many documents
 RATE, FIRST_SQUARE = 0.05, 1e-6
 AVERAGERS = 16
+AHEAD = 1_024  # tokens of a lane that are laid out for the next windows
+_FIRST = 1 << 32  # marks the first token of a document
 
 Weights = dict[str, np.ndarray]
 
@@ -71,59 +75,136 @@ def start_weights(v: Vocabulary) -> Weights:
     words = np.full(v.classes * v.size, -1e4, np.float32)
     words[: v.end] = np.log(v.counts + 1)
     mass = [*(np.exp(words.astype(np.float64)).reshape(v.classes, v.size).sum(axis=1)), v.ends + 1, v.other_norm]
-    return {"input": small(size, 3 * HIDDEN), "bias": np.zeros(3 * HIDDEN, np.float32), "state": small(HIDDEN, 3 * HIDDEN), "class": np.zeros((HIDDEN, classes), np.float32),
-            "class_bias": np.log(np.array(mass)).astype(np.float32), "word": np.zeros((v.classes, HIDDEN, v.size), np.float32), "word_bias": words.reshape(v.classes, v.size)}
+    w = {"input": small(size, 3 * HIDDEN), "bias": np.zeros(3 * HIDDEN, np.float32), "state": small(HIDDEN, 3 * HIDDEN), "class": np.zeros((HIDDEN + 1, classes), np.float32), "word": np.zeros((v.classes, HIDDEN + 1, v.size), np.float32)}  # the last unit of the output is always 1
+    w["class"][HIDDEN], w["word"][:, HIDDEN] = np.log(np.array(mass)), words.reshape(v.classes, v.size)
+    return w
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def _states(w: Weights, ids: np.ndarray, begins: np.ndarray, h: np.ndarray, parts: bool = False):
+    """States (time x unit x lane) after each of the inputs (time x lane), and with `parts` what the way back needs of each step: the state before, gates, candidate and its recurrent part.
+    `h`: the state before the first (unit x lane).  Units come before lanes, so that each gate is one block of memory."""
+    n, width = ids.shape
+    slots = range(n) if parts else [0] * n
+    turned = w["state"].T.copy()
+    turned[: 2 * HIDDEN] *= -1  # what the sigmoid takes the exponential of
+    stays, some = (~begins).astype(np.float32), begins.any(axis=1).tolist()
+    out, first = np.empty((n, HIDDEN, width), np.float32), np.ascontiguousarray(h)
+    new, gates, s = (np.empty((slots[-1] + 1, k * HIDDEN, width), np.float32) for k in (1, 2, 3))
+    h = first
+    with np.errstate(over="ignore"):
+        for t, i in enumerate(slots):
+            if t % STEPS == 0:
+                x = w["input"].take(ids[t : t + STEPS].ravel(), axis=0)
+                x += w["bias"]
+                x[:, : 2 * HIDDEN] *= -1
+                x = np.ascontiguousarray(x.reshape(-1, width, 3 * HIDDEN).transpose(0, 2, 1))
+            before, candidate, gate, recurrent, xt = h * stays[t] if some[t] else h, new[i], gates[i], s[i], x[t % STEPS]
+            np.dot(turned, before, out=recurrent)
+            np.add(xt[: 2 * HIDDEN], recurrent[: 2 * HIDDEN], out=gate)
+            np.exp(gate, out=gate)
+            gate += 1
+            np.reciprocal(gate, out=gate)
+            np.multiply(gate[HIDDEN:], recurrent[2 * HIDDEN :], out=candidate)
+            candidate += xt[2 * HIDDEN :]
+            np.tanh(candidate, out=candidate)
+            h = out[t]
+            np.subtract(before, candidate, out=h)
+            h *= gate[:HIDDEN]
+            h += candidate
+    if not parts:
+        return out, None
+    old = np.concatenate((first[None], out[:-1])) * stays[:, None]
+    return out, (old, gates[:, :HIDDEN], gates[:, HIDDEN:], new, s[:, 2 * HIDDEN :])
 
 
 def _step(w: Weights, ids: np.ndarray, h: np.ndarray):
-    x, s = w["input"][ids] + w["bias"], h @ w["state"]
-    gates = _sigmoid(x[:, : 2 * HIDDEN] + s[:, : 2 * HIDDEN])
-    z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-    n = np.tanh(x[:, 2 * HIDDEN :] + r * s[:, 2 * HIDDEN :])
-    return n + z * (h - n), (h, z, r, n, s[:, 2 * HIDDEN :])
+    """One step of lanes (lane x unit)."""
+    states, parts = _states(w, ids[None], np.zeros((1, len(ids)), bool), h.T, True)
+    return states[0].T, tuple(x[0].T for x in parts)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _inputs(targets: np.ndarray, begins: np.ndarray, last: np.ndarray, v_end: int) -> np.ndarray:
+    """What the network reads before each target: the token before, or the end sign where a document begins."""
+    return np.where(begins, v_end, np.concatenate((last[None], targets[:-1])))
 
 
 def class_of(ids: np.ndarray, v_end: int, classes: int, size: int) -> np.ndarray:
     return np.where(ids < v_end, ids // size, classes + (ids > v_end))
 
 
+def _sums(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the rows from each of the given places (ascending, the first is 0) to the next.  Most are of a few rows: these are added place by place."""
+    out, times = rows[first], np.append(first[1:], len(rows)) - first
+    ones = np.ones(times.max(initial=0), np.float32)
+    for i in np.flatnonzero(times > 8).tolist():
+        np.dot(ones[: times[i]], rows[first[i] : first[i] + times[i]], out=out[i])
+    some = np.flatnonzero((times > 1) & (times <= 8))
+    for j in range(1, 8):
+        some = some[times[some] > j]
+        if not len(some):
+            break
+        out[some] += rows[first[some] + j]
+    return out
+
+
+def _exponentials(x: np.ndarray, axis: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exponentials of the numbers up to a factor for each line along the axis, their sums, and the logarithms of the sums without the factor.  It is 1 unless the numbers are too large or too small for that."""
+    total = lambda e: e.sum(axis=0) if axis == 0 else e @ np.ones(e.shape[1], np.float32)
+    with np.errstate(over="ignore"):
+        out = np.exp(x)
+    sums = total(out)
+    if sums.min(initial=1) > 1e-25 and sums.max(initial=1) < 1e30:
+        return out, sums, np.log(sums)
+    top = x.max(axis=axis, keepdims=True)
+    out = np.exp(x - top)
+    sums = total(out)
+    return out, sums, np.log(sums) + top.squeeze(axis)
+
+
 def output_log_probability(w: Weights, states: np.ndarray, targets: np.ndarray, v_end: int, gradient: Weights | None = None):
-    """Natural log of P(class) * P(word | class) of each target; with `gradient`, fills it (the words' parts by class, for
-    the classes that occur) and returns the gradient by the states of the negative sum."""
+    """Natural log of P(class) * P(word | class) of each target; with `gradient`, fills it (the words' parts for the classes `touched`)
+    and returns the gradient by the states of the negative sum."""
     classes, _, size = w["word"].shape
     kinds = class_of(targets, v_end, classes, size)
-    rows = np.arange(len(targets))
-    logs = _log_softmax(states @ w["class"] + w["class_bias"])
-    out = logs[rows, kinds].astype(np.float64)
-    back = None
+    rows, out, back = np.arange(len(targets)), np.empty(len(targets)), None
+    states = np.concatenate((states, np.ones((len(states), 1), np.float32)), axis=1)
     if gradient is not None:
-        error = np.exp(logs)
-        error[rows, kinds] -= 1
-        gradient["class"], gradient["class_bias"], gradient["word"], gradient["word_bias"] = states.T @ error, error.sum(axis=0), {}, {}
-        back = error @ w["class"].T
-    order = np.argsort(kinds, kind="stable")
+        gradient["class"], back = np.zeros_like(w["class"]), np.empty((len(states), HIDDEN), np.float32)
+    for at in range(0, len(targets), BLOCK):
+        own = slice(at, at + BLOCK)
+        here, goals = states[own], (kinds[own], rows[: len(targets) - at][:BLOCK])
+        x = w["class"].T @ here.T  # class x token
+        logs = x[goals]
+        x, sums, norm = _exponentials(x, 0)
+        out[own] = logs - norm
+        if gradient is not None:
+            x *= 1 / sums
+            x[goals] -= 1
+            gradient["class"] += (x @ here).T
+            np.dot(x.T, w["class"][:HIDDEN].T, out=back[own])
+    order = np.argsort(kinds.astype(np.uint16) if classes < 65_000 else kinds, kind="stable")
     cuts = np.searchsorted(kinds[order], np.arange(classes + 1))
-    for k in range(classes):
-        some = order[cuts[k] : cuts[k + 1]]
-        if len(some):
-            logs = _log_softmax(states[some] @ w["word"][k] + w["word_bias"][k])
-            places = targets[some] - k * size
-            out[some] += logs[np.arange(len(some)), places]
-            if gradient is not None:
-                error = np.exp(logs)
-                error[np.arange(len(some)), places] -= 1
-                gradient["word"][k] = states[some].T @ error
-                gradient["word_bias"][k] = error.sum(axis=0)
-                back[some] += error @ w["word"][k].T
+    times = np.diff(cuts)
+    touched = np.flatnonzero(times)
+    spans = [(k, slice(x, y)) for k, x, y in zip(touched.tolist(), cuts[touched].tolist(), cuts[touched + 1].tolist())]
+    order = order[: cuts[-1]]  # words of the vocabulary, class by class
+    kinds, rows, some = kinds[order], rows[: cuts[-1]], np.ascontiguousarray(states[order])
+    places = targets[order] - kinds * size
+    y = np.empty((len(order), size), np.float32)
+    for k, own in spans:
+        np.dot(some[own], w["word"][k], out=y[own])
+    logs = y[rows, places]
+    y, sums, norm = _exponentials(y, 1)
+    out[order] += logs - norm
+    if gradient is not None:
+        y *= (1 / sums)[:, None]
+        y[rows, places] -= 1
+        word, by_state = np.empty((len(touched), *w["word"].shape[1:]), np.float32), np.empty((len(some), HIDDEN), np.float32)
+        for i, (k, own) in enumerate(spans):
+            np.dot(some[own].T, y[own], out=word[i])
+            np.dot(y[own], w["word"][k, :HIDDEN].T, out=by_state[own])
+        back[order] += by_state
+        gradient["touched"], gradient["word"] = touched, word
     return out, back
 
 
@@ -149,33 +230,45 @@ def _lanes(documents: list[np.ndarray], end: int, lanes: int) -> tuple[np.ndarra
 
 def _windows(documents: Iterable[np.ndarray], end: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Windows over lanes that each take the next document when one ends: the lanes that go on, and (time x lane) targets, whether a document begins, and whether there is a token."""
-    queue = iter(documents)
-    rest, starts, more = [np.zeros(0, np.int32)] * LANES, [np.zeros(0, bool)] * LANES, True
+    queue, more = iter(documents), True
+    held, at, upto = np.zeros((LANES, AHEAD), np.int64), np.zeros(LANES, np.int64), np.zeros(LANES, np.int64)  # tokens ahead of each lane, as far as there is room
+    rest = [np.zeros(0, np.int64)] * LANES  # of the documents that they come from
+    steps = np.arange(WINDOW)
     while True:
-        for i in range(LANES):
-            while more and len(rest[i]) < WINDOW:
-                document = next(queue, None)
-                if document is None:
-                    more = False
-                    break
-                first = np.zeros(len(document), bool)
-                first[0] = True
-                rest[i], starts[i] = np.concatenate((rest[i], document)), np.concatenate((starts[i], first))
-        live = np.flatnonzero([len(x) for x in rest])
+        for i in np.flatnonzero(upto - at < WINDOW).tolist():
+            n = int(upto[i] - at[i])
+            held[i, :n] = held[i, at[i] : upto[i]].copy()
+            while n < WINDOW:
+                if not len(rest[i]):
+                    document = next(queue, None) if more else None
+                    if document is None:
+                        more = False
+                        break
+                    rest[i] = document.astype(np.int64)
+                    rest[i][0] += _FIRST
+                some, rest[i] = rest[i][: AHEAD - n], rest[i][AHEAD - n :]
+                held[i, n : n + len(some)] = some
+                n += len(some)
+            at[i], upto[i] = 0, n
+        live = np.flatnonzero(upto > at)
         if not len(live):
             return
-        targets, begins, used = np.full((WINDOW, len(live)), end, np.int32), np.zeros((WINDOW, len(live)), bool), np.zeros((WINDOW, len(live)), bool)
-        for j, i in enumerate(live):
-            n = min(WINDOW, len(rest[i]))
-            targets[:n, j], begins[:n, j], used[:n, j] = rest[i][:n], starts[i][:n], True
-            rest[i], starts[i] = rest[i][n:], starts[i][n:]
-        yield live, targets, begins, used
+        places = at[live] + steps[:, None]
+        used = places < upto[live]
+        tokens = np.where(used, held[live, np.minimum(places, AHEAD - 1)], end)
+        at[live] = np.minimum(at[live] + WINDOW, upto[live])
+        yield live, (tokens & (_FIRST - 1)).astype(np.int32), tokens >= _FIRST, used
 
 
 def _update(w: np.ndarray, squares: np.ndarray, g: np.ndarray, at=slice(None)) -> None:
     """One step of Adagrad on some rows."""
-    squares[at] += g * g
-    w[at] -= RATE * g / np.sqrt(squares[at])
+    some = squares[at]
+    some += g * g
+    if not isinstance(at, slice):
+        squares[at] = some
+    g *= RATE
+    g /= np.sqrt(some, out=None if isinstance(at, slice) else some)
+    w[at] -= g
 
 
 def start_squares(w: Weights) -> Weights:
@@ -184,49 +277,50 @@ def start_squares(w: Weights) -> Weights:
 
 def train(w: Weights, documents: Iterable[np.ndarray], v_end: int, squares: Weights) -> int:
     """One pass of truncated backpropagation over the documents; changes the weights in place and returns the number of tokens."""
-    state, last, tokens, n = np.zeros((LANES, HIDDEN), np.float32), np.full(LANES, v_end, np.int32), 0, WINDOW
-    scale = 1 / (LANES * WINDOW)  # few lanes make a small step
+    state, last, tokens, n = np.zeros((HIDDEN, LANES), np.float32), np.full(LANES, v_end, np.int32), 0, WINDOW
+    scale = np.float32(1 / (LANES * WINDOW))  # few lanes make a small step
     for live, targets, begins, used in _windows(documents, v_end):
         width, used = len(live), used.ravel()
-        h, before = state[live], last[live]
-        kept, inputs, states = [], [], []
-        for t in range(n):
-            fresh = begins[t]
-            ids = np.where(fresh, v_end, before)
-            h = h * ~fresh[:, None]
-            h, parts = _step(w, ids, h)
-            kept.append((*parts, fresh))
-            inputs.append(ids)
-            states.append(h)
-            before = targets[t]
-        state[live], last[live] = h, before
+        ids = _inputs(targets, begins, last[live], v_end)
+        states, (old, z, r, new, s) = _states(w, ids, begins, state[:, live], True)
+        state[:, live], last[live] = states[-1], targets[-1]
         tokens += int(used.sum())
         gradient: dict = {}
-        back = np.zeros((n * width, HIDDEN), np.float32)
-        _, back[used] = output_log_probability(w, np.concatenate(states)[used], targets.ravel()[used], v_end, gradient)
-        back = back.reshape(n, width, HIDDEN)
-        carried, inner, outer = np.zeros((width, HIDDEN), np.float32), np.empty((n, width, 3 * HIDDEN), np.float32), np.empty((n, width, 3 * HIDDEN), np.float32)
-        turned = w["state"].T.copy()
+        rows, goals = states.transpose(0, 2, 1).reshape(-1, HIDDEN), targets.ravel()
+        if used.all():
+            _, back = output_log_probability(w, rows, goals, v_end, gradient)
+        else:
+            back = np.zeros((n * width, HIDDEN), np.float32)
+            _, back[used] = output_log_probability(w, rows[used], goals[used], v_end, gradient)
+        back = np.ascontiguousarray(back.reshape(n, width, HIDDEN).transpose(0, 2, 1))
+        # the gradients by the gates are these times the gradient by the state, which is all that goes from step to step
+        by_state = np.empty((n, 3, HIDDEN, width), np.float32)
+        by_new = (1 - z) * (1 - new * new)
+        by_state[:, 0] = (old - new) * z * (1 - z)
+        by_state[:, 1] = by_new * s * r * (1 - r)
+        by_state[:, 2] = by_new * r
+        some, stays = begins.any(axis=1).tolist(), (~begins).astype(np.float32)
+        carried, outer = np.zeros((HIDDEN, width), np.float32), by_state.reshape(n, 3 * HIDDEN, width)
         for t in range(n - 1, -1, -1):
-            old, z, r, new, s, fresh = kept[t]
-            d = back[t] + carried
-            dn = d * (1 - z) * (1 - new * new)
-            inner[t, :, :HIDDEN] = d * (old - new) * z * (1 - z)
-            inner[t, :, HIDDEN : 2 * HIDDEN] = dn * s * r * (1 - r)
-            inner[t, :, 2 * HIDDEN :] = dn
-            outer[t] = inner[t]
-            outer[t, :, 2 * HIDDEN :] *= r
-            carried = (d * z + outer[t] @ turned) * ~fresh[:, None]
-        gradient["state"] = np.concatenate([k[0] for k in kept]).T @ outer.reshape(-1, 3 * HIDDEN)
-        inner = inner.reshape(-1, 3 * HIDDEN)
+            d = back[t]
+            d += carried
+            by_state[t] *= d
+            np.dot(w["state"], outer[t], out=carried)
+            carried += d * z[t]
+            if some[t]:
+                carried *= stays[t]
+        gradient["state"] = np.matmul(old, outer.transpose(0, 2, 1)).sum(axis=0)
+        by_new *= back
+        by_state[:, 2] = by_new
+        inner = outer.transpose(0, 2, 1).reshape(-1, 3 * HIDDEN)
         gradient["bias"] = inner.sum(axis=0)
-        ids = np.concatenate(inputs)
+        ids = ids.ravel()
         order = np.argsort(ids, kind="stable")
-        rows, first = np.unique(ids[order], return_index=True)
-        _update(w["input"], squares["input"], np.add.reduceat(inner[order], first, axis=0) * scale, rows)
-        for name in ("word", "word_bias"):
-            for k, g in gradient.pop(name).items():
-                _update(w[name], squares[name], g * scale, k)
+        ids = ids[order]
+        first = np.concatenate(([0], np.flatnonzero(ids[1:] != ids[:-1]) + 1))
+        _update(w["input"], squares["input"], _sums(inner[order], first) * scale, ids[first])
+        touched = gradient.pop("touched")
+        _update(w["word"], squares["word"], gradient.pop("word") * scale, touched)
         for k, g in gradient.items():
             _update(w[k], squares[k], g * scale)
     return tokens
@@ -238,21 +332,16 @@ def score(w: Weights, documents: list[np.ndarray], v_end: int) -> np.ndarray:
     if not documents:
         return out
     targets, owner, begins, loads = _lanes(documents, v_end, min(SCORE_LANES, len(documents)))
-    steps, lanes = targets.shape
-    h, before = np.zeros((lanes, HIDDEN), np.float32), np.full(lanes, v_end, np.int32)
-    active = np.searchsorted(-loads, -np.arange(steps), side="left")  # lanes longer than t
-    for at in range(0, steps, SCORE_WINDOW):
-        states, goals, owners = [], [], []
-        for t in range(at, min(at + SCORE_WINDOW, steps)):
-            n = int(active[t])
-            fresh = begins[t, :n]
-            h, _ = _step(w, np.where(fresh, v_end, before[:n]), h[:n] * ~fresh[:, None])
-            before = targets[t]
-            states.append(h)
-            goals.append(targets[t, :n])
-            owners.append(owner[t, :n])
-        logs, _ = output_log_probability(w, np.concatenate(states), np.concatenate(goals), v_end)
-        np.add.at(out, np.concatenate(owners), logs)
+    h, last = np.zeros((HIDDEN, targets.shape[1]), np.float32), np.full(targets.shape[1], v_end, np.int32)
+    for at in range(0, len(targets), SCORE_WINDOW):
+        window = slice(at, at + SCORE_WINDOW), slice(0, int(np.searchsorted(-loads, -at, side="left")))  # lanes longer than that
+        goals, first, width = targets[window], begins[window], window[1].stop
+        states, _ = _states(w, _inputs(goals, first, last[:width], v_end), first, h[:, :width])
+        h, last = states[-1], goals[-1]
+        used = np.flatnonzero(owner[window].ravel() >= 0)
+        rows = states.transpose(0, 2, 1).reshape(-1, HIDDEN)
+        logs, _ = output_log_probability(w, rows if len(used) == len(rows) else rows[used], goals.ravel()[used], v_end)
+        out += np.bincount(owner[window].ravel()[used], logs, len(documents))
     return out
 
 
@@ -260,10 +349,14 @@ def _pack(numbers: np.ndarray) -> bytes:
     return zstandard.compress(numbers.tobytes(), 1)
 
 
-def _in_order(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Distinct hashes by bucket, then by value."""
-    hashes = np.unique(hashes)
-    return hashes[np.argsort(hashes % np.uint64(buckets), kind="stable")]
+def _distinct(hashes: list[np.ndarray], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes by bucket, then by value, and the place of each hash among them."""
+    coded = pa.array(np.concatenate([np.zeros(0, np.uint64), *hashes])).dictionary_encode()
+    words = coded.dictionary.to_numpy()
+    order = np.lexsort((words, words % np.uint64(buckets)))
+    places = np.empty(len(words), np.int32)
+    places[order] = np.arange(len(words), dtype=np.int32)
+    return words[order], places[coded.indices.to_numpy()]
 
 
 def _count(buckets: int):
@@ -271,17 +364,10 @@ def _count(buckets: int):
 
     def run(batches):
         for chunk, held in text_chunks(batches, CHUNK):
-            every, learned = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-            for batch in held:
-                for (hashes, _, _), out in zip(hash_words(text_bytes(batch.column("text")), NOT_SPACE), batch.column("held_out").to_pylist()):
-                    every.append(hashes)
-                    if not out:
-                        learned.append(hashes)
-            words = _in_order(np.concatenate(every), buckets)
-            known, times = np.unique(np.concatenate(learned), return_counts=True)
-            counts = np.zeros(len(words), np.int64)
-            by_value = np.argsort(words)
-            counts[by_value[np.searchsorted(words[by_value], known)]] = times
+            every = [hashes for batch in held for hashes, _, _ in hash_words(text_bytes(batch.column("text")), NOT_SPACE)]
+            learned = ~np.concatenate([batch.column("held_out").to_numpy(zero_copy_only=False) for batch in held]).astype(bool)
+            words, places = _distinct(every, buckets)
+            counts = np.bincount(places[np.repeat(learned, [len(h) for h in every])], minlength=len(words))
             cuts = np.searchsorted(words % np.uint64(buckets), np.arange(buckets + 1))
             rows = [(b, chunk, _pack(np.concatenate((words[x:y].view(np.int64), counts[x:y])))) for b, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.int64(), pa.binary()))], names=["bucket", "chunk", "payload"])
@@ -397,20 +483,19 @@ def _score_chunk(buckets: int, v: Vocabulary, shared, arrow: pa.Schema):
     def run(documents: pa.Table, answers: pa.Table) -> pa.Table:
         batches = unpacked_documents(documents)
         hashes = [h for batch in batches for h, _, _ in hash_words(text_bytes(batch.column("text")), NOT_SPACE)]
-        words = _in_order(np.concatenate([np.zeros(0, np.uint64), *hashes]), buckets)
+        words, places = _distinct(hashes, buckets)
         counts = [np.zeros(0, np.int64)]
         for _, payload in sorted(zip(answers.column("bucket").to_pylist(), answers.column("payload").to_pylist())):
             counts.append(np.frombuffer(zstandard.decompress(payload[3:]), payload[:3].decode()).astype(np.int64))
         counts = np.concatenate(counts)
         if len(counts) != len(words):
             raise RuntimeError("a second reading of the documents gave other rows; pass stored=True")
-        by_value = np.argsort(words)
-        words, counts = words[by_value], counts[by_value]
-        c = [counts[np.searchsorted(words, h)] for h in hashes]
-        ids = [v.ids(h) for h in hashes]
+        cuts = np.cumsum([len(h) for h in hashes])[:-1]
+        c, ids = np.split(counts[places], cuts), np.split(v.ids(words)[places], cuts)
         base_norm = np.log10(v.total + v.distinct + 1)
-        base = [np.log10(x + 1.0).sum() + np.log10(v.ends + 1.0) - (len(x) + 1) * base_norm for x in c]
-        others = [np.log10(x[i == v.other] + 1.0).sum() - (i == v.other).sum() * np.log10(v.other_norm) for x, i in zip(c, ids)]
+        logs = np.split(np.log10(counts + 1.0)[places], cuts)
+        base = [x.sum() + np.log10(v.ends + 1.0) - (len(x) + 1) * base_norm for x in logs]
+        others = [x[i == v.other].sum() - (i == v.other).sum() * np.log10(v.other_norm) for x, i in zip(logs, ids)]
         model = score(shared.value, [np.append(i, v.end).astype(np.int32) for i in ids], v.end) / np.log(10) + np.array(others, float)
         rows = pa.Table.from_batches(batches)
         return pa.Table.from_arrays([rows.column("id"), rows.column("held_out"), pa.array([len(x) + 1 for x in c], pa.int64()), pa.array([int((x > 0).sum()) + (v.ends > 0) for x in c], pa.int64()),

@@ -181,3 +181,28 @@ def test_vocabulary_rows_come_from_few_words():
     for size in range(1, 12):
         least = recurrent_lm._least_count(rows("levels"), size)
         assert sorted(b for _, b in rows("words", least))[-size:] == sorted(counts.tolist())[-size:]
+
+
+def test_logits_are_exponentiated_once(monkeypatch):
+    """The cost of training: one exponential for each class, each word of the target's class and each gate of a token."""
+    v = recurrent_lm.Vocabulary([(i * 7919 + 1, 4_000 - i) for i in range(3_600)], 400, 8_000_000, 5_000)
+    rng, seen, exp = np.random.default_rng(2), [], np.exp
+    documents = [np.append(rng.integers(0, 3_600, 159), v.end).astype(np.int32) for _ in range(recurrent_lm.LANES)]
+    w = recurrent_lm.start_weights(v)
+    monkeypatch.setattr(np, "exp", lambda x, *args, **how: (seen.append(np.size(x)), exp(x, *args, **how))[1])
+    tokens = recurrent_lm.train(w, documents, v.end, recurrent_lm.start_squares(w))
+    assert tokens == 160 * recurrent_lm.LANES and sum(seen) <= tokens * (v.classes + 2 + v.size + 2 * recurrent_lm.HIDDEN)
+
+
+def test_steps_of_the_cheaper_training():
+    rng = np.random.default_rng(3)
+    for low, high in ((0, 1), (-300, -200), (200, 300), (-200, 300)):
+        x = rng.uniform(low, high, (5, 7)).astype(np.float32)
+        for axis in (0, 1):
+            e, sums, logs = recurrent_lm._exponentials(x, axis)
+            assert np.allclose(logs, np.log(np.exp(x.astype(float)).sum(axis=axis)), rtol=1e-5, atol=1e-5) and np.allclose((e / np.expand_dims(sums, axis)).sum(axis=axis), 1, atol=1e-5)
+    rows, first = rng.normal(0, 1, (60, 3)).astype(np.float32), np.array([0, 1, 3, 20, 28, 37])
+    assert np.allclose(recurrent_lm._sums(rows, first), np.add.reduceat(rows, first, axis=0), atol=1e-5)
+    hashes = [rng.integers(0, 50, n).astype(np.uint64) for n in (0, 40, 3)]
+    words, places = recurrent_lm._distinct(hashes, 4)
+    assert (words[places] == np.concatenate(hashes)).all() and words.tolist() == sorted(set(words.tolist()), key=lambda x: (x % 4, x))
