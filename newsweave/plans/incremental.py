@@ -39,12 +39,18 @@ def _published(spark, sf):
     finished = F.lit("2024-04-01 00:00:00").cast("timestamp") + F.expr("make_interval(0, 0, 0, n)")
     parts = inputs.stored(spark, sf, "snapshot_parts", lambda: entries.groupBy("n", "part").agg(F.to_json(ordered).alias("payload")).select(
         F.concat(F.lit("s"), F.col("n").cast("string")).alias("snapshot_id"), "part", "payload", (finished - F.expr("INTERVAL 1 HOUR")).alias("started_at"), finished.alias("finished_at"), (F.col("n") == 1).alias("truncated")))
-    manifest = parts.select("snapshot_id", "part", sync.part_hash(F.col("payload")).alias("sha256"), "finished_at")
-    results = entries.groupBy(F.concat(F.lit("s"), F.col("n").cast("string")).alias("snapshot_id"), "source_id").agg(F.count(F.lit(1)).alias("scanned"), F.countDistinct("item_id").alias("matched"))
+    manifest = inputs.stored(spark, sf, "snapshot_manifest", lambda: parts.select("snapshot_id", "part", sync.part_hash(F.col("payload")).alias("sha256"), "finished_at"))
+    results = inputs.stored(spark, sf, "snapshot_results", lambda: entries.groupBy(F.concat(F.lit("s"), F.col("n").cast("string")).alias("snapshot_id"), "source_id").agg(
+        F.count(F.lit(1)).alias("scanned"), F.countDistinct("item_id").alias("matched")))
     failed = F.substring("source_id", 4, 9).cast("int") % 5 == 3
     return manifest, parts, results.withColumn("status", F.when(failed, "error").otherwise("healthy")).withColumn("error", F.when(failed, "HTTP 403"))
 
 
+def _sources(spark, sf):
+    """The source table as a synchronisation finds it: stored, since every snapshot reads it."""
+    return inputs.stored(spark, sf, "sync_sources", lambda: inputs.sources(spark, sf))
+
+
 @registered("snapshot_sync", S.with_views("items matches sources", f"""
     , e AS (SELECT 's' || n AS snapshot_id, n, i.item_id, i.source_id, w AS company_id, {S.canonical('i.url')} AS url
         FROM (SELECT *, unnest(CASE WHEN item_id % 3 = 0 THEN [item_id % {SNAPSHOTS}, (item_id + 1) % {SNAPSHOTS}] ELSE [item_id % {SNAPSHOTS}] END) AS n FROM items) i, (SELECT unnest(['c1', 'c2']) AS w) x),
@@ -58,7 +64,7 @@ def _published(spark, sf):
     FROM r LEFT JOIN c USING (snapshot_id, source_id)"""))
 def snapshot_sync(spark, sf):
     """Run rows and source states after all snapshots; the job is stopped after its first step and started again."""
-    sources, companies = inputs.sources(spark, sf), inputs.watchlist(spark, sf)
+    sources, companies = _sources(spark, sf), inputs.watchlist(spark, sf)
     tables = (*_published(spark, sf), sources, companies, sources.where("source_id <> 'src2'").select("source_id", "url"), companies)
     folder, now = scratch_path(spark, "sync"), F.lit("2024-12-31 00:00:00").cast("timestamp")
     rules = {"now": now, "parts_per_step": 20, "event_rules": inputs.EVENT_RULES, "tone_rules": inputs.TONE_RULES}
@@ -76,7 +82,7 @@ def snapshot_sync(spark, sf):
     FROM e, c WHERE e.n = c.n AND part >= c.first"""))
 def sync_backlog(spark, sf):
     """What waits after the first step of the synchronisation, which takes two parts."""
-    sources, companies = inputs.sources(spark, sf), inputs.watchlist(spark, sf)
+    sources, companies = _sources(spark, sf), inputs.watchlist(spark, sf)
     manifest, parts, results = _published(spark, sf)
     store = sync.snapshot_sync(spark, scratch_path(spark, "sync"), manifest, parts, results, sources, companies, sources.where("source_id <> 'src2'").select("source_id", "url"), companies,
                                max_steps=1, now=F.lit("2024-12-31 00:00:00").cast("timestamp"), parts_per_step=2, event_rules=inputs.EVENT_RULES, tone_rules=inputs.TONE_RULES)

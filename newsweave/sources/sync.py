@@ -21,7 +21,7 @@ from newsweave.functions import url
 from newsweave.operators import admission, articles, merge
 from newsweave.operators.ranking import first_per_key
 from newsweave.operators.story_index import cluster_increment
-from newsweave.session import checkpointed
+from newsweave.session import checkpointed, forget
 
 ENTRY = "struct<source_id:string,company_id:string,title:string,url:string,text:string,published_at:timestamp,language:string,region:string>"
 COUNTERS = "map<string,struct<inserted:bigint,duplicates:bigint>>"
@@ -144,55 +144,85 @@ def _step_parts(n_parts: int, offset: int, parts_per_step: int) -> int:
     return max(parts_per_step, -(-(n_parts - parts_per_step) // (SNAPSHOT_STEPS - 1))) if offset else parts_per_step
 
 
+def _planned(n_parts: int, offset: int, parts_per_step: int, max_steps: int | None) -> list[int]:
+    """Where the next steps of a snapshot end, at most `max_steps` of them."""
+    ends = []
+    while offset < n_parts and (not max_steps or len(ends) < max_steps):
+        offset = min(offset + _step_parts(n_parts, offset, parts_per_step), n_parts)
+        ends.append(offset)
+    return ends
+
+
 def sync_steps(spark: SparkSession, folder: str, manifest: DataFrame, parts: DataFrame, results: DataFrame, sources: DataFrame, companies: DataFrame, seed_sources: DataFrame, seed_companies: DataFrame,
-               now: Column, parts_per_step: int = 64, stories: bool = False, **rules) -> Iterator[dict]:
+               now: Column, parts_per_step: int = 64, stories: bool = False, max_steps: int | None = None, **rules) -> Iterator[dict]:
     """Run the job step by step; each turn of the iterator is one finished step and gives {step, snapshot_id, done, inserted, pending}.
 
     `manifest`: snapshot_id, part, sha256, finished_at; `parts`: snapshot_id, part, payload, started_at, finished_at, truncated; `results`: snapshot_id, source_id, status, error, scanned,
     matched; `sources`: source_id, url, enabled, status, error, last_fetched_at.  Snapshots are taken in the order of their ids.  An entry goes in if its source is enabled
     and public, its company is public, its address is public, and the company is named in it.  A step takes `parts_per_step` parts; steps after the first take more where a snapshot would need over
-    SNAPSHOT_STEPS steps: every step looks at the stored keys, so the number of steps must not grow with the snapshot.  With `stories`, new articles are assigned to stories in `folder`/stories."""
+    SNAPSHOT_STEPS steps: every step looks at the stored keys, so the number of steps must not grow with the snapshot.  With `stories`, new articles are assigned to stories in `folder`/stories.
+
+    What the steps of a snapshot write is made for all of them at once, as far as `max_steps` reaches: of the entries of one key the first goes in, in whichever step it comes, so a step only writes its
+    slice and its cursor row.  A job that was cut short makes the slices again from its cursor on."""
     store = SyncStore(spark, folder.rstrip("/"))
-    while True:
+    taken = 0
+    while not max_steps or taken < max_steps:
         last = store.cursor()
         step = last.step + 1 if last else 0
         completed = last.snapshot_id if last and last.done else None
         resumed = last is not None and not last.done
-        queue = manifest.select("snapshot_id").distinct()
+        queue = manifest.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("n_parts"))
         if last:
             queue = queue.where((F.col("snapshot_id") >= last.snapshot_id) if resumed else (F.col("snapshot_id") > completed))
-        waiting = queue.agg(F.min("snapshot_id").alias("snapshot_id"), F.count(F.lit(1)).alias("n")).first()
+        waiting = queue.agg(F.min("snapshot_id").alias("snapshot_id"), F.min_by("n_parts", "snapshot_id").alias("n_parts"), F.count(F.lit(1)).alias("n")).first()
         if not waiting.n:
             return
         offset = last.next_part if resumed else 0
-        size = _step_parts(manifest.where(F.col("snapshot_id") == waiting.snapshot_id).count(), offset, parts_per_step)
-        # the first step of a snapshot checks all of its parts, later ones those that they take
-        n_parts, header = _verified(parts, manifest, waiting, now, offset, offset + size - 1 if resumed else None)
-        mine = parts.where((F.col("snapshot_id") == waiting.snapshot_id) & F.col("part").between(offset, offset + size - 1))
+        ends = _planned(waiting.n_parts, offset, parts_per_step, max_steps - taken if max_steps else None)
+        # the first step of a snapshot checks all of its parts, a job that goes on with it those that it takes
+        n_parts, header = _verified(parts, manifest, waiting, now, offset, ends[-1] - 1 if resumed else None)
+        mine = parts.where((F.col("snapshot_id") == waiting.snapshot_id) & F.col("part").between(offset, ends[-1] - 1))
 
+        step_of = sum((F.when(F.col("part") >= end, 1).otherwise(0) for end in ends[:-1]), F.lit(step)).cast("long")
         entries = mine.select("part", F.posexplode(F.from_json("payload", f"array<{ENTRY}>")).alias("pos", "entry")).select(
-            F.format_string("%s-%08d-%08d", F.lit(waiting.snapshot_id), F.col("part"), F.col("pos")).alias("entry_id"), "entry.*")
+            F.format_string("%s-%08d-%08d", F.lit(waiting.snapshot_id), F.col("part"), F.col("pos")).alias("entry_id"), step_of.alias("step"), "entry.*")
         admitted = admission.snapshot_admit(entries, sources, companies, seed_sources, seed_companies).withColumn("canonical", url.canonical_url(F.col("url"))).where("canonical is not null")
         admitted = checkpointed(admitted, "sync-admitted")
         stored = store._articles(step - 1).select("company_id", F.col("url").alias("canonical"))
+        # entry ids follow the parts, so the first entry of a key is also the first of its step
         fresh = merge.insert_ignore(stored, admitted.select("company_id", "canonical", "entry_id"), ["company_id", "canonical"], [F.col("entry_id")])
         marked = checkpointed(admitted.join(fresh.select("entry_id", "company_id", F.lit(True).alias("is_new")), ["entry_id", "company_id"], "left").withColumn("is_new", F.coalesce("is_new", F.lit(False))), "sync-marked")
         items = marked.where("is_new").withColumnRenamed("entry_id", "item_id").withColumn("fetched_at", F.lit(header.finished_at))
-        store.write("articles", articles.build_articles(items.drop("company_id", "is_new", "canonical"), companies, pairs=items.select("item_id", "company_id"), **rules), step)
-        if stories:
-            cluster_increment(spark, f"{store.folder}/stories", store._articles(step).join(items.select("item_id"), "item_id", "left_semi"), step)
-
-        done = offset + size >= n_parts
-        earlier = spark.createDataFrame([(last.counters if resumed else None,)], f"earlier {COUNTERS}")
-        found = count_outcomes(marked, []).select("counters")
-        counters = earlier.crossJoin(found).select(merge_counters(F.col("earlier"), F.col("counters")).alias("counters"))  # one row each
-        row = counters.select(F.lit(waiting.snapshot_id).alias("snapshot_id"), F.lit(min(offset + size, n_parts)).cast("int").alias("next_part"), F.lit(done).alias("done"),
-                              F.lit(marked.where("is_new").count()).cast("long").alias("inserted"), "counters", F.lit(header.finished_at).alias("finished_at"))
-        row = checkpointed(row, "sync-cursor")
-        if done:
-            _finish(store, step, waiting.snapshot_id, header, row, results, sources)
-        store.close(row, step)
-        yield {"step": step, "snapshot_id": waiting.snapshot_id, "done": done, "inserted": row.first().inserted, "pending": waiting.n - int(done)}
+        built = articles.build_articles(items.drop("company_id", "is_new", "canonical", "step"), companies, pairs=items.select("item_id", "company_id"), **rules)
+        built = checkpointed(built.join(items.select("item_id", "step").distinct(), "item_id"), "sync-articles")
+        cursors = checkpointed(_cursors(spark, marked, waiting.snapshot_id, step, ends, n_parts, header, last.counters if resumed else None), "sync-cursors")
+        inserted = {r.step: r.inserted for r in cursors.select("step", "inserted").collect()}  # one row a step
+
+        for step, end in enumerate(ends, step):
+            rows, row, done = built.where(F.col("step") == step), cursors.where(F.col("step") == step), end == n_parts
+            store.write("articles", rows, step)
+            if stories:
+                cluster_increment(spark, f"{store.folder}/stories", store._articles(step).join(rows.select("item_id"), "item_id", "left_semi"), step)
+            if done:
+                _finish(store, step, waiting.snapshot_id, header, row, results, sources)
+            store.close(row.drop("step"), step)
+            taken += 1
+            yield {"step": step, "snapshot_id": waiting.snapshot_id, "done": done, "inserted": inserted[step], "pending": waiting.n - int(done)}
+        forget(admitted, marked, built, cursors)
+
+
+def _cursors(spark: SparkSession, marked: DataFrame, snapshot_id: str, step: int, ends: list[int], n_parts: int, header, counters) -> DataFrame:
+    """Cursor rows of the steps from `step` on, each with the counters of its snapshot so far: those of the steps before it and those given."""
+    steps = spark.createDataFrame([(step + i, end, end == n_parts) for i, end in enumerate(ends)], "step long, next_part int, done boolean")
+    own = count_outcomes(marked, ["step"]).select(F.col("step").alias("at"), F.explode("counters").alias("source_id", "c"))
+    if counters:
+        own = own.unionByName(spark.createDataFrame([(counters,)], f"counters {COUNTERS}").select(F.lit(step).cast("long").alias("at"), F.explode("counters").alias("source_id", "c")))
+    total = steps.join(own, F.col("at") <= F.col("step")).groupBy("step", "source_id").agg(F.sum("c.inserted").alias("inserted"), F.sum("c.duplicates").alias("duplicates"))
+    maps = total.groupBy("step").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source_id", F.struct("inserted", "duplicates"))))).cast(COUNTERS).alias("counters"))
+    fresh = marked.where("is_new").groupBy("step").agg(F.count(F.lit(1)).alias("inserted"))
+    return steps.join(maps, "step", "left").join(fresh, "step", "left").select(
+        "step", F.lit(snapshot_id).alias("snapshot_id"), "next_part", "done", F.coalesce("inserted", F.lit(0)).cast("long").alias("inserted"),
+        F.coalesce("counters", F.create_map().cast(COUNTERS)).alias("counters"), F.lit(header.finished_at).alias("finished_at"))
 
 
 def _finish(store: SyncStore, step: int, snapshot_id: str, header, row: DataFrame, results: DataFrame, sources: DataFrame) -> None:
@@ -212,9 +242,8 @@ def _finish(store: SyncStore, step: int, snapshot_id: str, header, row: DataFram
 
 def snapshot_sync(spark: SparkSession, folder: str, *tables: DataFrame, max_steps: int | None = None, **how) -> SyncStore:
     """Run the job until no snapshot waits, or for `max_steps` steps; returns the tables."""
-    for n, _ in enumerate(sync_steps(spark, folder, *tables, **how), 1):
-        if max_steps and n >= max_steps:
-            break
+    for _ in sync_steps(spark, folder, *tables, max_steps=max_steps, **how):
+        pass
     return SyncStore(spark, folder.rstrip("/"))
 
 

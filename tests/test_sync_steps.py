@@ -48,3 +48,10 @@ def test_first_step_of_a_large_snapshot(spark, monkeypatch):
     steps = list(sync.sync_steps(spark, folder := scratch_path(spark, "sync"), numbered(manifest), numbered(parts), *rest, now=F.lit(DAY + dt.timedelta(days=2)), parts_per_step=1))
     taken = [r.next_part for r in spark.read.parquet(f"{folder}/cursor").orderBy("step").collect()]
     assert taken == [1, 5] and [s["done"] for s in steps] == [False, True]
+
+
+def test_entries_of_a_snapshot_are_admitted_once(spark, monkeypatch):
+    tables, calls, admit = published(spark), [], sync.admission.snapshot_admit
+    monkeypatch.setattr(sync.admission, "snapshot_admit", lambda *args: calls.append(1) or admit(*args))
+    steps = list(sync.sync_steps(spark, scratch_path(spark, "sync"), *tables, now=F.lit(DAY + dt.timedelta(days=2)), parts_per_step=1))
+    assert len(steps) == 3 and len(calls) == 2  # two snapshots, the first of two parts
