@@ -3,7 +3,8 @@
 The store is a folder of tables, each divided by batch; a batch overwrites its own part and reads only the parts before it, so a batch that is
 replayed after a failure gives the same tables.
 
-* `tokens`: prefix tokens of titles by three-day bucket (the probe key is company, token, bucket); `texts`: token sets of texts by the same bucket;
+* `titles`, `tokens`: the distinct titles of a company and three-day bucket (title nodes) and their prefix tokens (the probe key is company, token, bucket);
+* `texts`: sketches and token sets of texts by the same bucket; sketches meet in cells of bounded size (`operators/similar.py`), sets are read only for pairs that may pass;
 * `members`: arrival and event time of every article by content, without texts;
 * `parents`: an append-only log of each article's best parent; a later row replaces an earlier one only if it is better;
 * `roots`: an append-only log of the story of each article.
@@ -21,18 +22,20 @@ from pyspark.sql import functions as F
 
 from newsweave import constants as K
 from newsweave.functions import text
-from newsweave.operators.clustering import event_time, resolve_roots
+from newsweave.operators import similar
+from newsweave.operators.clustering import HOT_KEY_ROWS, event_time, resolve_roots
 from newsweave.operators.ranking import newest, running_min
 from newsweave.session import checkpointed
 
 BUCKETS = 8  # parts of a batch that are read by key
-_EPSILON = 1e-9
+_EPSILON = similar.EPSILON
 ARRIVAL = "struct<fetched_at:timestamp,article_id:string>"
 BEST = "struct<t:bigint,fetched_at:timestamp,article_id:string>"
 TABLES = {
     "order": "token string, n bigint",
-    "tokens": "company_id string, token string, variant string, content_hash string, published_at timestamp, title_set array<string>, prefix array<string>",
-    "texts": "variant string, text_set array<string>",
+    "titles": "node string, title_set array<string>",
+    "tokens": "company_id string, token string, node string, title_size int, place int",
+    "texts": "variant string, node string, content_hash string, published_at timestamp, text_size int, sketch binary, text_set array<string>",
     "members": f"company_id string, content_hash string, variant string, own {BEST}",
     "parents": f"article_id string, best {BEST}",
     "roots": "article_id string, cluster_id string",
@@ -41,7 +44,7 @@ TABLES = {
 
 
 def _bucket_of(name: str) -> Column | None:
-    if name in ("tokens", "texts"):
+    if name in ("titles", "tokens", "texts"):
         return None  # the three-day bucket, already a column
     key = {"members": "content_hash", "parents": "article_id", "roots": "article_id"}.get(name)
     return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("long") if key else F.lit(0).cast("long")
@@ -90,22 +93,20 @@ def _prefixes(variants: DataFrame, order: DataFrame) -> DataFrame:
     return variants.join(ranked.select("variant", F.transform(F.slice("s", 1, keep), lambda x: x["token"]).alias("prefix")), "variant")
 
 
-def _similar(asked: DataFrame, tokens: DataFrame, texts: DataFrame) -> DataFrame:
-    """(variant, other, other_published_at): stored variants that report the same story as one of the asked."""
-    probes = asked.withColumn("token", F.explode("prefix")).withColumn("bucket", F.explode(F.array(*[F.col("bucket") + d for d in (-1, 0, 1)])))
-    found = tokens.select("company_id", "token", "bucket", *[F.col(c).alias(f"other_{c}") for c in ("variant", "content_hash", "published_at", "title_set", "prefix")])
-    gap = F.abs(F.unix_micros("published_at") - F.unix_micros("other_published_at"))
-    sizes = F.least(F.size("title_set"), F.size("other_title_set")) / F.greatest(F.size("title_set"), F.size("other_title_set"))
-    titles = (
-        probes.join(found, ["company_id", "token", "bucket"])
-        .where((F.col("content_hash") != F.col("other_content_hash")) & (gap <= K.STORY_DAYS * 86_400_000_000) & (sizes >= K.TITLE_JACCARD - _EPSILON))
-        .where(F.get(F.array_intersect("prefix", "other_prefix"), F.lit(0)) == F.col("token"))
-        .where(text.jaccard(F.col("title_set"), F.col("other_title_set")) >= K.TITLE_JACCARD)
-        .select("variant", "published_at", F.col("other_variant").alias("other"), "other_published_at")
-    )
-    side = lambda name: texts.select(F.col("variant").alias(name), F.col("text_set").alias(f"{name}_text"))
-    return titles.join(side("variant"), "variant").join(side("other"), "other").where(
-        text.jaccard(F.col("variant_text"), F.col("other_text")) >= K.TEXT_JACCARD).select("variant", "published_at", "other", "other_published_at")
+def _similar(asked: DataFrame, titles: DataFrame, tokens: DataFrame, texts: DataFrame) -> DataFrame:
+    """(variant, other, published_at, other_published_at): stored variants that report the same story as one of the asked."""
+    nodes = asked.groupBy("company_id", "bucket", "node").agg(F.first("title_set").alias("title_set"), F.first("prefix").alias("prefix")).withColumn("title_size", F.size("title_set"))
+    nodes = checkpointed(nodes, "story-nodes")
+    alike = similar.confirmed_titles(similar.title_candidates(similar.title_postings(nodes), tokens, (-1, 0, 1)), nodes, titles)
+    repeated = texts.groupBy("node").count().where("count > 1").join(nodes, "node", "left_semi")
+    pairs = checkpointed(alike.unionByName(repeated.select(F.col("node").alias("left_node"), F.col("node").alias("right_node"))), "story-titles")
+    sketches = texts.select("variant", "node", "content_hash", "published_at", "text_size", "sketch")
+    right = checkpointed(sketches.join(pairs.select(F.col("right_node").alias("node")).distinct(), "node", "left_semi"), "story-sketches")
+    left = checkpointed(sketches.join(pairs.select(F.col("left_node").alias("node")).distinct(), "node", "left_semi").join(asked.select("variant"), "variant", "left_semi"), "story-sketches")
+    found = checkpointed(similar.text_candidates(pairs, left, right, HOT_KEY_ROWS), "story-candidates")
+    side = lambda name, rows: texts.select(F.col("variant").alias(f"{name}_variant"), F.col("published_at").alias(f"{name}_published_at"), F.col("text_set").alias(f"{name}_text")).join(rows.select(f"{name}_variant").distinct(), f"{name}_variant", "left_semi")
+    return found.join(side("left", found), "left_variant").join(side("right", found), "right_variant").where(text.jaccard(F.col("left_text"), F.col("right_text")) >= K.TEXT_JACCARD).select(
+        F.col("left_variant").alias("variant"), F.col("left_published_at").alias("published_at"), F.col("right_variant").alias("other"), F.col("right_published_at").alias("other_published_at"))
 
 
 def _arrival(own: str = "own") -> Column:
@@ -146,7 +147,7 @@ def cluster_increment(spark: SparkSession, folder: str, articles: DataFrame, bat
 
     # the index takes the batch
     variants = batch.where("variant is not null").groupBy("variant").agg(*[F.first(c).alias(c) for c in ("company_id", "content_hash", "published_at", "title_set", "bucket")], F.min(_arrival()).alias("arrival"))
-    variants = checkpointed(variants, "story-variants")
+    variants = checkpointed(variants.withColumn("node", similar.title_node(F.col("title_set"))), "story-variants")
     if batch_id == 0:
         words = variants.select(F.explode("title_set").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
         store.write("order", words, 0)
@@ -154,26 +155,29 @@ def cluster_increment(spark: SparkSession, folder: str, articles: DataFrame, bat
     days = _some(variants, "bucket")
     near = sorted({d + step for d in days for step in (-1, 0, 1)})
     known = store.read("texts", batch_id, days).select("variant")
-    fresh = variants.join(known, "variant", "left_anti").select("variant", "bucket", F.col("arrival.article_id").alias("article_id"))
-    store.write("texts", fresh.join(articles.select("article_id", text.token_set(F.col("text")).alias("text_set")), "article_id").select("variant", "text_set", "bucket"), batch_id)
-    index = asked.join(known, "variant", "left_anti").withColumn("token", F.explode("prefix"))
-    store.write("tokens", index.select("company_id", "token", "variant", "content_hash", "published_at", "title_set", "prefix", "bucket"), batch_id)
+    fresh = variants.join(known, "variant", "left_anti").select("variant", "node", "content_hash", "published_at", "bucket", F.col("arrival.article_id").alias("article_id"))
+    sets = fresh.join(articles.select("article_id", text.token_set(F.col("text")).alias("text_set")), "article_id")
+    store.write("texts", similar.sketched(sets).select("variant", "node", "content_hash", "published_at", "text_size", "sketch", "text_set", "bucket"), batch_id)
+    new_nodes = asked.join(store.read("titles", batch_id, days).select("node"), "node", "left_anti").groupBy("company_id", "bucket", "node").agg(F.first("title_set").alias("title_set"), F.first("prefix").alias("prefix"))
+    new_nodes = checkpointed(new_nodes, "story-nodes")
+    store.write("titles", new_nodes.select("node", "title_set", "bucket"), batch_id)
+    store.write("tokens", similar.title_postings(new_nodes.withColumn("title_size", F.size("title_set"))).select("company_id", "token", "node", "title_size", "place", "bucket"), batch_id)
     store.write("members", new.drop("article_id"), batch_id)
     store.write("span", span, batch_id)
 
     # candidates of the new articles, and, if some arrived late, of stored ones
-    similar = checkpointed(_similar(asked, store.read("tokens", batch_id + 1, near), store.read("texts", batch_id + 1, near)), "story-pairs")
-    others = similar.select(F.col("other").alias("variant")).distinct()
+    reports = checkpointed(_similar(asked, *[store.read(name, batch_id + 1, near) for name in ("titles", "tokens", "texts")]), "story-pairs")
+    others = reports.select(F.col("other").alias("variant")).distinct()
     members = store.read("members", batch_id + 1)  # narrow: no texts
     of_others = checkpointed(members.where("variant is not null").join(others, "variant", "left_semi").select("variant", "own", "batch"), "story-members")
     first = of_others.groupBy(F.col("variant").alias("other")).agg(F.min(_arrival()).alias("first"))
-    neighbours = similar.join(first, "other").select("variant", _prefer("other_published_at", "first").alias("candidate"))
+    neighbours = reports.join(first, "other").select("variant", _prefer("other_published_at", "first").alias("candidate"))
     earlier = F.struct("candidate.fetched_at", "candidate.article_id")
     candidates = new.select("article_id", "variant", "own").join(neighbours, "variant").where(earlier < _arrival()).select("article_id", "candidate")
     hashed = _some(batch, F.pmod(F.xxhash64("content_hash"), F.lit(BUCKETS)).cast("long"))
     candidates = candidates.unionByName(_by_content(new, store.read("members", batch_id, hashed), late))
     if late:
-        offered = similar.join(variants.select("variant", "arrival"), "variant").select(F.col("other").alias("variant"), _prefer("published_at", "arrival").alias("candidate"))
+        offered = reports.join(variants.select("variant", "arrival"), "variant").select(F.col("other").alias("variant"), _prefer("published_at", "arrival").alias("candidate"))
         stored = of_others.where(F.col("batch") < batch_id).select("variant", "own")
         candidates = candidates.unionByName(stored.join(offered, "variant").where(earlier < _arrival()).select(F.col("own.article_id").alias("article_id"), "candidate"))
     everyone = new.select("article_id", F.lit(None).cast(BEST).alias("candidate")).unionByName(candidates.select("article_id", F.col("candidate").cast(BEST).alias("candidate")))
