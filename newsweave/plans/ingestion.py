@@ -42,7 +42,7 @@ def _xml(c):
 
 
 def _feed_payloads(spark, sf):
-    """RSS payloads of fifty documents each; the group size is fixed, so a payload stays one bounded row."""
+    """RSS payloads of fifty places each, so that a payload stays one bounded row; a document has its place by its id, and places without one hold an empty item."""
     i = inputs.items(spark, sf)
     day = F.date_format("published_at", "EEE, dd MMM yyyy HH:mm:ss")
     entry = F.concat(
@@ -51,9 +51,12 @@ def _feed_payloads(spark, sf):
             F.concat(F.lit("<description>short</description><content:encoded><![CDATA[<p>"), F.replace("text", F.lit("]]>"), F.lit("")), F.lit("</p>]]></content:encoded>"))),
         F.coalesce(F.concat(F.lit("<pubDate>"), day, F.lit(" GMT</pubDate>")), F.lit("")), F.lit("</item>"))
     head = '<?xml version="1.0"?><rss version="2.0" xmlns:content="http://purl.org/rss/1.0/modules/content/"><channel><title>feed</title>'
-    return i.select(F.floor(F.col("item_id") / 50).alias("feed_id"), "item_id", entry.alias("entry")).groupBy("feed_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "entry"))), lambda s: s["entry"]), "").alias("body")
-    ).select("feed_id", F.lit("https://feeds.example.com/rss").alias("url"), F.lit("en").alias("language"), F.concat(F.lit(head), "body", F.lit("</channel></rss>")).alias("xml"))
+    placed = i.select(F.floor(F.col("item_id") / 50).alias("feed_id"), F.pmod("item_id", F.lit(50)).cast("int").alias("place"), "item_id", entry.alias("entry"))
+    feeds_ = placed.groupBy("feed_id").agg(F.collect_list(F.struct("place", "item_id", "entry")).alias("entries"))
+    free = F.array_except(F.sequence(F.lit(0), F.array_max("entries.place")), F.col("entries.place"))
+    empty = F.transform(free, lambda p: F.struct(p.alias("place"), F.lit(None).cast("long").alias("item_id"), F.lit("<item><title></title></item>").alias("entry")))
+    body = F.array_join(F.transform(F.array_sort(F.concat("entries", empty)), lambda s: s["entry"]), "")
+    return feeds_.select("feed_id", F.lit("https://feeds.example.com/rss").alias("url"), F.lit("en").alias("language"), F.concat(F.lit(head), body, F.lit("</channel></rss>")).alias("xml"))
 
 
 @registered("feed_items", S.with_views("items", f"""

@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from newsweave.plans import ingestion
 from newsweave.sources import feeds, payloads, robots, snapshots
 
 def now():
@@ -105,3 +106,11 @@ def test_manifest(spark):
     added = spark.createDataFrame([("a", "004", "new"), ("a", "005", "y")], m.schema)
     got = {r.snapshot_id: (r.sha256, r.kept) for r in snapshots.manifest_retain(m, added, keep=3).collect()}
     assert got == {"000": ("x", False), "001": ("x", False), "002": ("x", False), "003": ("x", True), "004": ("new", True), "005": ("y", True)}
+
+
+def test_feed_places_follow_the_ids(spark, tmp_path):
+    ids = [3, 7, 8, 60, 99, 149, 1_000_020]
+    rows = spark.createDataFrame([(i, f"Title {i}\nand its text", "en", "src1") for i in ids], "doc_id long, text string, lang string, source string")
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    got = ingestion.feed_items(spark, str(tmp_path)).select("feed_id", "pos", "title").collect()
+    assert sorted(map(tuple, got)) == [(i // 50, i % 50 + 1, f"Title {i}") for i in ids]
